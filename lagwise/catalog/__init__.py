@@ -4,7 +4,7 @@ from importlib import import_module
 
 from lagwise.catalog.registry import ORACLES, QUERIES
 
-_MODULES = ("clean", "ingest", "reconcile", "windows", "recurrences", "scoring", "models")
+_MODULES = ("clean", "ingest", "reconcile", "windows", "recurrences", "scoring", "models", "dataset")
 
 
 def _load() -> None:

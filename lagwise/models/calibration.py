@@ -13,6 +13,7 @@ from lagwise.functions.scalars import predicted_class
 from lagwise.functions.scores import CLASSES, PROBS
 from lagwise.models.newton import CLASS_CODES, minimise, softmax
 from lagwise.operators.metrics import by_outcome, equal_group_weights
+from lagwise.operators.ordering import small_join
 
 TEMPERATURE_BOUNDS = (0.25, 4.0)
 LOG_FLOOR = 1e-12
@@ -76,10 +77,10 @@ def chronological_temperature_scale(predictions: DataFrame, *, season: str = "se
     ordered = seasons.withColumn("_p", F.row_number().over(Window.orderBy(season)))
     test = ordered.select(F.col(season).alias("test_season"), F.col("_p").alias("_t"))
     folds = test.join(F.broadcast(ordered), F.col("_p") < F.col("_t")).select("test_season", season)
-    train = equal_group_weights(predictions.join(folds, season), group, "_weight", [model, "test_season"])
+    train = equal_group_weights(small_join(predictions, folds, [season]), group, "_weight", [model, "test_season"])
     fitted = fit_temperatures(train, [model, "test_season"], result, "_weight")
     sizes = train.groupBy(model, "test_season").agg(F.count(F.lit(1)).alias("calibration_matches"), F.countDistinct(season).alias("calibration_seasons"))
-    scaled = predictions.join(fitted.withColumnRenamed("test_season", season), [model, season])
+    scaled = small_join(predictions, fitted.withColumnRenamed("test_season", season), [model, season])
     scaled = apply_temperature(scaled, "temperature").withColumn("predicted_result", predicted_class(*PROBS))
     named = scaled.withColumn("source_model", F.col(model)).withColumn(model, F.concat(F.col(model), F.lit("_temperature_scaled")))
     return named, fitted.join(sizes, [model, "test_season"])

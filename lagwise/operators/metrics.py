@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.functions.scores import CLASSES, METRICS, PROBS, brier, correct, log_loss, rps
-from lagwise.operators.joins import checked_join
-from lagwise.operators.ordering import HOT_ROWS, exact_quantiles
+from lagwise.operators.ordering import HOT_ROWS, exact_quantiles, small_join
 from lagwise.operators.sampling import equal_frequency_bins
 
 
@@ -37,7 +36,7 @@ def equal_group_weights(df: DataFrame, group: str, name: str = "weight", partiti
     totals = sizes.groupBy(*partition).agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_groups"))
     per = sizes.join(totals, list(partition)) if partition else sizes.join(F.broadcast(totals))
     per = per.select(*partition, group, (F.col("_total") / F.col("_groups") / F.col("_n")).alias(name))
-    return df.join(per, [*partition, group])
+    return small_join(df, per, [*partition, group])
 
 
 def weight_audit(df: DataFrame, group: str, weight: str = "weight") -> DataFrame:
@@ -187,7 +186,7 @@ def comparison_audit(df: DataFrame, keys: Sequence[str], week: str = "match_week
 def search_summary(df: DataFrame, model: str, groups: str, loss: str, names: Sequence[str]) -> DataFrame:
     """Per (model, feature group): mean loss with and without the group, and the gap of the best set that has it."""
     best = df.groupBy(model).agg(F.min(loss).alias("_best"))
-    df = checked_join(df, best, [model], "inner")
+    df = small_join(df, best, [model])
     parts = [F.struct(F.lit(n).alias("feature_group"), F.array_contains(F.split(groups, r"\|"), n).alias("has")) for n in names]
     long = df.select(model, loss, "_best", F.inline(F.array(*parts)))
     return long.groupBy(model, "feature_group").agg(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lagwise.session import cut_lineage
 
 HOT_ROWS = 5_000_000
+BROADCAST_ROWS = 500_000
 CHUNK = "_chunk"
 
 
@@ -35,6 +36,20 @@ def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Store a derived table and mark it for broadcast when its counted rows allow it."""
+    stored = cut_lineage(table)
+    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
+
+
+def small_join(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a per-key table to many rows: without moving the rows as long as the table is small.
+
+    Beyond that the rows are shuffled, and adaptive execution splits the partitions of frequent keys.
+    """
+    return key_join(df, broadcast_if_small(table), keys, how)
+
+
 def split_frequent(df: DataFrame, keys: Sequence[str], max_rows: int | None) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, rows of keys above ``max_rows`` or None)."""
     if max_rows is None:
@@ -44,7 +59,7 @@ def split_frequent(df: DataFrame, keys: Sequence[str], max_rows: int | None) ->
     frequent = frequent_keys(df, keys, max_rows)
     if frequent.isEmpty():
         return df, None
-    frequent = cut_lineage(frequent)
+    frequent = broadcast_if_small(frequent)
     return key_join(df, frequent, keys, "left_anti"), key_join(df, frequent, keys, "left_semi")
 
 
@@ -134,11 +149,10 @@ def exact_quantiles(
         .select(*keys, "probability", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_pos"))
         .distinct()
     )
-    wanted = targets.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    wanted = broadcast_if_small(targets.withColumnsRenamed({k: f"_r_{k}" for k in keys}))
     inside = (F.col("_before") <= F.col("_pos")) & (F.col("_pos") < F.col("_before") + F.col("_n"))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], inside)
-    # without keys the targets are two rows per probability, so a broadcast is bounded
-    picked = ranked.join(wanted if keys else F.broadcast(wanted), on).withColumn("_v", F.col(value))
+    picked = ranked.join(wanted, on).withColumn("_v", F.col(value))
     low, high = F.min("_v"), F.max("_v")
     share = F.max("_at") - F.floor(F.max("_at"))
     return picked.groupBy(*keys, "probability").agg((low + (high - low) * share).alias("quantile"))

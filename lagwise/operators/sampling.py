@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.operators.ordering import HOT_ROWS, key_join, row_numbers
+from lagwise.operators.ordering import HOT_ROWS, key_join, row_numbers, small_join
 
 
 def sorted_output(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -22,7 +22,7 @@ def equal_frequency_bins(
     """0-based quantile bin of each row's rank; without ``bins`` their number follows from the group size."""
     ranked = row_numbers(df, keys, order, "_r", max_rows=max_rows)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = key_join(ranked, sizes, keys) if keys else ranked.join(F.broadcast(sizes))
+    ranked = small_join(ranked, sizes, keys) if keys else ranked.join(F.broadcast(sizes))
     q = F.lit(bins) if bins else F.greatest(F.lit(2), F.least(F.lit(maximum_bins), F.floor(F.col("_n") / minimum_size)))
     # ceil((r - 1) * q / (n - 1)) in whole numbers; a single row falls into bin 0
     span = F.greatest(F.col("_n") - 1, F.lit(1))
@@ -37,7 +37,7 @@ def evenly_spaced_sample(df: DataFrame, keys: Sequence[str], order: Sequence[Col
     picks = sizes.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     at = F.bround(F.col("_i") * (F.col("_n") - 1) / F.lit(size - 1)).cast("bigint") + 1
     wanted = picks.select(*keys, F.when(F.col("_n") <= size, F.col("_i") + 1).otherwise(at).alias("_r"))
-    return key_join(ranked, wanted.distinct(), [*keys, "_r"], "inner").drop("_r")
+    return small_join(ranked, wanted.distinct(), [*keys, "_r"]).drop("_r")
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -49,7 +49,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
 def pick_within_tolerance(df: DataFrame, keys: Sequence[str], loss: str, tolerance: float, order: Sequence[Column]) -> DataFrame:
     """Best row per key by ``order`` among the rows within ``tolerance`` of the lowest loss."""
     best = df.groupBy(*keys).agg(F.min(loss).alias("best_observed"))
-    joined = df.join(best, list(keys)) if keys else df.join(F.broadcast(best))
+    joined = small_join(df, best, keys) if keys else df.join(F.broadcast(best))
     return top_k(joined.filter(F.col(loss) <= F.col("best_observed") + tolerance), keys, order, 1).drop("rank")
 
 

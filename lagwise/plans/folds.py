@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagwise.operators.ordering import small_join
 from lagwise.operators.sampling import ordered_groups
 
 
@@ -23,7 +24,7 @@ def fold_rows(df: DataFrame, folds: DataFrame, season: str = "season") -> DataFr
     """Every row once per fold it belongs to, with its role (train or test)."""
     roles = folds.select("test_season", F.col("train_season").alias(season), F.lit("train").alias("role")).unionByName(
         folds.select("test_season", F.col("test_season").alias(season), F.lit("test").alias("role")).distinct())
-    return df.join(roles, season)
+    return small_join(df, roles, [season])
 
 
 def fold_checks(df: DataFrame, folds: DataFrame, *, season: str = "season", group: str = "league", time: str = "kickoff", result: str = "result_3way") -> DataFrame:
