@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lagwise.models.logistic import LogisticFit, Standardizer, fit_logistic, fit_standardizer
 from lagwise.models.score_model import RHO_BOUND, TAU_EPSILON, clip_rate, score_grid_probs, stabilize_rho
-from lagwise.operators.ordering import HOT_ROWS, exact_quantiles
+from lagwise.operators.ordering import HOT_ROWS, Limit, exact_quantiles
 
 # The match-level columns of the multinomial model, as (name, form, source).
 MULTINOMIAL_SMOOTH = (
@@ -139,7 +139,7 @@ class Spline:
         return out
 
 
-def fit_splines(df: DataFrame, columns: Sequence[str], n_knots: int = 4, degree: int = 3, *, max_rows: int | None = HOT_ROWS) -> list[Spline]:
+def fit_splines(df: DataFrame, columns: Sequence[str], n_knots: int = 4, degree: int = 3, *, max_rows: Limit = HOT_ROWS) -> list[Spline]:
     """Knots at evenly spaced exact quantiles of every column, found in one job."""
     if n_knots < 3 or degree < 1:
         raise ValueError("a spline needs at least three knots and degree one")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lagwise.operators.ordering import HOT_ROWS, chunked, join_offsets, key_join, row_numbers, split_frequent
+from lagwise.operators.ordering import HOT_ROWS, Limit, chunked, join_offsets, key_join, row_numbers, split_frequent
 
 SEQ = "_seq"
 BLOCK_ROWS = 100_000
@@ -113,7 +113,7 @@ def with_history(
     features: Sequence[Feature],
     *,
     prior_count: str | None = None,
-    max_rows: int | None = HOT_ROWS,
+    max_rows: Limit = HOT_ROWS,
 ) -> DataFrame:
     """Append the features (and, if named, the number of earlier rows) to every row."""
     sort = [_col(c) for c in order]
@@ -154,7 +154,8 @@ def with_ewm(
     alpha: float | None = None,
     initial: float | None = None,
     empty: float | None = 0.0,
-    max_rows: int | None = HOT_ROWS,
+    complete: Sequence[str] = (),
+    max_rows: Limit = HOT_ROWS,
 ) -> DataFrame:
     """Exponentially weighted mean of the earlier values, old weight shrinking also across nulls.
 
@@ -162,15 +163,56 @@ def with_ewm(
     b*x/(product of a) times the product of a: two ordinary window sums.  A block is long enough that
     whatever came before the previous block weighs less than 1e-26.  ``initial`` starts the state at a
     constant (every value then gets weight alpha); without it the first value seeds the state.
+    Outputs named in ``complete`` have no nulls (a null there is an error), so that all of them share
+    their windows.
     """
     a = alpha if alpha is not None else 1 - 0.5 ** (1 / halflife)
     length = max(8, math.ceil(60 / -math.log(1 - a)))
     sort = [_col(c) for c in order]
+    full = {n: _col(c).cast("double") for n, c in columns.items() if n in complete}
+    holed = {n: c for n, c in columns.items() if n not in complete}
     ordinary, frequent = split_frequent(df, keys, max_rows)
-    result = _ewm_ordinary(ordinary, keys, sort, columns, a, length, initial, empty)
+    result = _ewm_complete(ordinary, keys, sort, full, a, length, initial, empty, False) if full else ordinary
+    if holed:
+        result = _ewm_ordinary(result, keys, sort, holed, a, length, initial, empty)
     if frequent is None:
         return result
-    return result.unionByName(_ewm_frequent(frequent, keys, sort, columns, a, length, initial, empty))
+    large = _ewm_complete(frequent, keys, sort, full, a, length, initial, empty, True) if full else frequent
+    if holed:
+        large = _ewm_frequent(large, keys, sort, holed, a, length, initial, empty)
+    return result.unionByName(large)
+
+
+def _ewm_complete(df, keys, sort, columns, alpha, length, initial, empty, frequent):
+    """Columns without nulls: the weight kept is the same at every row, so one block number serves all."""
+    if frequent:
+        numbered = row_numbers(df, keys, sort, "_rn", max_rows=0)
+    else:
+        numbered = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)).cast("bigint"))
+    place = F.pmod(F.col("_rn") - 1, F.lit(length))
+    grow = F.pow(F.lit(1 / (1 - alpha)), (F.col("_j") + 1).cast("double"))
+    weight = F.lit(alpha) if initial is not None else F.when(F.col("_rn") == 1, 1.0).otherwise(alpha)
+    staged = numbered.withColumn("_b", F.floor((F.col("_rn") - 1) / length)).withColumn("_j", place)
+    checked = {n: F.when(c.isNull(), F.raise_error(F.lit(f"null in {n}"))).otherwise(c) for n, c in columns.items()}
+    staged = staged.withColumns({f"_w_{n}": weight * c * grow for n, c in checked.items()})
+    block = Window.partitionBy(*keys, "_b").orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
+    staged = staged.select("*", *[F.coalesce(F.sum(f"_w_{n}").over(block), F.lit(0.0)).alias(f"_t_{n}") for n in columns])
+    end = (1 - alpha) ** length
+    if frequent:
+        totals = staged.groupBy(*keys, (F.col("_b") + 1).alias("_b")).agg(*[F.sum(f"_w_{n}").alias(f"_e_{n}") for n in columns])
+        staged = key_join(staged, totals, [*keys, "_b"])
+    else:
+        earlier = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-1, -1)
+        staged = staged.select("*", *[F.sum(f"_w_{n}").over(earlier).alias(f"_e_{n}") for n in columns])
+    seed = F.lit(0.0 if initial is None else initial)
+    shrink = F.pow(F.lit(1 - alpha), F.col("_j").cast("double"))
+    states = []
+    for n in columns:
+        state = shrink * (F.when(F.col("_b") > 0, F.col(f"_e_{n}") * end).otherwise(seed) + F.col(f"_t_{n}"))
+        if initial is None:
+            state = F.when(F.col("_rn") == 1, F.lit(empty).cast("double")).otherwise(state)
+        states.append(state.alias(n))
+    return staged.select(*df.columns, *states)
 
 
 def _ewm_ordinary(df, keys, sort, columns, alpha, length, initial, empty):

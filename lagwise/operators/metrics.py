@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.functions.scores import CLASSES, METRICS, PROBS, brier, correct, log_loss, rps
-from lagwise.operators.ordering import HOT_ROWS, exact_quantiles, small_join
+from lagwise.operators.ordering import HOT_ROWS, Limit, exact_quantiles, small_join
 from lagwise.operators.sampling import equal_frequency_bins
 
 
@@ -78,7 +78,7 @@ def wilson(successes: Column, total: Column, z: float = 1.96) -> tuple[Column, C
     return F.greatest(F.lit(0.0), centre - margin), F.least(F.lit(1.0), centre + margin)
 
 
-def reliability_table(df: DataFrame, keys: Sequence[str], tie: Sequence[str], *, max_rows: int | None = HOT_ROWS, **bins) -> DataFrame:
+def reliability_table(df: DataFrame, keys: Sequence[str], tie: Sequence[str], *, max_rows: Limit = HOT_ROWS, **bins) -> DataFrame:
     """Per (keys, outcome, bin): mean prediction, observed rate, Wilson interval and absolute gap."""
     groups = [*keys, "outcome"]
     binned = equal_frequency_bins(by_outcome(df), groups, [F.col("prediction"), *[F.col(t) for t in tie]], max_rows=max_rows, **bins)
@@ -97,7 +97,7 @@ def calibration_errors(reliability: DataFrame, keys: Sequence[str]) -> DataFrame
         *[F.max(F.when(F.col("outcome") == c, F.col("ece"))).alias(f"ece_{c}") for c in CLASSES], F.avg("ece").alias("ece"), F.max("gap").alias("mce"))
 
 
-def confidence_table(df: DataFrame, keys: Sequence[str], tie: Sequence[str], *, max_rows: int | None = HOT_ROWS, **bins) -> DataFrame:
+def confidence_table(df: DataFrame, keys: Sequence[str], tie: Sequence[str], *, max_rows: Limit = HOT_ROWS, **bins) -> DataFrame:
     """Accuracy by bins of the largest probability."""
     sure = df.select(*keys, *tie, F.greatest(*PROBS).alias("confidence"), correct().alias("correct"))
     binned = equal_frequency_bins(sure, keys, [F.col("confidence"), *[F.col(t) for t in tie]], max_rows=max_rows, **bins)
@@ -167,7 +167,7 @@ def linear_fits(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
-def axis_limits(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99, *, max_rows: int | None = HOT_ROWS) -> DataFrame:
+def axis_limits(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99, *, max_rows: Limit = HOT_ROWS) -> DataFrame:
     """Lower and upper quantile per column, one wider on both sides when they coincide."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])))
     long = long.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))

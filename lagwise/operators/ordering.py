@@ -9,6 +9,7 @@ offset of what came before.  The two ways return the same values.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,17 +51,40 @@ def small_join(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str =
     return key_join(df, broadcast_if_small(table), keys, how)
 
 
-def split_frequent(df: DataFrame, keys: Sequence[str], max_rows: int | None) -> tuple[DataFrame, DataFrame | None]:
+@dataclass(frozen=True)
+class Frequent:
+    """Keys already found to be large (None: there are none), to be passed as ``max_rows`` by callers
+    that use one key several times, so that it is counted once and on the smallest table."""
+
+    table: DataFrame | None
+
+    def __bool__(self) -> bool:
+        return self.table is not None
+
+
+Limit = int | Frequent | None
+
+
+def find_frequent(df: DataFrame, keys: Sequence[str], max_rows: Limit = HOT_ROWS) -> Frequent:
+    """Count the rows of every key once."""
+    if isinstance(max_rows, Frequent):
+        return max_rows
+    if max_rows is None:
+        return Frequent(None)
+    found = frequent_keys(df, keys, max_rows)
+    return Frequent(None if found.isEmpty() else broadcast_if_small(found))
+
+
+def split_frequent(df: DataFrame, keys: Sequence[str], max_rows: Limit) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, rows of keys above ``max_rows`` or None)."""
     if max_rows is None:
         return df, None
-    if not keys:
+    if not keys and not isinstance(max_rows, Frequent):
         return (df, None) if df.limit(max_rows + 1).count() <= max_rows else (df.limit(0), df)
-    frequent = frequent_keys(df, keys, max_rows)
-    if frequent.isEmpty():
+    frequent = find_frequent(df, keys, max_rows)
+    if not frequent:
         return df, None
-    frequent = broadcast_if_small(frequent)
-    return key_join(df, frequent, keys, "left_anti"), key_join(df, frequent, keys, "left_semi")
+    return key_join(df, frequent.table, keys, "left_anti"), key_join(df, frequent.table, keys, "left_semi")
 
 
 def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -91,7 +115,7 @@ def running_totals(
     sums: Mapping[str, Column],
     *,
     inclusive: bool = False,
-    max_rows: int | None = HOT_ROWS,
+    max_rows: Limit = HOT_ROWS,
 ) -> DataFrame:
     """Per row the sum of each expression over the earlier rows of its key (0 at the first row)."""
     ordinary, frequent = split_frequent(df, keys, max_rows)
@@ -114,7 +138,7 @@ def row_numbers(
     order: Sequence[Column],
     name: str = "row_no",
     *,
-    max_rows: int | None = HOT_ROWS,
+    max_rows: Limit = HOT_ROWS,
 ) -> DataFrame:
     """1-based position of each row inside its key, as a bigint."""
     ordinary, frequent = split_frequent(df, keys, max_rows)
@@ -134,7 +158,7 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     *,
-    max_rows: int | None = HOT_ROWS,
+    max_rows: Limit = HOT_ROWS,
 ) -> DataFrame:
     """Linear-interpolation quantiles per key (columns keys, probability, quantile).
 

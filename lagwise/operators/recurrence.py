@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.operators.history import with_ewm
-from lagwise.operators.ordering import HOT_ROWS, key_join, row_numbers, running_totals, split_frequent
+from lagwise.operators.ordering import HOT_ROWS, Limit, find_frequent, key_join, row_numbers, running_totals, split_frequent
 from lagwise.session import cut_lineage
 from lagwise.sources.tables import scratch_path
 
@@ -40,7 +40,7 @@ def team_rows(matches: DataFrame, *carry: str) -> DataFrame:
     return matches.select("league", "kickoff", "match_id", *carry, F.inline(F.array(side("home", "away"), side("away", "home"))))
 
 
-def before_batch(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], columns: Sequence[str], *, max_rows: int | None = HOT_ROWS) -> DataFrame:
+def before_batch(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], columns: Sequence[str], *, max_rows: Limit = HOT_ROWS) -> DataFrame:
     """Give every row of a (key, time) batch the value its first row has."""
     batch = [*keys, time]
     ordinary, frequent = split_frequent(df, batch, max_rows)
@@ -54,14 +54,17 @@ def before_batch(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[
     return result.unionByName(key_join(frequent.drop(*columns), heads, batch, "inner").select(*rest, *columns))
 
 
-def goal_rates(matches: DataFrame, *, max_rows: int | None = HOT_ROWS) -> DataFrame:
+def goal_rates(matches: DataFrame, *, max_rows: Limit = HOT_ROWS) -> DataFrame:
     """Per team and fixture: exponentially weighted scoring and conceding rates before the kickoff."""
     rows = team_rows(matches)
+    teams = find_frequent(rows, ["league", "team"], max_rows)
     rated = with_ewm(rows, ["league", "team"], ["kickoff", "match_id", "team_side"],
                      {"attack_goal_rate_ewm": "scored", "defence_goal_rate_ewm": "conceded"},
-                     halflife=None, alpha=RATE_ALPHA, initial=RATE_START, max_rows=max_rows)
+                     halflife=None, alpha=RATE_ALPHA, initial=RATE_START,
+                     complete=["attack_goal_rate_ewm", "defence_goal_rate_ewm"], max_rows=teams)
+    # a batch is never larger than its team
     return before_batch(rated, ["league", "team"], "kickoff", ["match_id", "team_side"],
-                        ["attack_goal_rate_ewm", "defence_goal_rate_ewm"], max_rows=max_rows)
+                        ["attack_goal_rate_ewm", "defence_goal_rate_ewm"], max_rows=HOT_ROWS if teams else None)
 
 
 def expected_goals_strength(rates: DataFrame) -> DataFrame:
@@ -78,11 +81,13 @@ def expected_goals_strength(rates: DataFrame) -> DataFrame:
     return sides.select("league", "match_id", F.inline(both))
 
 
-def prior_matches(matches: DataFrame, *, max_rows: int | None = HOT_ROWS) -> DataFrame:
+def prior_matches(matches: DataFrame, *, max_rows: Limit = HOT_ROWS) -> DataFrame:
     """Per team and fixture the number of its fixtures at earlier kickoffs."""
-    rows = row_numbers(team_rows(matches), ["league", "team"], [F.col("kickoff"), F.col("match_id"), F.col("team_side")], "prior_team_matches", max_rows=max_rows)
+    rows = team_rows(matches)
+    teams = find_frequent(rows, ["league", "team"], max_rows)
+    rows = row_numbers(rows, ["league", "team"], [F.col("kickoff"), F.col("match_id"), F.col("team_side")], "prior_team_matches", max_rows=teams)
     rows = rows.withColumn("prior_team_matches", F.col("prior_team_matches") - 1)
-    return before_batch(rows, ["league", "team"], "kickoff", ["match_id", "team_side"], ["prior_team_matches"], max_rows=max_rows)
+    return before_batch(rows, ["league", "team"], "kickoff", ["match_id", "team_side"], ["prior_team_matches"], max_rows=HOT_ROWS if teams else None)
 
 
 def _elo_columns(home_rating: Column, away_rating: Column) -> list[Column]:
@@ -95,7 +100,7 @@ def _elo_columns(home_rating: Column, away_rating: Column) -> list[Column]:
     return [F.inline(both)]
 
 
-def elo(matches: DataFrame, *, max_rows: int | None = 2_000_000) -> DataFrame:
+def elo(matches: DataFrame, *, max_rows: Limit = 2_000_000) -> DataFrame:
     """Per team and fixture: rating, opponent's rating, difference and expectation before the kickoff.
 
     Ratings couple all teams of a league, so a league of at most ``max_rows`` fixtures is one bounded
@@ -221,7 +226,7 @@ def opponent_adjusted(
     position: str = "position",
     positions: Sequence[str] = ("D", "F", "G", "M"),
     strength: float = RIDGE_STRENGTH,
-    max_rows: int | None = HOT_ROWS,
+    max_rows: Limit = HOT_ROWS,
 ) -> DataFrame:
     """adjusted_<target> = actual minus the expectation of a ridge fit on strictly earlier kickoffs.
 

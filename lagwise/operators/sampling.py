@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.operators.ordering import HOT_ROWS, key_join, row_numbers, small_join
+from lagwise.operators.ordering import HOT_ROWS, Limit, key_join, row_numbers, small_join
 
 
 def sorted_output(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -17,7 +17,7 @@ def sorted_output(df: DataFrame, *order: Column | str) -> DataFrame:
 
 def equal_frequency_bins(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "bin",
-    *, bins: int | None = None, minimum_size: int = 50, maximum_bins: int = 10, max_rows: int | None = HOT_ROWS,
+    *, bins: int | None = None, minimum_size: int = 50, maximum_bins: int = 10, max_rows: Limit = HOT_ROWS,
 ) -> DataFrame:
     """0-based quantile bin of each row's rank; without ``bins`` their number follows from the group size."""
     ranked = row_numbers(df, keys, order, "_r", max_rows=max_rows)
@@ -30,7 +30,7 @@ def equal_frequency_bins(
     return ranked.withColumn(name, (F.greatest(edge, F.lit(1)) - 1).cast("bigint")).drop("_r", "_n")
 
 
-def evenly_spaced_sample(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int, *, max_rows: int | None = HOT_ROWS) -> DataFrame:
+def evenly_spaced_sample(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int, *, max_rows: Limit = HOT_ROWS) -> DataFrame:
     """``size`` rows at evenly spaced ranks per key (all rows of a smaller group)."""
     ranked = row_numbers(df, keys, order, "_r", max_rows=max_rows)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -58,7 +58,7 @@ def seeded_order(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def shuffle_within(df: DataFrame, groups: Sequence[str], key: str, columns: Sequence[str], seed: int, prefix: str = "shuffled_", *, max_rows: int | None = HOT_ROWS) -> DataFrame:
+def shuffle_within(df: DataFrame, groups: Sequence[str], key: str, columns: Sequence[str], seed: int, prefix: str = "shuffled_", *, max_rows: Limit = HOT_ROWS) -> DataFrame:
     """Permute a block of columns jointly inside each group: rank by key meets rank by seeded hash."""
     natural = row_numbers(df, groups, [F.col(key)], "_rank", max_rows=max_rows)
     donors = df.select(*groups, key, *columns)

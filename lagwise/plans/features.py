@@ -14,6 +14,7 @@ from lagwise.operators import lineup as L
 from lagwise.operators import recurrence as R
 from lagwise.operators.checks import check_dataset, finite_rules
 from lagwise.operators.joins import attach_default, merge_complete, pivot_sides
+from lagwise.operators.ordering import find_frequent
 from lagwise.session import cut_lineage
 
 WINDOWS = (1, 3, 5)
@@ -58,10 +59,11 @@ class FormSpec:
 
 def team_strength(matches: DataFrame) -> DataFrame:
     """Ratings, rates, strength and earlier fixtures of every team before every fixture."""
-    rates = cut_lineage(R.goal_rates(matches))
-    strength = R.expected_goals_strength(rates)
     keys = ["league", "match_id", "team_side"]
-    prior = R.prior_matches(matches).select(*keys, "prior_team_matches")
+    teams = find_frequent(R.team_rows(matches), ["league", "team"])
+    rates = cut_lineage(R.goal_rates(matches, max_rows=teams))
+    strength = R.expected_goals_strength(rates)
+    prior = R.prior_matches(matches, max_rows=teams).select(*keys, "prior_team_matches")
     table = R.elo(matches).join(rates.select(*keys, "attack_goal_rate_ewm", "defence_goal_rate_ewm"), keys)
     return table.join(strength, keys).join(prior, keys)
 
@@ -78,17 +80,20 @@ def player_form(appearances: DataFrame, strength: DataFrame, spec: FormSpec = Fo
     All bounded windows of one player share a single shuffle and sort.
     """
     ratings = strength.select("match_id", F.col("team").alias("team_id"), "elo_rating", "opponent_elo_rating")
-    rows = attach_default(clean_appearances(appearances, spec), ratings, ["match_id", "team_id"],
+    rows = clean_appearances(appearances, spec)
+    players = find_frequent(rows, ["player_id"])
+    kickoffs = find_frequent(rows.select("league", "kickoff").distinct(), ["league"])
+    rows = attach_default(rows, ratings, ["match_id", "team_id"],
                           {"elo_rating": R.ELO_START, "opponent_elo_rating": R.ELO_START})
     rows = rows.withColumn("is_home", (F.col("team_id") == F.col("home_team")).cast("double"))
-    rows = R.opponent_adjusted(rows, spec.targets, positions=tuple(sorted(spec.positions.values())))
+    rows = R.opponent_adjusted(rows, spec.targets, positions=tuple(sorted(spec.positions.values())), max_rows=kickoffs)
     per90 = lambda c: F.when(F.col("minutes") > 0, 90.0 * F.col(c) / F.col("minutes")).otherwise(0.0)
     rows = rows.withColumns({f"_rate_{s}": per90(s) for s in spec.recent})
     order = [*spec.order]
     ewm = {f"form_{s}_per90_ewm": f"_rate_{s}" for s in spec.recent}
     ewm["form_rating_ewm"] = spec.rating
     ewm.update({f"form_adjusted_{t}_ewm": f"adjusted_{t}" for t in spec.targets})
-    rows = H.with_ewm(rows, ["player_id"], order, ewm, halflife=HALF_LIFE)
+    rows = H.with_ewm(rows, ["player_id"], order, ewm, halflife=HALF_LIFE, complete=[n for n in ewm if n != "form_rating_ewm"], max_rows=players)
 
     features = [
         H.window_size(FULL_WINDOW, "form_window_appearances_5"), H.days_since_previous("kickoff", "days_since_previous_appearance"),
@@ -110,7 +115,7 @@ def player_form(appearances: DataFrame, strength: DataFrame, spec: FormSpec = Fo
         mean = (lambda k, n, c=column: H.rate(c * F.col("minutes"), "minutes", k, n, per=1.0)) if target.per90 else (lambda k, n, c=column: H.prev_mean(c, k, n))
         features += [mean(k, f"form_adjusted_{t}_mean_{k}") for k in WINDOWS]
         features += [H.trend(mean(1, ""), mean(5, ""), f"form_adjusted_{t}_trend_1_5"), H.prev_std(column, 5, f"form_adjusted_{t}_std_5")]
-    rows = H.with_history(rows, ["player_id"], order, features, prior_count="prior_appearances")
+    rows = H.with_history(rows, ["player_id"], order, features, prior_count="prior_appearances", max_rows=players)
     return rows.withColumn("has_prior_history", F.col("prior_appearances") > 0).drop(*[f"_rate_{s}" for s in spec.recent])
 
 

@@ -50,20 +50,22 @@ def test_bounded_windows(spark, max_rows, monkeypatch):
     np.testing.assert_allclose(got.p.fillna(-1).astype(float), g["id"].shift(1).fillna(-1))
 
 
+@pytest.mark.parametrize("complete", [(), ("ex",)])
 @pytest.mark.parametrize("max_rows", [None, 50])
-def test_ewm_matches_pandas(spark, max_rows):
+def test_ewm_matches_pandas(spark, max_rows, complete):
     frame = sample()
-    got = H.with_ewm(to_spark(spark, frame), ["k"], ["t", "id"], {"ex": "x", "ey": "y"}, halflife=2.0, max_rows=max_rows)
+    got = H.with_ewm(to_spark(spark, frame), ["k"], ["t", "id"], {"ex": "x", "ey": "y"}, halflife=2.0, complete=complete, max_rows=max_rows)
     got = got.toPandas().sort_values(["k", "t", "id"]).reset_index(drop=True)
     for c in ("x", "y"):
         want = frame.groupby("k")[c].transform(lambda v: v.shift(1).ewm(halflife=2.0, adjust=False).mean()).fillna(0)
         np.testing.assert_allclose(got["e" + c], want, rtol=1e-9, atol=1e-9)
 
 
+@pytest.mark.parametrize("complete", [(), ("e",)])
 @pytest.mark.parametrize("max_rows", [None, 50])
-def test_ewm_with_initial_state(spark, max_rows):
+def test_ewm_with_initial_state(spark, max_rows, complete):
     frame = sample()
-    got = H.with_ewm(to_spark(spark, frame), ["k"], ["t", "id"], {"e": "x"}, alpha=0.2, initial=1.35, max_rows=max_rows)
+    got = H.with_ewm(to_spark(spark, frame), ["k"], ["t", "id"], {"e": "x"}, alpha=0.2, initial=1.35, complete=complete, max_rows=max_rows)
     got = got.toPandas().sort_values(["k", "t", "id"]).reset_index(drop=True)
     want = []
     for _, group in frame.groupby("k"):
@@ -74,6 +76,11 @@ def test_ewm_with_initial_state(spark, max_rows):
     np.testing.assert_allclose(got.e, want, rtol=1e-9)
 
 
+def test_null_in_a_complete_column_is_an_error(spark):
+    with pytest.raises(Exception, match="null in e"):
+        H.with_ewm(to_spark(spark, sample()), ["k"], ["t", "id"], {"e": "y"}, complete=["e"]).collect()
+
+
 def test_running_totals_and_ranks(spark):
     frame = sample()
     df = to_spark(spark, frame)
