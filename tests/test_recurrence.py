@@ -87,7 +87,10 @@ def appearances(frame, seed=2):
 
 
 def as_spark(spark, frame):
-    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None).to_dict("records"),
+    records = frame.astype(object).where(frame.notna(), None).to_dict("records")
+    for row in records:
+        row["kickoff"] = row["kickoff"].to_pydatetime()
+    return spark.createDataFrame(records,
                                  "league string, match_id long, kickoff timestamp, team long, player_id long, is_home double, elo_rating double, "
                                  "opponent_elo_rating double, position string, minutes double, shots double, rating double")
 
