@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lagwise.operators.history import with_ewm
 from lagwise.operators.ordering import HOT_ROWS, Limit, find_frequent, key_join, row_numbers, running_totals, split_frequent
-from lagwise.session import cut_lineage
+from lagwise.session import store
 from lagwise.sources.tables import scratch_path
 
 # Fixed values of the rating and rate definitions.
@@ -164,8 +164,8 @@ def _elo_sweeps(games: DataFrame, kickoffs_per_slab: int = 64, tolerance: float
         part = spark.read.parquet(f"{path}/games").filter(F.col("_slab") == slab).drop("_slab")
         part = part.withColumn("_change", F.lit(0.0))
         start = ratings
-        for _ in range(kickoffs_per_slab + 1):
-            swept = cut_lineage(_elo_sweep(part, start))
+        for sweep in range(kickoffs_per_slab + 1):
+            swept = store(_elo_sweep(part, start), f"{path}/sweeps/{slab}-{sweep}")
             worst = swept.agg(F.max(F.abs(F.col("_new") - F.col("_change")))).first()[0]
             part = swept.drop("_change", "_home", "_away").withColumnRenamed("_new", "_change")
             if worst <= tolerance:
@@ -179,7 +179,7 @@ def _elo_sweeps(games: DataFrame, kickoffs_per_slab: int = 64, tolerance: float
             known = start.select("league", "team", F.lit(1).alias("_old"))
             ratings = key_join(ratings, known, ["league", "team"]).select(
                 "league", "team", (F.col("_r") + F.when(F.col("_old").isNull(), ELO_START).otherwise(0.0)).alias("_r"))
-        ratings = cut_lineage(ratings)
+        ratings = store(ratings, f"{path}/ratings/{slab}")
     return spark.read.parquet(f"{path}/done").drop("slab")
 
 

@@ -43,3 +43,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, path: str) -> DataFrame:
+    """Write to a shared folder and read back: unlike a checkpoint, nothing of the old plan is carried
+    along, which matters when a result feeds the next of many iterations."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

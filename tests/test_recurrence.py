@@ -41,12 +41,12 @@ def slow_elo(frame):
     return out
 
 
-@pytest.mark.parametrize("max_rows", [None, 100])
+@pytest.mark.parametrize("max_rows", [None, 30])
 def test_elo(spark, max_rows, monkeypatch):
-    frame = fixtures()
+    frame = fixtures(60 if max_rows else 240)
     if max_rows:
         original = R._elo_sweeps
-        monkeypatch.setattr(R, "_elo_sweeps", lambda games: original(games, kickoffs_per_slab=40))
+        monkeypatch.setattr(R, "_elo_sweeps", lambda games: original(games, kickoffs_per_slab=10))
     got = R.elo(spark.createDataFrame(frame), max_rows=max_rows).filter("team_side = 'home'").toPandas().set_index("match_id")
     want = slow_elo(frame)
     assert len(got) == len(want)
