@@ -12,9 +12,8 @@ from pyspark.sql import types as T
 MATCH_CONTEXT = ("match_id", "season", "utc_date", "home_team_id", "home_team", "away_team_id", "away_team")
 
 
-def _objects(json: str, path: str) -> Column:
-    """Elements of the array at ``path`` as JSON text; null unless it is an array."""
-    text = F.get_json_object(json, path)
+def _array(text: Column) -> Column:
+    """Elements of a JSON array as text; null unless it is an array."""
     return F.when(text.startswith("["), F.from_json(text, "array<string>"))
 
 
@@ -22,13 +21,26 @@ def explode_player_payload(df: DataFrame, json: str, output: str = "player") ->
     """One row per player object of a payload.
 
     ``data`` may be a list, an object with ``players``, or an object with ``home`` and ``away`` that are
-    lists or hold ``players``.  Elements that are not objects are dropped.
+    lists or hold ``players``.  Elements that are not objects are dropped.  Every level is parsed once:
+    members stay JSON text until they are needed, and the outer explode keeps the optimizer from
+    evaluating the parsed array a second time in an inferred filter.
     """
     none = F.array().cast("array<string>")
-    sides = [F.coalesce(_objects(json, f"$.data.{s}"), _objects(json, f"$.data.{s}.players"), none) for s in ("home", "away")]
-    found = F.coalesce(_objects(json, "$.data"), _objects(json, "$.data.players"), F.concat(*sides))
-    objects = F.filter(found, lambda e: F.coalesce(e.startswith("{"), F.lit(False)))
-    return df.withColumn(output, F.explode(objects))
+    names = df.columns
+    staged = df.withColumn("_data", F.get_json_object(json, "$.data"))
+    staged = staged.withColumn("_parts", F.when(F.col("_data").startswith("{"), F.from_json("_data", "players string, home string, away string")))
+
+    def side(name: str) -> Column:
+        text = F.col(f"_parts.{name}")
+        return F.when(text.startswith("["), _array(text)).when(text.startswith("{"), _array(F.get_json_object(text, "$.players")))
+
+    players = F.col("_parts.players")
+    found = (
+        F.when(F.col("_data").startswith("["), _array(F.col("_data"))).when(players.startswith("["), _array(players))
+        .otherwise(F.concat(F.coalesce(side("home"), none), F.coalesce(side("away"), none)))
+    )
+    exploded = staged.select(*[F.col(f"`{c}`") for c in names], F.explode_outer(found).alias(output))
+    return exploded.filter(F.col(output).startswith("{"))
 
 
 def infer_json_type(df: DataFrame, json: str) -> str:
