@@ -37,13 +37,13 @@ _ODDS = {"AvgCH": "home_odds", "AvgCD": "draw_odds", "AvgCA": "away_odds", "B365
 def _season_file(spark, sf):
     """Fixtures as a season file writes them: blanks around headers, missing closing prices, some rows without goals."""
     m = matches(spark, sf)
-    closing = F.col("home_team") % 3 != 0
+    closing = F.col("home_odds") <= 4.0
     prices = [F.when(closing if c.startswith("AvgC") else F.lit(True), F.col(v)).cast("string").alias(f" {c} ") for c, v in _ODDS.items()]
     return m.select(
         F.concat(F.lit("D"), F.col("league").cast("string")).alias("﻿Div"), F.date_format("kickoff", "dd/MM/yyyy").alias("Date "),
         F.concat(F.lit(" T"), F.col("home_team").cast("string"), F.lit("-"), F.col("match_id").cast("string")).alias("HomeTeam"),
         F.concat(F.lit("T"), F.col("away_team").cast("string")).alias("AwayTeam"),
-        F.when(F.col("away_team") != 7, F.col("home_score")).cast("string").alias("HG"), F.col("away_score").cast("string").alias("FTAG"),
+        F.when(F.col("draw_odds") <= 4.5, F.col("home_score")).cast("string").alias("HG"), F.col("away_score").cast("string").alias("FTAG"),
         F.lower(S.result_3way("home_score", "away_score")).alias("Res"), F.col("season").alias("start_year"), *prices)
 
 
@@ -52,9 +52,9 @@ SELECT concat('T', home_team, '-', match_id) AS home_team, concat('T', away_team
   concat(season, '-', lpad(CAST((season + 1) % 100 AS VARCHAR), 2, '0')) AS season, strftime(kickoff, '%Y-%m-%d') AS match_date,
   home_score AS full_time_home, away_score AS full_time_away,
   CASE WHEN home_score > away_score THEN 'H' WHEN home_score < away_score THEN 'A' ELSE 'D' END AS result_3way,
-  CASE WHEN home_team % 3 <> 0 THEN 'market_average_closing' ELSE 'bet365_preclosing' END AS odds_source, home_team % 3 <> 0 AS odds_is_closing,
+  CASE WHEN home_odds <= 4 THEN 'market_average_closing' ELSE 'bet365_preclosing' END AS odds_source, home_odds <= 4 AS odds_is_closing,
   home_odds, draw_odds, away_odds, round(1/home_odds / (1/home_odds + 1/draw_odds + 1/away_odds), 6) AS market_p_home
-FROM matches WHERE away_team <> 7"""))
+FROM matches WHERE draw_odds <= CAST(4.5 AS DOUBLE)"""))
 def _season(spark, sf):
     clean = T.normalize_season_results(_season_file(spark, sf), "start_year", source="provider")
     return clean.select("home_team", "away_team", "division", "season", "match_date", "full_time_home", "full_time_away", "result_3way",

@@ -101,8 +101,8 @@ def _boosted(spark, sf):
 def _tuned(spark, sf):
     d = design(spark, sf)
     sets = {"form": list(FORM), "form_market": [*FORM, *L.MARKET_FEATURES]}
-    tuned = G.fit_tuned_boosting(d.filter("season < 1998"), sets, trials=2, stability_candidates=1, stability_seeds=1, max_iter=2)
-    return rounded(tuned.transform(d.filter("season = 1998")).select("match_id", *PROBS))
+    tuned = G.fit_tuned_boosting(d.filter("season < 2001"), sets, trials=2, stability_candidates=1, stability_seeds=1, max_iter=2)
+    return rounded(tuned.transform(d.filter("season = 2001")).select("match_id", *PROBS))
 
 
 def _score_fits(d):
@@ -140,15 +140,15 @@ def _grid(spark, sf):
 
 
 @query("expected_rates", with_ctes(MATCHES, body="""
-, t AS (SELECT league, home_team AS team, ln(avg(home_score) + 0.5) AS attack, ln(avg(away_score) + 0.5) AS defence FROM matches WHERE home_team <> 3 GROUP BY 1, 2),
+, t AS (SELECT league, home_team AS team, ln(avg(home_score) + 0.5) AS attack, ln(avg(away_score) + 0.5) AS defence FROM matches GROUP BY 1, 2 HAVING avg(home_score) > 1.5),
 r AS (SELECT m.match_id, least(greatest(exp(0.1 + coalesce(h.attack, 0) + coalesce(a.defence, 0)), 0.02), 6) AS lh, least(greatest(exp(-0.1 + coalesce(a.attack, 0) + coalesce(h.defence, 0)), 0.02), 6) AS la
  FROM matches m LEFT JOIN t h ON m.league = h.league AND m.home_team = h.team LEFT JOIN t a ON m.league = a.league AND m.away_team = a.team)
 SELECT match_id, round(lh, 6) AS home_rate, round(la, 6) AS away_rate, round(least(greatest(0.19::DOUBLE, greatest((1e-8 - 1) / lh, (1e-8 - 1) / la)), least((1 - 1e-8) / (lh * la), 1 - 1e-8)), 6) AS effective_rho FROM r"""))
 def _expected(spark, sf):
     """Rates from a team table, an unseen team having no effect, and the correction kept positive."""
     m = matches(spark, sf)
-    t = m.filter("home_team <> 3").groupBy("league", F.col("home_team").alias("team")).agg(
-        F.log(F.avg("home_score") + 0.5).alias("attack"), F.log(F.avg("away_score") + 0.5).alias("defence"))
+    t = m.groupBy("league", F.col("home_team").alias("team")).agg(
+        F.avg("home_score").alias("mean"), F.log(F.avg("home_score") + 0.5).alias("attack"), F.log(F.avg("away_score") + 0.5).alias("defence")).filter("mean > 1.5")
     both = J.lookup_both_sides(m, t, ["league"], "team", "home_team", "away_team", ["attack", "defence"], 0.0)
     home = D.clip_rate(F.exp(0.1 + F.col("home_attack") + F.col("away_defence")))
     away = D.clip_rate(F.exp(-0.1 + F.col("away_attack") + F.col("home_defence")))
@@ -327,8 +327,7 @@ def _removal(spark, sf):
 @query("score_model_selection")
 def _selection(spark, sf):
     d = design(spark, sf)
-    folds = {t: s for t, s in X.fold_seasons(d).items() if t >= 2000}
-    table, chosen = X.score_model_selection(d, {"attack": GROUPS["attack"], "defence": GROUPS["defence"]}, folds)
+    table, chosen = X.score_model_selection(d, {"attack": GROUPS["attack"], "defence": GROUPS["defence"]}, X.fold_seasons(d))
     out = spark.createDataFrame(table.assign(selected=table["feature_set"] == chosen))
     return out.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
