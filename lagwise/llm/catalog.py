@@ -4,7 +4,7 @@ from importlib import import_module
 
 from lagwise.llm.registry import ORACLES, QUERIES
 
-_MODULES = ("exact",)
+_MODULES = ("simhash", "exact")
 
 
 def queries():
