@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -11,11 +12,13 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END_ID = 2
-#: Words held by a worker (some 100 MB), and the longest word that is held.
-HELD_WORDS = 400_000
+#: Words held by a worker (some 100 MB) of either kind, and the longest word that is held.
+HELD_WORDS = 600_000
 WORD_CHARS = 48
 #: Characters of new words encoded in one call.
 CALL_CHARS = 100_000
+#: Letters that have one lower-case form everywhere, and marks that form one token run after letters.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*%#$&|]*)")
 
 
 def word_tokenizer() -> str:
@@ -38,6 +41,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
         probes = [(c, self._plain(f"a {c} a")) for c in "¶§†‡•"]
         a = self._plain("a")
         self.border, self.border_id = next((c, ids[1]) for c, ids in probes if len(ids) == 3 and ids[:1] == ids[2:] == a)
@@ -48,41 +52,58 @@ class WordEncoder:
     def _bytes(self, ids: Sequence[int]) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        ids = np.array(self._plain(f" {self.border} ".join(words)), dtype=self.dtype)
+    def _encode_parts(self, parts: list[str]) -> None:
+        ids = np.array(self._plain(f" {self.border} ".join(parts)), dtype=self.dtype)
         cuts = np.flatnonzero(ids == self.border_id)
-        if len(cuts) != len(words) - 1:
+        if len(cuts) != len(parts) - 1:
             raise AssertionError("a word holds the border")
         lo = np.concatenate(([0], cuts + 1)) * ids.itemsize
         hi = np.append(cuts, len(ids)) * ids.itemsize
         raw = ids.tobytes()
-        for word, a, b in zip(words, lo.tolist(), hi.tolist()):
-            self.words[word] = raw[a:b]
+        for part, a, b in zip(parts, lo.tolist(), hi.tolist()):
+            self.parts[part] = raw[a:b]
+
+    def _learn(self, unknown: set[str]) -> list[str]:
+        """Encode new words: letters and the marks after them apart, as the tokenizer does; returns words not to hold."""
+        if len(self.parts) > HELD_WORDS:
+            self.parts = {"": b""}
+        cut, long = [], []
+        for word in unknown:
+            if len(word) > WORD_CHARS or self.border in word or not word.isprintable():
+                self.words[word] = self._bytes(self._plain(word))
+                long.append(word)
+            elif m := _PLAIN.fullmatch(word):
+                cut.append((word, m[1].lower(), m[2]))
+            else:
+                cut.append((word, word, ""))
+        pending, chars = [], 0
+        for part in {p for _, *parts in cut for p in parts} - self.parts.keys():
+            pending.append(part)
+            chars += len(part)
+            if chars > CALL_CHARS:
+                self._encode_parts(pending)
+                pending, chars = [], 0
+        if pending:
+            self._encode_parts(pending)
+        parts = self.parts
+        self.words.update((word, parts[a] + parts[b]) for word, a, b in cut)
+        return long
 
     def encode(self, texts: Sequence[str], end_id: int | None = END_ID) -> list[bytes]:
         """Ids of every text, each followed by ``end_id``."""
         end = b"" if end_id is None else self._bytes([end_id])
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        unknown = {w for words in split for w in words} - self.words.keys()
+        distinct = {w for words in split for w in words}
+        unknown = distinct - self.words.keys()
         if len(self.words) + len(unknown) > HELD_WORDS:
             self.words = {"": b""}
-            unknown = {w for words in split for w in words} - self.words.keys()
-        pending, chars, alone = [], 0, {}
-        for word in unknown:
-            if len(word) > WORD_CHARS or self.border in word or not word.isprintable():
-                alone[word] = self._bytes(self._plain(word))
-                continue
-            pending.append(word)
-            chars += len(word)
-            if chars > CALL_CHARS:
-                self._learn(pending)
-                pending, chars = [], 0
-        if pending:
-            self._learn(pending)
+            unknown = distinct
+        long = self._learn(unknown) if unknown else ()
         get = self.words.__getitem__
-        if not alone:
-            return [b"".join(map(get, words)) + end for words in split]
-        return [b"".join([alone[w] if w in alone else get(w) for w in words]) + end for words in split]
+        encoded = [b"".join(map(get, words)) + end for words in split]
+        for word in long:
+            del self.words[word]
+        return encoded
 
 
 @lru_cache(maxsize=2)
