@@ -4,7 +4,7 @@ from importlib import import_module
 
 from lagwise.llm.registry import ORACLES, QUERIES
 
-_MODULES = ("packing", "simhash", "exact", "tokenfile")
+_MODULES = ("packing", "simhash", "exact", "langid", "tokenfile", "html")
 
 
 def queries():
