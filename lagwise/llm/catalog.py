@@ -4,7 +4,7 @@ from importlib import import_module
 
 from lagwise.llm.registry import ORACLES, QUERIES
 
-_MODULES = ("packing", "simhash", "exact", "langid", "tokenfile", "quality", "html")
+_MODULES = ("packing", "simhash", "exact", "decontaminate", "langid", "tokenfile", "quality", "html", "tokencount")
 
 
 def queries():
