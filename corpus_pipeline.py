@@ -1,4 +1,73 @@
-STAGES = []
+"""From raw documents to packed sequences, in stages that are written as Parquet and read by the next.
+
+Every stage but the last returns the columns of ``documents``.  Where a stage keeps one row of a group, rows get a
+number in a stored table first, so that rows with equal or null ids stay apart.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lagwise.llm import decontaminate, exact, langid, packing, simhash
+from lagwise.llm.common import held_out, read, store
+
+_ROW = "_pipeline_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return store(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _only(numbered: DataFrame, rows: DataFrame) -> DataFrame:
+    """The numbered rows whose number is in ``rows`` (column row)."""
+    return numbered.join(rows.select(F.col("row").alias(_ROW)), _ROW, "left_semi").drop(_ROW)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without letters go."""
+    return langid.keep_known(docs, langid.learn(docs.filter(~held_out(F.col("doc_id")))))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal up to white space, the row with the smallest doc_id."""
+    numbered = _numbered(docs)
+    return _only(numbered, exact.exact_groups(numbered, row_col=_ROW).filter("kept"))
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the row with the smallest doc_id."""
+    numbered = _numbered(docs)
+    groups = simhash.near_groups(numbered, row_col=_ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")
+    return _only(numbered, groups.groupBy("component").agg(first))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage near to a benchmark item."""
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in sequences along the curve."""
+    return packing.pack(docs).drop("row", "ids")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pack", pack),
+]
+
+#: Prototypes, fingerprints and token ids are not expressible in SQL; tests/llm checks the stages against plain loops.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -211,39 +211,72 @@ def _benchmark(items: tuple[tuple[int, str], ...], similarity: float, recall: fl
     return Benchmark(items, similarity, recall)
 
 
-def _search(stream: Iterator[pa.RecordBatch], items: tuple[tuple[int, str], ...], similarity: float, recall: float) -> Iterator[pa.RecordBatch]:
-    bench, row = _benchmark(items, similarity, recall), first_row()
-    held: list[tuple[int, int | None, np.ndarray]] = []  # documents with windows to look at
-    windows: list[tuple[int, int, int]] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        out = []
-        found: dict[tuple[int, int], list[int]] = {}
-        for d, item, start in bench.candidates([ids for *_, ids in held], windows):
+class _Search:
+    """Collects documents that have windows to look at and finds their hits together."""
+
+    def __init__(self, bench: Benchmark) -> None:
+        self.bench = bench
+        self.held: list[tuple[int, int | None, np.ndarray]] = []
+        self.windows: list[tuple[int, int, int]] = []
+
+    def add(self, row: int, doc_id: int | None, text: str) -> None:
+        known = self.bench.vocabulary.get
+        ids = np.array([known(w, 0) for w in words_of(text)], dtype=np.int64)
+        placed = self.bench.windows(ids)
+        if len(placed):
+            self.windows += [(len(self.held), k, s) for k, s in placed.tolist()]
+            self.held.append((row, doc_id, ids))
+
+    def hits(self) -> list[tuple]:
+        """Rows of the result for the documents added since the last call."""
+        out, found, bench = [], {}, self.bench
+        for d, item, start in bench.candidates([ids for *_, ids in self.held], self.windows):
             found.setdefault((d, item), []).append(start)
         for (d, item), starts in sorted(found.items()):
-            where, doc_id, ids = held[d]
+            row, doc_id, ids = self.held[d]
             if match := bench.verify(ids, item, starts):
                 distance, lo, hi = match
                 size = len(bench.items[item])
-                out.append((where, doc_id, bench.ids[item], distance, size, lo, hi - lo, 1 - distance / size))
-        if out:
-            yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(zip(*out), _HITS_ARROW)], schema=_HITS_ARROW)
+                out.append((row, doc_id, bench.ids[item], distance, size, lo, hi - lo, 1 - distance / size))
+        self.held, self.windows = [], []
+        return out
+
+
+def _search(stream: Iterator[pa.RecordBatch], items: tuple[tuple[int, str], ...], similarity: float, recall: float) -> Iterator[pa.RecordBatch]:
+    search, row = _Search(_benchmark(items, similarity, recall)), first_row()
+
+    def batch_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _HITS_ARROW)], schema=_HITS_ARROW)
 
-    known = bench.vocabulary.get
     for batch in stream:
         for doc_id, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-            ids = np.array([known(w, 0) for w in words_of(text)], dtype=np.int64)
-            placed = bench.windows(ids)
-            if len(placed):
-                windows += [(len(held), k, s) for k, s in placed.tolist()]
-                held.append((row, doc_id, ids))
-                if len(windows) > WINDOWS:
-                    yield from flush()
-                    held, windows = [], []
+            search.add(row, doc_id, text)
             row += 1
-    if windows:
-        yield from flush()
+            if len(search.windows) > WINDOWS:
+                yield from batch_of(search.hits())
+    yield from batch_of(search.hits())
+
+
+def _drop_hit(stream: Iterator[pa.RecordBatch], place: int, items: tuple[tuple[int, str], ...], similarity: float, recall: float) -> Iterator[pa.RecordBatch]:
+    search = _Search(_benchmark(items, similarity, recall))
+    for batch in stream:
+        clean = np.ones(batch.num_rows, dtype=bool)
+        for row, text in enumerate(strings(batch.column(place))):
+            search.add(row, None, text)
+            if len(search.windows) > WINDOWS:
+                clean[[h[0] for h in search.hits()]] = False
+        clean[[h[0] for h in search.hits()]] = False
+        yield batch.filter(pa.array(clean))
+
+
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[tuple[int, str], ...]]:
+    """Items in blocks of about ``block_bytes`` of text; each block is small enough for driver and tasks."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    for block in range(blocks):
+        chosen = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else items
+        yield tuple(sorted(((r.item_id, r.text) for r in chosen.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
 def benchmark_hits(
@@ -256,20 +289,26 @@ def benchmark_hits(
     Items without words match nothing and items of fewer than five words only exactly; null texts are empty.  ``row`` tells
     rows with equal or null ids apart.  A benchmark above ``block_bytes`` is taken in blocks, each against all documents.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     result = None
-    for block in range(blocks):
-        chosen = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else items
-        rows = tuple(sorted(((r.item_id, r.text) for r in chosen.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+    for items in item_blocks(benchmark, item_col, item_text_col, block_bytes):
         hits = map_arrow(
             docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")],
-            lambda it, rows=rows: _search(it, rows, similarity, recall), _HITS)
+            lambda it, items=items: _search(it, items, similarity, recall), _HITS)
         result = hits if result is None else result.unionByName(hits)
     return result
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    similarity: float = SIMILARITY, recall: float = RECALL, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` that contain no item, by the rule of ``benchmark_hits``, with all their columns."""
+    place = docs.columns.index(text_col)
+    for items in item_blocks(benchmark, item_col, item_text_col, block_bytes):
+        docs = docs.mapInArrow(lambda it, items=items: _drop_hit(it, place, items, similarity, recall), docs.schema)
+    return docs
+
+
 @query("op4_benchmark_decontamination")
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row")

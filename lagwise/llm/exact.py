@@ -108,7 +108,7 @@ class _Merged:
 
 def _merge_copies(stream: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Rows of two kinds: documents (row, doc_id, rep) and representatives (rep, digest, content, ...)."""
-    row = first_row()
+    following = first_row()
     table, merged, digests = OpenTable(), [], []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,9 @@ def _merge_copies(stream: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.R
     for batch in stream:
         rows, reps = [], []
         ids = batch.column(0).to_pylist()
-        for doc_id, raw in zip(ids, utf8(batch.column(1))):
+        numbers = batch.column(2).to_pylist() if batch.num_columns > 2 else range(following, following + batch.num_rows)
+        following += batch.num_rows
+        for row, doc_id, raw in zip(numbers, ids, utf8(batch.column(1))):
             content = squeeze(raw)
             digest = hashlib.sha256(content).digest()
             entry, slot = table.find(digest, content)
@@ -140,7 +142,6 @@ def _merge_copies(stream: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.R
                 m.least = min(m.least, _rank(doc_id, row))
                 reps.append(m.rep)
             rows.append(row)
-            row += 1
         none = [None] * len(rows)
         yield from batches(_MAPPED_ARROW, [rows, ids, reps, none, none, none, none, none])
     yield from flush()
@@ -235,16 +236,18 @@ def _grace(stream: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBa
 
 
 def exact_groups(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", map_bytes: int = MAP_BYTES, table_bytes: int = TABLE_BYTES,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
+    map_bytes: int = MAP_BYTES, table_bytes: int = TABLE_BYTES,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, plus ``row``.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, plus ``row`` (``row_col``, or a number).
 
     Texts are compared after each run of ASCII white space became one space; null is the empty text.  The row with
     the smallest doc_id stays; a null id is larger than all others, and of rows with the same id the first one
     stays.  An empty table gives an empty result; other columns of ``docs`` are not looked at.
     """
     mapped = store(map_arrow(
-        docs, [F.col(id_col).cast("long"), F.col(text_col).cast("string")], lambda it: _merge_copies(it, map_bytes), _MAPPED), "exact")
+        docs, [F.col(id_col).cast("long"), F.col(text_col).cast("string"), *([row_col] if row_col else [])],
+        lambda it: _merge_copies(it, map_bytes), _MAPPED), "exact")
     reps = mapped.filter(F.col("content").isNotNull()).select("rep", "digest", "content", "n", "least_id", "least_row")
     groups = reps.repartition("digest").mapInArrow(lambda it: _grace(it, table_bytes), _GROUPS)
     members = mapped.filter(F.col("row").isNotNull()).select("row", "doc_id", "rep")

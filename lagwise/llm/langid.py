@@ -183,6 +183,21 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
         lambda it: _predict(it, names, matrix), _PREDICTED)
 
 
+def _keep_known(stream: Iterator[pa.RecordBatch], place: int, names: list[str], prototypes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in stream:
+        texts = strings(batch.column(place))
+        for a, b in slices(texts, SLICE_CHARS):
+            found, _ = predict_texts(texts[a:b], names, prototypes)
+            yield batch.slice(a, b - a).filter(pa.array([x != UNKNOWN for x in found]))
+
+
+def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language; texts that are null or without letters go."""
+    names, matrix = list(prototypes), np.array(list(prototypes.values())).reshape(len(prototypes), DIMENSIONS)
+    place = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda it: _keep_known(it, place, names, matrix), docs.schema)
+
+
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the documents that aren't held out and predict all; an empty table gives an empty result."""
     prototypes = learn(docs.filter(~held_out(F.col(id_col).cast("long"))), lang_col=lang_col, text_col=text_col)

@@ -179,42 +179,54 @@ def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
+def _fit_sample(stream: Iterator[pa.RecordBatch], ratio: np.ndarray, ones: float, fit_rows: int, cost: float) -> Iterator[pa.RecordBatch]:
+    """Fit and calibrate on the one batch of sampled rows (label, features); yields the weights of the features."""
+    labels, found = [], []
+    for batch in stream:
+        offsets, values = _lists(batch.column(1))
+        labels.append(batch.column(0).to_numpy())
+        found += [values[lo:hi].astype(np.int64) for lo, hi in zip(offsets, offsets[1:])]
+    label = np.concatenate([*labels, np.zeros(0, dtype=np.int32)]).astype(np.int64)
+    cut = min(fit_rows, max(len(label) * 2 // 3, 1))
+    model = Model(ratio, np.zeros(len(ratio)), 1.0, float(np.log(ones / (1 - ones))))
+    if len(set(label[:cut].tolist())) == 2:
+        values = [ratio[f] for f in found[:cut]]
+        rows = [(f, v / max(float(np.linalg.norm(v)), 1e-12)) for f, v in zip(found, values)]
+        many = np.maximum(np.bincount(label[:cut], minlength=2), 1)
+        weight = hinge_fit(rows, 2.0 * label[:cut] - 1, len(ratio), cost * (cut / 2 / many)[label[:cut]])
+        model = Model(ratio, weight * ratio, 1.0, 0.0)
+        later = np.arange(cut if len(set(label[cut:].tolist())) == 2 else 0, len(label))
+        slope, offset = _logistic(np.array([model.margin(found[i]) for i in later]), label[later])
+        model = Model(ratio, model.weight, slope, offset)
+    yield pa.record_batch([pa.array([model.weight.tobytes()]), pa.array([model.slope]), pa.array([model.offset])], names=["weight", "slope", "offset"])
+
+
 def fit(labelled: DataFrame, *, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS, cost: float = 1.0) -> Model:
     """Model of (doc_id, label 0 or 1, features).
 
-    The ratios count every row; the hinge fit and the calibration take the ``fit_rows`` and then the
-    ``calibration_rows`` rows that come first by a hash of their id and features.
+    The ratios count every row; the hinge fit and the calibration take the ``fit_rows`` and then the ``calibration_rows``
+    rows that come first by a hash of their id and features, in one task.  The driver gets one number per feature.
     """
-    size = 1 << FEATURE_BITS
+    size, bound = 1 << FEATURE_BITS, fit_rows + calibration_rows
     counts = map_arrow(labelled, ["label", "features"], _count_classes, "feature long, zeros long, ones long")
-    table = counts.groupBy("feature").agg(F.sum("zeros"), F.sum("ones")).toPandas().to_numpy(dtype=np.int64)
-    seen, docs = np.zeros((2, size)), np.zeros(2)
-    inside = table[:, 0] >= 0
-    seen[:, table[inside, 0]] = table[inside, 1:].T
-    docs += table[~inside, 1:].sum(axis=0) if (~inside).any() else 0
+    table = counts.groupBy("feature").agg(F.sum("zeros"), F.sum("ones")).toArrow()
+    feature, *per_class = (c.to_numpy() for c in table.columns)
+    seen, docs, inside = np.zeros((2, size)), np.zeros(2), feature >= 0
+    for c in (0, 1):
+        seen[c, feature[inside]] = per_class[c][inside]
+        docs[c] = per_class[c][~inside].sum()
     share = (seen + 1) / (docs + 2)[:, None]
     ratio = np.where(seen.any(axis=0), np.log(share[1] / share[0]), 0.0)
-    first = labelled.select("label", "features").orderBy(F.xxhash64("doc_id", "features"), "label").limit(fit_rows + calibration_rows).collect()
-
-    def scaled(found: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(found, dtype=np.int64)
-        value = ratio[at]
-        return at, value / max(float(np.linalg.norm(value)), 1e-12)
-
-    label = np.array([r.label for r in first], dtype=np.int64)
-    cut = min(fit_rows, max(len(first) * 2 // 3, 1))
-    rows = [scaled(r.features) for r in first[:cut]]
-    if not len(first) or len(set(label.tolist())) < 2:
-        ones = docs[1] / max(docs.sum(), 1) if docs.sum() else 0.5
-        ones = min(max(ones, 1e-3), 1 - 1e-3)
+    ones = min(max(docs[1] / docs.sum() if docs.any() else 0.5, 1e-3), 1 - 1e-3)
+    rank = F.xxhash64("doc_id", "features")
+    chosen = labelled.select("label", "features", rank.alias("rank"))
+    if docs.sum() > 4 * bound:  # twice as many rows as are taken lie below this hash; saves sorting the others
+        chosen = chosen.filter(F.col("rank") < int((4 * bound / docs.sum() - 1) * (1 << 63)))
+    sample = chosen.orderBy("rank", "label").limit(bound).select("label", "features")
+    row = sample.mapInArrow(lambda it: _fit_sample(it, ratio, ones, fit_rows, cost), "weight binary, slope double, offset double").first()
+    if row is None:
         return Model(ratio, np.zeros(size), 1.0, float(np.log(ones / (1 - ones))))
-    sign = 2.0 * label[:cut] - 1
-    many = np.maximum(np.bincount(label[:cut], minlength=2), 1)
-    weight = hinge_fit(rows, sign, size, cost * (cut / 2 / many)[label[:cut]])
-    model = Model(ratio, weight * ratio, 1.0, 0.0)
-    later = range(cut, len(first)) if len(set(label[cut:].tolist())) == 2 else range(len(first))
-    slope, offset = _logistic(np.array([model.margin(np.array(first[i].features, dtype=np.int64)) for i in later]), label[list(later)])
-    return Model(ratio, model.weight, slope, offset)
+    return Model(ratio, np.frombuffer(row.weight), row.slope, row.offset)
 
 
 _SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("row", pa.int64())])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import discard, map_arrow, read, store, utf8
+from lagwise.llm.common import discard, first_row, map_arrow, read, store, utf8
 from lagwise.llm.components import components
 from lagwise.llm.registry import query
 
@@ -57,13 +57,16 @@ def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-_PRINTS_ARROW = pa.schema([("doc_id", pa.int64()), ("bits", pa.int64())])
+_PRINTS_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("bits", pa.int64())])
 
 
 def _fingerprints(stream: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    following = first_row()
     for batch in stream:
         bits = np.array([fingerprint(t, width) for t in utf8(batch.column(1))], dtype=np.uint64).view(np.int64)
-        yield pa.record_batch([batch.column(0), pa.array(bits)], schema=_PRINTS_ARROW)
+        rows = batch.column(2) if batch.num_columns > 2 else pa.array(np.arange(following, following + len(bits)))
+        following += len(bits)
+        yield pa.record_batch([rows, batch.column(0), pa.array(bits)], schema=_PRINTS_ARROW)
 
 
 # --- trie self-join -----------------------------------------------------------------------------
@@ -222,25 +225,28 @@ def near_links(nodes: DataFrame, budget: int = 3, crowded: int = CROWDED) -> Dat
     return dealt.mapInArrow(lambda it: _trie_links(it, budget), _EDGES)
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (hex), component_id, the smallest doc_id reachable by links.
+def near_groups(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, width: int = 3, budget: int = 3,
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (hex), component_id, the smallest doc_id reachable by links, plus
+    ``row`` (``row_col``, or a number) and ``component``, which names the component even where its ids are null.
 
     A null or empty text, or one of white space, has fingerprint zero, which links like any other; a text of fewer
     than ``width`` words is one shingle.  Null ids are larger than all others; an empty table gives an empty result.
     """
     prints = store(map_arrow(
-        docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")],
-        lambda it: _fingerprints(it, width), "doc_id long, bits long"), "prints")
+        docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"), *([row_col] if row_col else [])],
+        lambda it: _fingerprints(it, width), "row long, doc_id long, bits long"), "prints")
     nodes = store(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "nodes")
     links = components(near_links(nodes, budget))
-    rooted = nodes.join(links, nodes.bits == links.node, "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = store(rooted.join(least, "root").select("bits", "component_id"), "labels")
+    rooted = nodes.join(links, nodes.bits == links.node, "left").select("bits", "least", F.coalesce("root", "bits").alias("component"))
+    least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = store(rooted.join(least, "component").select("bits", "component", "component_id"), "labels")
     discard(nodes)
     return prints.join(labels, "bits").select(
-        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "component", "row")
 
 
 @query("op2_simhash_near_dedup")
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(read(spark, sf_dir, "documents"))
+    return near_groups(read(spark, sf_dir, "documents")).drop("component", "row")
