@@ -198,7 +198,10 @@ def _prune(root: Node) -> None:
 
 
 def _measure(root: Node) -> list[Node]:
-    """Composite density of every node and the sum over its children; returns the nodes, parents first."""
+    """Composite density of every node and the sum over its child blocks (its own, if it has none); parents first.
+
+    Phrase elements count as tags but are no blocks to sum: a paragraph that is all bold is one paragraph.
+    """
     order = _in_order(root)
     for node in reversed(order):
         for child in node.children:
@@ -217,15 +220,15 @@ def _measure(root: Node) -> list[Node]:
         linked, links = max(node.link_chars, 1), max(node.links, 1)
         if c:
             base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + share * c + math.e)
-            node.density = c / t * math.log(max(c / linked * (t / links), 1.0)) / math.log(max(base, 1.01))
-        node.total = sum(x.density for x in node.elements()) or node.density
+            node.density = c / t * math.log(max(c / linked * (t / links), 1.0)) / max(math.log(base), 1e-6)
+        node.total = sum(x.density for x in node.elements() if x.tag in _BLOCKS) or node.density
     return order
 
 
 def _content(root: Node) -> set[int]:
     """Identities of the nodes whose whole subtrees are the main text."""
     order = _measure(root)
-    best = max(order, key=lambda n: n.total)
+    best = max((n for n in order if n.tag in _BLOCKS), key=lambda n: n.total)
     if not best.total:
         return {id(root)}
     path, node = [], best
@@ -238,7 +241,8 @@ def _content(root: Node) -> set[int]:
     limit = min((n.density for n in path if n.density), default=0.0)
     top: dict[int, Node] = {}  # the node of the largest sum in each subtree
     for node in reversed(order):
-        top[id(node)] = max([node, *(top[id(c)] for c in node.elements())], key=lambda n: n.total)
+        below = [top[id(c)] for c in node.elements()]
+        top[id(node)] = max([node, *below] if node.tag in _BLOCKS or not below else below, key=lambda n: n.total)
     return {id(top[id(n)]) for n in order if n.chars and n.density >= limit}
 
 
