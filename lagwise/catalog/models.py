@@ -93,7 +93,7 @@ def _coefficients(spark, sf):
 @query("boosted_trees")
 def _boosted(spark, sf):
     d = design(spark, sf)
-    fit = G.fit_boosted(d.filter("season < 2001"), FORM, settings={"maxIter": 5})
+    fit = G.fit_boosted(d.filter("season < 2001"), FORM)
     return rounded(fit.transform(d.filter("season = 2001")).select("match_id", *PROBS))
 
 
@@ -101,7 +101,7 @@ def _boosted(spark, sf):
 def _tuned(spark, sf):
     d = design(spark, sf)
     sets = {"form": list(FORM), "form_market": [*FORM, *L.MARKET_FEATURES]}
-    tuned = G.fit_tuned_boosting(d.filter("season < 2001"), sets, trials=2, stability_candidates=1, stability_seeds=1, max_iter=2)
+    tuned = G.fit_tuned_boosting(d.filter("season < 2001"), sets, trials=2, finalists=1, repeats=1, max_rounds=2)
     return rounded(tuned.transform(d.filter("season = 2001")).select("match_id", *PROBS))
 
 
@@ -313,8 +313,8 @@ def _search(spark, sf):
 def _floating(spark, sf):
     d = design(spark, sf)
     store = X.CandidateStore(d, X.fold_seasons(d), L.MARKET_FEATURES)
-    _, history = X.floating_refine(store, ["diff_rest_days"], FORM, min_gain=0.0, max_steps=2)
-    return rounded(spark.createDataFrame(history))
+    _, changes = X.refine_by_changes(store, ["diff_rest_days"], FORM, min_gain=0.0)
+    return rounded(spark.createDataFrame(changes.drop(columns="features")))
 
 
 @query("removal_diagnostics")

@@ -182,7 +182,7 @@ def _observed(spark, sf):
     return o.select("weighting", "metric", "matches", "leagues", r6("baseline"), r6("improvement"), F.round("relative_pct", 5).alias("relative_pct"))
 
 
-REPS = 40
+REPS = 10_000
 
 
 def _boot(seed: str) -> str:

@@ -6,8 +6,10 @@ import unicodedata
 from collections.abc import Mapping, Sequence
 from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words dropped from club names, and text accepted as a boolean.
 CLUB_WORDS = ("fc", "cf", "sc", "afc", "fk", "sk")
@@ -106,31 +108,40 @@ def parse_day(column: str | Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _ascii_rules() -> tuple[str, str, dict[str, str]]:
-    """Compatibility decomposition of the BMP: one-to-one replacements, and the few that expand."""
-    source, target, longer = [], [], {}
+    """One-to-one replacements of the compatibility decomposition below U+10000, and the characters that expand."""
+    source, target, longer = [], [], []
     for code in (c for c in range(0x80, 0x10000) if not 0xD800 <= c <= 0xDFFF):
         char = chr(code)
-        plain = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode("ascii")
+        plain = _decomposed(char)
         if len(plain) == 1:
             source.append(char)
             target.append(plain)
         elif len(plain) > 1:
-            longer[char] = plain
-    return "".join(source), "".join(target), longer
+            longer.append(char)
+    return "".join(source), "".join(target), "".join(longer)
+
+
+def _decomposed(text: str) -> str:
+    return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
+
+
+@F.pandas_udf(StringType())
+def _decompose_rare(texts: pd.Series) -> pd.Series:
+    return texts.map(_decomposed, na_action="ignore")
 
 
 def to_ascii(column: str | Column) -> Column:
-    """NFKD to ASCII, dropping what has no ASCII form, without leaving the JVM."""
+    """NFKD to ASCII, dropping what has no ASCII form.
+
+    Plain text and letters with one ASCII form stay in the JVM; only texts with a character that expands, or one
+    beyond U+FFFF, go through Python (others are null there).
+    """
     source, target, longer = _ascii_rules()
     text = _col(column)
-    pairs = F.create_map(*[F.lit(v) for pair in longer.items() for v in pair])
-    expanded = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c)), ""
-    )
     # translate looks characters up in a hash map; a regular expression class of this size does not
-    rare = F.length(F.translate(text, "".join(longer), "")) < F.length(text)
-    text = F.when(rare, expanded).otherwise(text)
-    return F.regexp_replace(F.translate(text, source, target), r"[^\x00-\x7F]", "")
+    rare = (F.length(F.translate(text, longer, "")) < F.length(text)) | text.rlike(r"[\x{10000}-\x{10FFFF}]")
+    common = F.regexp_replace(F.translate(text, source, target), r"[^\x00-\x7F]", "")
+    return F.coalesce(_decompose_rare(F.when(rare, text)), common)
 
 
 def normalize_name(column: str | Column, aliases: Mapping[str, str] | None = None) -> Column:

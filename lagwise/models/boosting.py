@@ -6,16 +6,14 @@ comparable number by number with another boosting library.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.functions.scores import CLASSES, PROBS, log_loss
@@ -33,6 +31,11 @@ class BoostedFit:
     columns: tuple[str, ...]
     models: tuple[GBTClassificationModel, ...]
 
+    @property
+    def rounds(self) -> tuple[int, ...]:
+        """Trees per class."""
+        return tuple(m.getNumTrees for m in self.models)
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Append the renormalised probabilities."""
         wide = VectorAssembler(inputCols=list(self.columns), outputCol="_features").transform(df)
@@ -48,94 +51,161 @@ class BoostedFit:
         return spark.createDataFrame(rows, "model string, result_class string, feature string, importance double")
 
 
-def fit_boosted(df: DataFrame, columns: Sequence[str], *, result: str = "result_3way", weight: str | None = None, settings: Mapping | None = None) -> BoostedFit:
-    """Three binary boosted-tree models on the same columns."""
+def fit_boosted(
+    df: DataFrame, columns: Sequence[str], *, result: str = "result_3way", weight: str | None = None, settings: Mapping | None = None,
+    validation: Column | None = None,
+) -> BoostedFit:
+    """Three binary boosted-tree models on the same columns.
+
+    Rows where ``validation`` holds are not learnt from; a class stops adding trees when they no longer get better.
+    """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     wide = VectorAssembler(inputCols=list(columns), outputCol="_features").transform(df)
-    ready = wide.select("_features", w.alias("_w"), *[(F.col(result) == c).cast("double").alias(f"_is_{c}") for c in CLASSES]).persist()
+    held = [] if validation is None else [validation.alias("_held")]
+    labels = [(F.col(result) == c).cast("double").alias(f"_is_{c}") for c in CLASSES]
+    ready = wide.select("_features", w.alias("_w"), *held, *labels).persist()
     options = {**DEFAULT_SETTINGS, **(settings or {})}
+    if held:
+        options |= {"validationIndicatorCol": "_held"}
     models = tuple(GBTClassifier(featuresCol="_features", labelCol=f"_is_{c}", weightCol="_w", **options).fit(ready) for c in CLASSES)
     ready.unpersist()
     return BoostedFit(tuple(columns), models)
 
 
-def tuning_splits(train: DataFrame, season: str = "season", time: str = "kickoff") -> tuple[list[tuple[DataFrame, DataFrame, str]], object]:
-    """(chronological splits, calibration season): the last season is kept for calibration.
+# --- tuning -------------------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Range:
+    """A numeric setting between two ends; ``log`` spreads trials evenly over orders of magnitude."""
+
+    low: float
+    high: float
+    log: bool = False
+    whole: bool = False
+
+    def at(self, share: float) -> float | int:
+        if self.log:
+            value = self.low * (self.high / self.low) ** share
+        else:
+            value = self.low + (self.high - self.low) * share
+        return round(value) if self.whole else value
+
+
+#: Settings that a search varies.
+SPACE: dict[str, Range] = {
+    "stepSize": Range(0.01, 0.15, log=True),
+    "maxDepth": Range(2, 5, whole=True),
+    "minInstancesPerNode": Range(10, 160, log=True, whole=True),
+    "subsamplingRate": Range(0.6, 1.0),
+    "minInfoGain": Range(0.0, 0.02),
+}
+
+
+def _van_der_corput(number: int, base: int) -> float:
+    """The digits of a number mirrored behind the point: spreads any first numbers evenly over [0, 1)."""
+    share, step = 0.0, 1.0
+    while number:
+        step /= base
+        number, digit = divmod(number, base)
+        share += digit * step
+    return share
+
+
+def trial_settings(space: Mapping[str, Range], trials: int, offset: int = 1) -> list[dict]:
+    """Evenly spread settings: one mirrored-digit sequence per setting, each in a prime base of its own."""
+    bases = [p for p in range(2, 100) if all(p % q for q in range(2, p))]
+    return [{name: r.at(_van_der_corput(offset + k, base)) for (name, r), base in zip(space.items(), bases)} for k in range(trials)]
+
+
+def time_folds(train: DataFrame, season: str = "season", time: str = "kickoff", share: float = 0.7) -> tuple[DataFrame, object]:
+    """((fold, fold_name, role, all columns), calibration season).
 
-    The seasons before it expand one by one; a single one is cut at 70% of its dates.
+    The last season is only for calibration.  Every season before it but the first validates a fit on those before it;
+    where there is one only, its late dates validate a fit on the earlier ``share``.
     """
-    seasons = [r[season] for r in ordered_groups(train, season, time).orderBy("position").collect()]
-    if len(seasons) < 2:
+    order = ordered_groups(train, season, time)
+    count = order.count()
+    if count < 2:
         raise ValueError("tuning needs at least two training seasons")
-    *inner, calibration = seasons
-    splits = []
-    for k in range(1, len(inner)):
-        splits.append((train.filter(F.col(season).isin(*inner[:k])), train.filter(F.col(season) == inner[k]), str(inner[k])))
-    if not splits:
-        only = train.filter(F.col(season) == inner[0])
-        cutoff = late_block_cutoff(only, time).first()[0]
-        day = F.to_date(time)
-        splits.append((only.filter(day <= F.lit(cutoff)), only.filter(day > F.lit(cutoff)), f"{inner[0]}_late_block"))
-    return splits, calibration
-
-
-def sample_configuration(rng: np.random.Generator, trial: int, feature_sets: Sequence[str], max_iter: int) -> dict:
-    """A seeded random configuration; feature sets take turns."""
-    return {
-        "feature_set": feature_sets[trial % len(feature_sets)],
-        "stepSize": float(math.exp(rng.uniform(math.log(0.005), math.log(0.08)))),
-        "maxDepth": int(rng.choice([2, 3, 4, 5, 6])),
-        "minInstancesPerNode": int(rng.choice([20, 40, 60, 90, 130])),
-        "subsamplingRate": float(rng.choice([0.65, 0.8, 1.0])),
-        "featureSubsetStrategy": str(rng.choice(["0.5", "0.7", "0.85", "all"])),
-        "minInfoGain": float(rng.choice([0.0, 0.01, 0.05, 0.2])),
-        "maxBins": int(rng.choice([32, 64, 127])),
-        "maxIter": max_iter,
-    }
-
-
-def _losses(splits, columns, settings, seeds) -> list[float]:
-    out = []
-    for seed in seeds:
-        for k, (fit, held, _) in enumerate(splits):
-            scored = fit_boosted(fit, columns, settings={**settings, "seed": seed + k}).transform(held)
-            out.append(scored.agg(F.avg(log_loss(epsilon=1e-12))).first()[0])
-    return out
-
-
-def tune_boosted(train: DataFrame, feature_sets: Mapping[str, Sequence[str]], *, trials: int = 50, stability_candidates: int = 5, stability_seeds: int = 3,
-                 seed: int = 42, max_iter: int = 100, season: str = "season", time: str = "kickoff") -> tuple[pd.DataFrame, object]:
-    """(trials with the selected one marked, calibration season).
-
-    The best configurations by mean and worst split are fitted again with other seeds, and the most
-    stable of them is selected.
+    placed = train.join(F.broadcast(order.select(F.col(season).alias("_s"), "position")), F.col(season) == F.col("_s")).drop("_s")
+    last = order.agg(F.max("position")).first()[0]
+    calibration = order.filter(F.col("position") == last).first()[season]
+    first = order.agg(F.min("position")).first()[0]
+    inner = placed.filter(F.col("position") < last)
+    if count == 2:
+        late = F.to_date(time) > F.lit(late_block_cutoff(inner, time, share).first()[0])
+        folds = inner.select(
+            F.lit(0).alias("fold"), F.concat(F.col(season).cast("string"), F.lit(" late")).alias("fold_name"),
+            F.when(late, "validate").otherwise("fit").alias("role"), *train.columns)
+        return folds, calibration
+    targets = F.sequence(F.greatest(F.col("position"), F.lit(first + 1)), F.lit(last - 1))
+    spread = inner.withColumn("fold", F.explode(targets))
+    names = order.select(F.col("position").alias("fold"), F.col(season).cast("string").alias("fold_name"))
+    role = F.when(F.col("position") == F.col("fold"), "validate").otherwise("fit")
+    return spread.join(F.broadcast(names), "fold").select("fold", "fold_name", role.alias("role"), *train.columns), calibration
+
+
+@dataclass
+class Search:
+    """Trials over one set of folds; each fit's validation loss and tree counts become a row of ``runs``."""
+
+    folds: DataFrame
+    feature_sets: Mapping[str, Sequence[str]]
+    max_rounds: int
+    result: str = "result_3way"
+    runs: list[tuple] = field(default_factory=list)
+
+    def run(self, trial: int, feature_set: str, settings: Mapping, stage: str, seeds: Sequence[int]) -> None:
+        columns = self.feature_sets[feature_set]
+        held = F.col("role") == "validate"
+        for fold, name in sorted(tuple(r) for r in self.folds.select("fold", "fold_name").distinct().collect()):
+            part = self.folds.filter(F.col("fold") == fold)
+            for seed in seeds:
+                options = {**settings, "maxIter": self.max_rounds, "seed": seed}
+                model = fit_boosted(part, columns, result=self.result, settings=options, validation=held)
+                loss = model.transform(part.filter(held)).agg(F.avg(log_loss(epsilon=1e-12))).first()[0]
+                self.runs.append((trial, feature_set, stage, name, seed, float(loss), float(np.mean(model.rounds))))
+
+    def table(self) -> DataFrame:
+        """One row per trial: mean and worst loss of the search and of the repeats, and the median number of trees."""
+        schema = "trial int, feature_set string, stage string, fold string, seed int, loss double, rounds double"
+        runs = self.folds.sparkSession.createDataFrame(self.runs, schema)
+
+        def of(stage: str, f) -> Column:
+            return f(F.when(F.col("stage") == stage, F.col("loss")))
+
+        return runs.groupBy("trial", "feature_set").agg(
+            of("search", F.avg).alias("mean_log_loss"), of("search", F.max).alias("worst_fold_log_loss"),
+            of("repeat", F.avg).alias("stability_mean_log_loss"), of("repeat", F.max).alias("stability_worst_log_loss"),
+            F.percentile("rounds", F.lit(0.5)).alias("median_rounds"), F.concat_ws(";", F.array_sort(F.collect_set("fold"))).alias("folds"))
+
+
+def tune_boosted(
+    train: DataFrame, feature_sets: Mapping[str, Sequence[str]], *, trials: int = 50, finalists: int = 5, repeats: int = 3, max_rounds: int = 2000,
+    space: Mapping[str, Range] | None = None, season: str = "season", time: str = "kickoff", seed: int = 42,
+) -> tuple[DataFrame, dict, object]:
+    """(trials with rank and selection, settings of the selected one, calibration season).
+
+    All trials are scored on the folds with early stopping.  The ``finalists`` of least mean and worst loss are fitted
+    again with ``repeats`` other seeds; of those the most stable is selected, its number of trees frozen at the median.
     """
-    splits, calibration = tuning_splits(train, season, time)
-    splits = [(a.persist(), b.persist(), n) for a, b, n in splits]
-    rng = np.random.default_rng(seed)
-    rows = []
-    for trial in range(trials):
-        config = sample_configuration(rng, trial, list(feature_sets), max_iter)
-        settings = {k: v for k, v in config.items() if k != "feature_set"}
-        losses = _losses(splits, feature_sets[config["feature_set"]], settings, [seed])
-        rows.append({"trial": trial, **config, "mean_log_loss": float(np.mean(losses)), "worst_fold_log_loss": float(np.max(losses)), "folds": ";".join(n for _, _, n in splits)})
-    table = pd.DataFrame(rows).sort_values(["mean_log_loss", "worst_fold_log_loss", "trial"], kind="stable").reset_index(drop=True)
-    table[["stability_mean_log_loss", "stability_worst_log_loss"]] = np.nan
-    for i in range(min(stability_candidates, len(table))):
-        config = table.iloc[i]
-        settings = {k: config[k].item() if hasattr(config[k], "item") else config[k] for k in rows[0] if k in _SETTINGS}
-        losses = _losses(splits, feature_sets[config["feature_set"]], settings, [seed + 100 + 10 * s for s in range(stability_seeds)])
-        table.loc[i, ["stability_mean_log_loss", "stability_worst_log_loss"]] = float(np.mean(losses)), float(np.max(losses))
-    order = ["stability_mean_log_loss", "stability_worst_log_loss", "mean_log_loss", "trial"]
-    best = table.dropna(subset=["stability_mean_log_loss"]).sort_values(order, kind="stable").iloc[0]["trial"]
-    table["selected"] = table["trial"] == best
-    for a, b, _ in splits:
-        a.unpersist()
-        b.unpersist()
-    return table, calibration
-
-
-_SETTINGS = ("stepSize", "maxDepth", "minInstancesPerNode", "subsamplingRate", "featureSubsetStrategy", "minInfoGain", "maxBins", "maxIter")
+    folds, calibration = time_folds(train, season, time)
+    folds = folds.persist()
+    search, names = Search(folds, feature_sets, max_rounds), list(feature_sets)
+    designs = trial_settings(space or SPACE, trials)
+    for k, settings in enumerate(designs):
+        search.run(k, names[k % len(names)], settings, "search", [seed])
+    near = search.table().orderBy("mean_log_loss", "worst_fold_log_loss", "trial").limit(finalists).select("trial").collect()
+    for (k,) in near:
+        search.run(k, names[k % len(names)], designs[k], "repeat", [seed + 1 + r for r in range(repeats)])
+    order = [F.col(c).asc_nulls_last() for c in ("stability_mean_log_loss", "stability_worst_log_loss", "mean_log_loss", "trial")]
+    ranked = search.table().withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # one row per trial
+    described = train.sparkSession.createDataFrame([(k, *map(float, s.values())) for k, s in enumerate(designs)], ["trial", *designs[0]])
+    table = ranked.join(described, "trial").withColumn("selected", F.col("rank") == 1)
+    best = table.filter("selected").first()
+    folds.unpersist()
+    chosen = {**designs[best.trial], "maxIter": max(int(round(best.median_rounds)), 1), "seed": seed}
+    return table, {"feature_set": best.feature_set, "settings": chosen}, calibration
 
 
 @dataclass(frozen=True)
@@ -145,7 +215,7 @@ class TunedBoosting:
     fit: BoostedFit
     method: str
     calibration: dict
-    trials: pd.DataFrame
+    trials: DataFrame
     raw_log_loss: float
     calibrated_log_loss: float
 
@@ -160,19 +230,15 @@ def _calibrate(df: DataFrame, method: str, parameters: dict) -> DataFrame:
     return apply_temperature(df, parameters["temperature"]) if method == "temperature" else apply_vector_scaling(df, parameters)
 
 
-def fit_tuned_boosting(train: DataFrame, feature_sets: Mapping[str, Sequence[str]], *, method: str = "temperature", season: str = "season", time: str = "kickoff", **options) -> TunedBoosting:
-    """Tune on the earlier seasons, calibrate on the last one, then refit on all with both frozen."""
-    trials, calibration = tune_boosted(train, feature_sets, season=season, time=time, **options)
-    best = trials[trials["selected"]].iloc[0]
-    settings = {k: best[k].item() if hasattr(best[k], "item") else best[k] for k in _SETTINGS}
-    columns = feature_sets[best["feature_set"]]
-    early, late = train.filter(F.col(season) != calibration), train.filter(F.col(season) == calibration)
-    scored = fit_boosted(early, columns, settings=settings).transform(late).persist()
-    if method == "temperature":
-        parameters = {"temperature": fit_temperatures(scored, []).first()["temperature"]}
-    else:
-        parameters = fit_vector_scaling(scored)
-    raw = scored.agg(F.avg(log_loss(epsilon=1e-12))).first()[0]
-    calibrated = _calibrate(scored, method, parameters).agg(F.avg(log_loss(epsilon=1e-12))).first()[0]
+def fit_tuned_boosting(
+    train: DataFrame, feature_sets: Mapping[str, Sequence[str]], *, method: str = "temperature", season: str = "season", time: str = "kickoff", **options,
+) -> TunedBoosting:
+    """Tune on the earlier seasons, fit the calibrator on the last one, and fit all seasons with both frozen."""
+    trials, chosen, last = tune_boosted(train, feature_sets, season=season, time=time, **options)
+    columns, settings = feature_sets[chosen["feature_set"]], chosen["settings"]
+    is_last, loss = F.col(season) == F.lit(last), F.avg(log_loss(epsilon=1e-12))
+    scored = fit_boosted(train.filter(~is_last), columns, settings=settings).transform(train.filter(is_last)).persist()
+    parameters = {"temperature": fit_temperatures(scored, []).first()["temperature"]} if method == "temperature" else fit_vector_scaling(scored)
+    before, after = scored.agg(loss).first()[0], _calibrate(scored, method, parameters).agg(loss).first()[0]
     scored.unpersist()
-    return TunedBoosting(fit_boosted(train, columns, settings=settings), method, parameters, trials, raw, calibrated)
+    return TunedBoosting(fit_boosted(train, columns, settings=settings), method, parameters, trials, before, after)

@@ -62,6 +62,8 @@ def fit_temperatures(df: DataFrame, keys: Sequence[str], result: str = "result_3
             state[r["_k"]] = [new, low, high]
         if moved < tolerance:
             break
+    else:
+        raise ValueError(f"temperatures did not converge in {max_iterations} iterations")
     table = spark.createDataFrame([(k, 1.0 / v[0]) for k, v in state.items()], "_k string, temperature double")
     out = rows.select(*keys).distinct().withColumn("_k", key).join(table, "_k").drop("_k") if keys else table.drop("_k")
     return out
@@ -158,7 +160,9 @@ def calibration_slopes(df: DataFrame, keys: Sequence[str], c: float = 1e6, probs
             moved = max(moved, float(np.abs(step).max()))
         if moved < tolerance:
             break
+    else:
+        raise ValueError(f"calibration slopes did not converge in {max_iterations} iterations")
     if not all(math.isfinite(v) for t in state.values() for v in t):
-        raise ValueError("a calibration slope did not converge")
+        raise ValueError("a calibration slope is not finite")
     table = spark.createDataFrame([(k, float(v[0]), float(v[1])) for k, v in state.items()], "_k string, calibration_intercept double, calibration_slope double")
     return rows.select(*keys, "outcome", "_k").distinct().join(table, "_k").drop("_k")

@@ -67,6 +67,8 @@ def fit_logistic(df: DataFrame, columns: Sequence[str], *, result: str = "result
         standardization=False, maxIter=max_iter, tol=tol)
     model = estimator.fit(ready)
     ready.unpersist()
+    if model.summary.totalIterations >= max_iter:
+        raise ValueError("the logistic model did not converge")
     if model.numClasses != 3:
         raise ValueError("training data lacks an outcome class")
     return LogisticFit(tuple(columns), standardizer, model)

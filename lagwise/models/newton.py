@@ -116,6 +116,9 @@ def _minimise_slice(df, start, partials, penalty, bounds, tolerance, max_iterati
                 fit.theta = np.clip(fit.theta, *limits[key])
             if np.max(np.abs(fit.theta - fit.best)) < tolerance:
                 fit.theta, fit.done = fit.best, True
+    open_ = sorted(k for k, f in fits.items() if not f.done)
+    if open_:
+        raise ValueError(f"no convergence in {max_iterations} iterations: {open_[:5]}")
     for fit in fits.values():
         fit.theta = fit.best
     return fits

@@ -214,6 +214,8 @@ def fit_poisson_gam(rows: DataFrame, smooth: Sequence[str], linear: Sequence[str
     glm = GeneralizedLinearRegression(featuresCol="_f", labelCol="goals", family="poisson", link="log", regParam=alpha / mean, maxIter=100, tol=1e-8)
     model = glm.fit(ready)
     ready.unpersist()
+    if model.summary.numIterations >= glm.getMaxIter():
+        raise ValueError("the rate model did not converge")
     gam = PoissonGam(splines, tuple(names), tuple(linear), standardizer, float(model.intercept), tuple(float(v) for v in model.coefficients))
     sides = gam.rates(rows).groupBy(match).agg(*[F.max(F.when(F.col("team_side") == s, F.col(c))).alias(f"{s}_{c}") for s in ("home", "away") for c in ("rate", "goals")])
     rho = fit_rho(sides, "home_rate", "away_rate", "home_goals", "away_goals")
@@ -242,6 +244,8 @@ def fit_rho(df: DataFrame, home_rate: str, away_rate: str, home_goals: str, away
         moved, rho = abs(new - rho), new
         if moved < tolerance:
             break
+    else:
+        raise ValueError("rho did not converge")
     worst = min(1 - edge[0] * rho, 1 + edge[1] * rho, 1 - rho)
     rows.unpersist()
     return rho if worst > TAU_EPSILON else 0.0

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lagwise.operators.ordering import HOT_ROWS, Limit, chunked, join_offsets, key_join, row_numbers, split_frequent
+from lagwise.operators.ordering import HOT_ROWS, Limit, chunked, join_offsets, key_join, row_numbers, running_totals, split_frequent
 
 SEQ = "_seq"
 BLOCK_ROWS = 100_000
@@ -136,6 +136,10 @@ def with_history(
     return result.unionByName(done.filter("_home = _block").drop("_home", "_block", SEQ))
 
 
+#: Logarithm of the weight that a block of an exponential mean may lose.
+DECAY = 60.0
+
+
 def _ewm_steps(value: Column, gap: Column, first: Column, alpha: float) -> tuple[Column, Column]:
     """(log of the weight kept, weight of the new value) at an observed row."""
     keep = F.pow(F.lit(1 - alpha), gap.cast("double"))
@@ -174,12 +178,12 @@ def with_ewm(
     ordinary, frequent = split_frequent(df, keys, max_rows)
     result = _ewm_complete(ordinary, keys, sort, full, a, length, initial, empty, False) if full else ordinary
     if holed:
-        result = _ewm_ordinary(result, keys, sort, holed, a, length, initial, empty)
+        result = _ewm_ordinary(result, keys, sort, holed, a, initial, empty)
     if frequent is None:
         return result
     large = _ewm_complete(frequent, keys, sort, full, a, length, initial, empty, True) if full else frequent
     if holed:
-        large = _ewm_frequent(large, keys, sort, holed, a, length, initial, empty)
+        large = _ewm_frequent(large, keys, sort, holed, a, initial, empty)
     return result.unionByName(large)
 
 
@@ -215,7 +219,7 @@ def _ewm_complete(df, keys, sort, columns, alpha, length, initial, empty, freque
     return staged.select(*df.columns, *states)
 
 
-def _ewm_ordinary(df, keys, sort, columns, alpha, length, initial, empty):
+def _ewm_ordinary(df, keys, sort, columns, alpha, initial, empty):
     names = list(columns)
     history = Window.partitionBy(*keys).orderBy(*sort)
     upto = history.rowsBetween(Window.unboundedPreceding, 0)
@@ -234,33 +238,42 @@ def _ewm_ordinary(df, keys, sort, columns, alpha, length, initial, empty):
     )
     work = staged
     for n in names:
-        work = _ewm_state(work, keys, sort, n, alpha, length, initial)
+        work = _ewm_state(work, keys, sort, n, alpha, initial)
     start = F.lit(initial) if initial is not None else F.lit(empty)
     final = [F.coalesce(F.last(f"_s_{n}", True).over(before), start.cast("double")).alias(n) for n in names]
     return work.select(*df.columns, *final)
 
 
-def _ewm_state(work: DataFrame, keys, sort, n: str, alpha: float, length: int, initial) -> DataFrame:
-    """Add _s_<n>: the state right after each observed value."""
+def _ewm_state(work: DataFrame, keys, sort, n: str, alpha: float, initial) -> DataFrame:
+    """Add _s_<n>: the state right after each observed value.
+
+    Blocks end where the weight kept since the key's start has shrunk by another ``e ** -DECAY``: what came before the
+    previous block has no weight left, and the weights inside a block stay far from overflow, however many rows lie
+    between two values.
+    """
     x, i = F.col(f"_x_{n}"), F.col(f"_i_{n}")
-    first = F.lit(False) if initial is not None else i == 1
+    seen, first = x.isNotNull(), F.lit(False) if initial is not None else i == 1
     gap = F.col("_rn") - F.coalesce(F.col(f"_p_{n}"), F.col("_rn") - 1)
     kept, weight = _ewm_steps(x, gap, first, alpha)
     columns = work.columns
-    block = F.floor((F.greatest(i, F.lit(1)) - 1) / length)
+    history = Window.partitionBy(*keys).orderBy(*sort)
+    upto = history.rowsBetween(Window.unboundedPreceding, 0)
+    steps = work.withColumn("_k", kept)
+    steps = steps.withColumn("_d", F.floor(F.sum(F.least(-F.col("_k"), F.lit(2.0 * DECAY))).over(upto) / DECAY))
+    steps = steps.withColumn("_new", (F.col("_d") > F.coalesce(F.lag("_d").over(history), F.lit(0))).cast("int"))
+    logs = steps.withColumn("_b", F.sum("_new").over(upto))
     inside = Window.partitionBy(*keys, "_b").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-1, -1)
-    logs = work.withColumn("_b", block).withColumn("_k", kept)
-    logs = logs.withColumn("_q", F.sum("_k").over(inside))
-    logs = logs.withColumn("_t", F.sum(F.when(x.isNotNull(), weight * x * F.exp(-F.col("_q")))).over(inside))
-    ends = F.when(x.isNotNull() & (F.pmod(i, F.lit(length)) == 0), F.exp("_q") * F.col("_t"))
-    logs = logs.withColumn("_e", F.sum(ends).over(earlier))
+    logs = logs.withColumn("_kf", F.first(F.when(seen, F.col("_k")), True).over(inside))
+    logs = logs.withColumn("_q", F.sum("_k").over(inside) - F.col("_kf"))
+    logs = logs.withColumn("_t", F.sum(F.when(seen, weight * x * F.exp(-F.col("_q")))).over(inside))
+    logs = logs.withColumn("_e", F.max_by(F.exp("_q") * F.col("_t"), F.when(seen, F.col("_rn"))).over(earlier))
     seed = F.coalesce(F.when(F.col("_b") > 0, F.col("_e")), F.lit(0.0 if initial is None else initial))
-    state = F.when(x.isNotNull(), F.exp("_q") * (seed + F.col("_t")))
+    state = F.when(seen, F.exp("_q") * (F.exp("_kf") * seed + F.col("_t")))
     return logs.withColumn(f"_s_{n}", state).select(*columns, f"_s_{n}")
 
 
-def _ewm_frequent(df, keys, sort, columns, alpha, length, initial, empty):
+def _ewm_frequent(df, keys, sort, columns, alpha, initial, empty):
     """The same recurrence on a key of any size: observed values are blocked on their own, the state is
     carried to later rows inside each stretch and from stretch to stretch."""
     start = float(initial if initial is not None else empty) if (initial is not None or empty is not None) else None
@@ -271,7 +284,7 @@ def _ewm_frequent(df, keys, sort, columns, alpha, length, initial, empty):
         values = base.select(*keys, "_rn", _col(column).cast("double").alias(f"_x_{n}")).filter(F.col(f"_x_{n}").isNotNull())
         indexed = row_numbers(values, keys, [F.col("_rn")], f"_i_{n}", max_rows=0)
         indexed = with_history(indexed, keys, ["_rn"], [prev_value("_rn", f"_p_{n}")], max_rows=0)
-        state = _ewm_value_states(indexed, keys, n, alpha, length, initial)
+        state = _ewm_value_states(indexed, keys, n, alpha, initial)
         joined = key_join(base.select(*keys, "_rn", "_chunk"), state, [*keys, "_rn"])
         local = Window.partitionBy(*keys, "_chunk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
         carried = joined.select("*", F.last(f"_s_{n}", True).over(local).alias("_near"))
@@ -285,18 +298,21 @@ def _ewm_frequent(df, keys, sort, columns, alpha, length, initial, empty):
     return output.drop("_rn", "_chunk")
 
 
-def _ewm_value_states(values: DataFrame, keys, n: str, alpha: float, length: int, initial) -> DataFrame:
-    """States at observed rows only: every (key, block) group has at most ``length`` rows."""
+def _ewm_value_states(values: DataFrame, keys, n: str, alpha: float, initial) -> DataFrame:
+    """States at observed rows only, in blocks of the same rule; sums over a key run from stretch to stretch."""
     x, i = F.col(f"_x_{n}"), F.col(f"_i_{n}")
     first = F.lit(False) if initial is not None else i == 1
     gap = F.col("_rn") - F.coalesce(F.col(f"_p_{n}"), F.col("_rn") - 1)
     kept, weight = _ewm_steps(x, gap, first, alpha)
+    steps = values.withColumn("_k", kept).withColumn("_w", weight)
+    sums = {"_d": F.least(-F.col("_k"), F.lit(2.0 * DECAY))}
+    steps = running_totals(steps, keys, [F.col("_rn")], sums, inclusive=True, max_rows=0).withColumn("_b", F.floor(F.col("_d") / DECAY))
+    steps = with_history(steps, keys, ["_rn"], [prev_value("_b", "_pb")], max_rows=0)
     inside = Window.partitionBy(*keys, "_b").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
-    staged = values.withColumn("_b", F.floor((i - 1) / length)).withColumn("_k", kept)
-    staged = staged.withColumn("_q", F.sum("_k").over(inside))
-    staged = staged.withColumn("_t", F.sum(weight * x * F.exp(-F.col("_q"))).over(inside))
-    ends = staged.filter(F.pmod(i, F.lit(length)) == 0).select(
-        *keys, (F.col("_b") + 1).alias("_b"), (F.exp("_q") * F.col("_t")).alias("_e"))
-    seeded = key_join(staged, ends, [*keys, "_b"])
-    seed = F.coalesce("_e", F.lit(0.0 if initial is None else initial))
-    return seeded.select(*keys, "_rn", (F.exp("_q") * (seed + F.col("_t"))).alias(f"_s_{n}"))
+    staged = steps.withColumn("_kf", F.first("_k").over(inside)).withColumn("_before", F.first("_pb").over(inside))
+    staged = staged.withColumn("_q", F.sum("_k").over(inside) - F.col("_kf"))
+    staged = staged.withColumn("_t", F.sum(F.col("_w") * x * F.exp(-F.col("_q"))).over(inside))
+    ends = staged.groupBy(*keys, F.col("_b").alias("_before")).agg(F.max_by(F.exp("_q") * F.col("_t"), "_rn").alias("_e"))
+    seeded = key_join(staged, ends, [*keys, "_before"])
+    seed = F.when(F.col("_before").isNull(), F.lit(0.0 if initial is None else initial)).otherwise(F.col("_e"))
+    return seeded.select(*keys, "_rn", (F.exp("_q") * (F.exp("_kf") * seed + F.col("_t"))).alias(f"_s_{n}"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +24,21 @@ def build_session(app: str = "lagwise", master: str | None = None, **conf: str)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once a session, so that they need no path of their own to it."""
+    context = spark.sparkContext
+    if getattr(context, "_lagwise_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="lagwise-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = os.path.dirname(os.path.abspath(__file__))
+    context.addPyFile(shutil.make_archive(f"{folder}/lagwise", "zip", os.path.dirname(package), os.path.basename(package)))
+    context._lagwise_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -35,6 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="lagwise-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     context.setCheckpointDir(configured)
     return configured
 

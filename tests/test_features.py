@@ -81,8 +81,10 @@ def test_search_finds_the_useful_feature(spark):
     folds = X.fold_seasons(df)
     assert folds == {2003: (2001, 2002), 2004: (2001, 2002, 2003), 2005: (2001, 2002, 2003, 2004)}
     store = X.CandidateStore(df, folds, ["market"])
-    chosen, history = X.floating_refine(store, ["noise"], ["good", "noise"], max_steps=2)
-    assert "good" in chosen and history.mean_log_loss.is_monotonic_decreasing
+    chosen, changes = X.refine_by_changes(store, ["noise"], ["good", "noise"], rounds=2)
+    assert "good" in chosen and changes[changes["round"] == 1].query("accepted")["feature"].tolist() == ["good"]
+    assert set(X.one_feature_changes(["a", "b"], ["a", "b", "c"])["features"]) == {("b",), ("a",), ("a", "b", "c")}
+    assert (changes[changes["accepted"]]["rank"] == 1).all() and changes["gain"].notna().all()
     removal = X.removal_diagnostics(store, ["good", "noise"], {"g": ["good"], "n": ["noise"]}).set_index("removed")
     assert removal.loc["group:g", "log_loss_difference_from_selected"] > 0.05
 

@@ -130,3 +130,10 @@ def test_every_inclusion_check_has_its_reason(spark):
 def test_duplicates_ignore_missing_ids(spark):
     df = spark.createDataFrame([(1, 7), (1, 7), (1, None), (1, None), (2, 7)], "m int, p int")
     assert A.duplicate_rows(df, ["m", "p"]).count() == 2
+
+
+def test_names_beyond_the_basic_plane(spark):
+    from lagwise.functions.scalars import normalize_name
+    names = ["𝐀𝐣𝐚𝐱 FC", "Ünión ½ ﬁ™", "Ajax", None, "😀 ok", "Ægir ﬀ𝟙"]
+    got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(normalize_name("n")).collect()]
+    assert got == ["ajax", "union12fitm", "ajax", "", "ok", "girff1"]
