@@ -254,7 +254,9 @@ def score_quality(
         docs, [ident.alias("doc_id"), held_out(ident).alias("held_out"), F.col(text_col).cast("string")], _extract,
         "row long, doc_id long, held_out boolean, features array<int>"), "features")
     known = labels.select(ident.alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)")
-    labelled = store(found.filter("NOT held_out").join(known.filter(~held_out(F.col("doc_id"))), "doc_id").select("doc_id", "label", "features"), "labelled")
+    # labels grow with the corpus: both sides are dealt by id at every size
+    taught = found.filter("NOT held_out").join(known.filter(~held_out(F.col("doc_id"))).hint("merge"), "doc_id")
+    labelled = store(taught.select("doc_id", "label", "features"), "labelled")
     model = fit(labelled, fit_rows=fit_rows)
     discard(labelled)
     return map_arrow(found, ["row", "doc_id", "held_out", "features"], lambda it: _score(it, model), "doc_id long, held_out boolean, score double, predicted int, row long")
