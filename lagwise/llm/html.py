@@ -73,7 +73,10 @@ class Node:
     tags: int = 0
     link_chars: int = 0
     links: int = 0
-    landmark: bool = False
+    size: int = 0
+    main: bool = False
+    article: bool = False
+    heading: bool = False
     density: float = 0.0
     total: float = 0.0
 
@@ -183,16 +186,34 @@ def _in_order(root: Node) -> list[Node]:
     return order
 
 
+def _in_article(node: Node) -> bool:
+    while (node := node.parent) is not None:
+        if node.tag in ("article", "main") and not node.comment:
+            return True
+    return False
+
+
 def _prune(root: Node) -> None:
-    """Take out side matter.  Elements named so by class or id stay if they hold the article, its main part or its heading."""
-    for node in reversed(_in_order(root)):
+    """Take out side matter.
+
+    An element named so by class or id stays if it holds the main part, an article, or a heading that is an article's
+    or comes with at least half of the page's text; one named as comments stays only for the main part or that heading.
+    """
+    order = _in_order(root)
+    for node in reversed(order):
+        for child in node.children:
+            node.size += len(child) if isinstance(child, str) else child.size
+    for node in reversed(order):
         kept = []
         for child in node.children:
             if isinstance(child, Node):
-                named = child.side and child.tag not in ("body", "main", "article") or child.comment
-                if child.tag in _DROPPED or named and not child.landmark:
+                held = child.main or child.heading and (2 * child.size >= root.size or _in_article(child))
+                named = child.comment and not held or child.side and child.tag not in ("body", "main", "article") and not (held or child.article)
+                if child.tag in _DROPPED or named:
                     continue
-                node.landmark |= child.landmark or child.tag in ("main", "h1") or child.tag == "article" and not child.comment
+                node.main |= child.main or child.tag == "main"
+                node.heading |= child.heading or child.tag == "h1"
+                node.article |= child.article or child.tag == "article" and not child.comment
             kept.append(child)
         node.children = kept
 

@@ -138,6 +138,9 @@ PAGES = [
     ("<article><section><p>First part with many words in it.</section><section><p>Second.</p></section><aside>no</aside><div class='ad top'>buy</div>"
      "<article class=comment><p>I am a comment</p></article></article>", "First part with many words in it.\nSecond."),
     ("plain text only", "plain text only"), ("", ""), (None, ""), ("<p title=\"a>b\">q</p><!-- <p>no</p> --> < 5", "q\n< 5"), ("<div " * 5000, ""),
+    ("<div class=site-header><h1>Site</h1></div><div class=content><h1>Title</h1><p>Words of the text, and more of them.</p></div>"
+     "<section class=comments><article>Someone's words on it all.</article></section>", "Title\nWords of the text, and more of them."),
+    ("<main><div class='article-header'><h1>Head</h1></div><p>Words of the text.</p></main><div class=promo><p>Buy.</p></div>", "Head\nWords of the text."),
     ("<div>" * 3000 + "deep", "deep"), ("<table><tr><td>x<td>y<tr><td>z</table>", "x\ny\nz"),
 ]
 
