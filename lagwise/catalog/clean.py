@@ -153,6 +153,22 @@ def _exclusion(spark, sf):
         "match_id", S.exclusion_reason(priority).alias("exclusion_reason"), S.failed_checks(_THREE).alias("failed_match_checks"))
 
 
+@query("consistency_error", with_ctes(MATCHES, _CHECKED, body="""
+, v AS (SELECT match_id, completed_match AND football_data_match AND coalesce(closing_odds_available, false) AS holds,
+  CASE WHEN match_id % 11 = 0 THEN match_id % 2 = 0 ELSE completed_match AND football_data_match AND coalesce(closing_odds_available, false) END AS model_ready,
+  CASE WHEN match_id % 7 = 0 THEN NULL WHEN match_id % 5 = 0 THEN 'other' WHEN NOT (completed_match AND football_data_match AND coalesce(closing_odds_available, false)) THEN 'match_not_completed' END AS exclusion_reason FROM checked)
+SELECT match_id, CASE WHEN model_ready AND NOT holds THEN 'ready_with_failed_check' WHEN model_ready <> holds THEN 'verdict_disagrees'
+  WHEN NOT model_ready AND exclusion_reason IS NULL THEN 'excluded_without_reason' WHEN model_ready AND exclusion_reason IS NOT NULL THEN 'ready_with_reason'
+  WHEN exclusion_reason = 'other' THEN 'undeclared_reason' END AS error FROM v"""))
+def _consistency(spark, sf):
+    """Verdicts and reasons supplied with the rows, some of them wrong, against the checks."""
+    holds, key = S.meets_all(_THREE), F.col("match_id")
+    supplied = _checked(spark, sf).select(
+        "*", F.when(key % 11 == 0, key % 2 == 0).otherwise(holds).alias("model_ready"),
+        F.when(key % 7 == 0, F.lit(None)).when(key % 5 == 0, "other").when(~holds, "match_not_completed").alias("exclusion_reason"))
+    return supplied.select("match_id", S.consistency_error(_THREE, list(S.EXCLUSION_PRIORITY.values())).alias("error"))
+
+
 @query("season_labels", """
 SELECT DISTINCT year(o_orderdate) AS start_year, concat(year(o_orderdate), '-', lpad(CAST((year(o_orderdate)+1) % 100 AS VARCHAR), 2, '0')) AS label,
  concat(lpad(CAST(year(o_orderdate) % 100 AS VARCHAR), 2, '0'), lpad(CAST((year(o_orderdate)+1) % 100 AS VARCHAR), 2, '0')) AS code FROM orders""")

@@ -258,7 +258,7 @@ _MODELS = {"recalibrated_market": list(L.MARKET_FEATURES), "market_plus_player_f
 def _all_predictions(spark, sf):
     d = design(spark, sf)
     logistic, _ = X.logistic_walk_forward(d, _MODELS)
-    parts = [logistic, X.market_predictions(d, MARKET, (X.POOLED, X.BY_GROUP)), X.frequency_predictions(d, False), X.frequency_predictions(d, True)]
+    parts = [logistic, X.market_predictions(d, MARKET, (X.POOLED, X.BY_GROUP)), X.frequency_predictions(d)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -242,6 +242,20 @@ def failed_checks(checks: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.when(~F.coalesce(F.col(c), F.lit(False)), F.lit(c)) for c in checks])
 
 
+def consistency_error(checks: Sequence[str], reasons: Sequence[str], ready: str = "model_ready", reason: str = "exclusion_reason") -> Column:
+    """What contradicts itself in a row that carries its own verdict, null when nothing does.
+
+    In this order: the verdict against the checks, a row left out without a reason, a used row with a failed check or a
+    reason, a reason that is not declared.
+    """
+    used, why = F.coalesce(F.col(ready), F.lit(False)), F.col(reason)
+    holds = meets_all(checks)
+    return (
+        F.when(used & ~holds, "ready_with_failed_check").when(used != holds, "verdict_disagrees")
+        .when(~used & why.isNull(), "excluded_without_reason").when(used & why.isNotNull(), "ready_with_reason")
+        .when(why.isNotNull() & ~why.isin(*reasons), "undeclared_reason"))
+
+
 def season_label(start_year: str | Column) -> Column:
     """2020 -> 2020-21."""
     y = _col(start_year).cast("int")
