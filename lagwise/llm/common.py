@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -44,6 +45,12 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written; they go when their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of all documents that no model learns from; a null id is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

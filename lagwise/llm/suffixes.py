@@ -14,7 +14,6 @@ inside each group.  No sign is renamed and nothing recurses.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator, Sequence
 
@@ -24,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import discard, map_arrow, read, store, utf8
+from lagwise.llm.common import discard, map_arrow, read, release, store, utf8
 from lagwise.llm.registry import query
 
 WIDTH = 200
 ANCHOR = 32
 #: Bytes of a text looked at once.
 CHUNK = 1 << 20
-#: Signs of one suffix array (more only if one anchor has more), and segments of one anchor beyond which windows are counted.
+#: Signs of one suffix array (more only if one anchor has more), and segments of one anchor beyond which strings are counted.
 SORTED = 150_000
 CROWDED = 2_000
 
@@ -307,21 +306,73 @@ def _sort_groups(stream: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
     yield from _spans(sorter.repeated())
 
 
-_WINDOWS_ARROW = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int64()), ("copies", pa.int64())])
+# --- crowded anchors ----------------------------------------------------------------------------
 
+#: Consecutive strings of a piece.
+PIECE = 8
 
-def _each_window(stream: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Digest of every string of the segments of crowded anchors."""
+_PIECES = "m1 long, m2 long, u1 long, u2 long, copies long, k1 long, k2 long, lo long, piece binary"
+_PIECES_ARROW = pa.schema([*[(c, pa.int64()) for c in ("m1", "m2", "u1", "u2", "copies", "k1", "k2", "lo")], ("piece", pa.binary())])
+_WINDOWS = "w1 long, w2 long, copies long, k1 long, k2 long, lo long"
+_WINDOWS_ARROW = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "copies", "k1", "k2", "lo")])
+
+
+def _digest(text: bytes) -> tuple[int, int]:
+    both = xxhash.xxh3_128_digest(text)
+    return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
+
+
+def _pieces(stream: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Segments in pieces of ``PIECE`` strings, at fixed distances from the anchor.
+
+    m: digest of the bytes that all strings of the piece's place share, whichever of them the segment has; u: of the piece.
+    """
+    step = min(PIECE, width)
+    for batch in stream:
+        out = []
+        for copies, k1, k2, first, inside, segment in zip(*(c.to_pylist() for c in batch.columns)):
+            at, last = 0, len(segment) - width
+            while at <= last:
+                ahead = inside - at  # from the string's start to the anchor; falls by one from string to string
+                rest = ahead % step
+                until = min(at + rest, last)
+                piece = segment[at:until + width]
+                shared = segment[at + rest:at + rest - (step - 1) + width]
+                out.append((*_digest(shared), *_digest(piece), copies, k1, k2, first + at, piece))
+                at = until + 1
+        for at in range(0, len(out), 20_000):
+            yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(zip(*out[at:at + 20_000]), _PIECES_ARROW)], schema=_PIECES_ARROW)
+
+
+def _each_string(stream: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Digest of every string of the pieces."""
     for batch in stream:
         out = []
-        for _, copies, k1, k2, first, _, segment in zip(*(c.to_pylist() for c in batch.columns)):
-            for i in range(len(segment) - width + 1):
-                digest = xxhash.xxh3_128_digest(segment[i:i + width])
-                out.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), k1, k2, first + i, copies))
+        for copies, k1, k2, lo, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            out += [(*_digest(piece[i:i + width]), copies, k1, k2, lo + i) for i in range(len(piece) - width + 1)]
         for at in range(0, len(out), 50_000):
             yield pa.record_batch([pa.array(c) for c in zip(*out[at:at + 50_000])], schema=_WINDOWS_ARROW)
 
 
+def _crowded_spans(parts: DataFrame, width: int) -> list[DataFrame]:
+    """Spans of single segments with crowded anchors, by counting instead of sorting in one task.
+
+    A piece whose shared bytes are met nowhere else holds nothing repeated; pieces met again are repeated throughout; of
+    the few others each string is counted, against one of every kind of piece.
+    """
+    pieces = store(parts.select("copies", *_KEY, "first", "inside", "segment").mapInArrow(lambda it: _pieces(it, width), _PIECES), "pieces")
+    shared = pieces.groupBy("m1", "m2").agg(F.sum("copies").alias("n")).filter("n > 1").select("m1", "m2")
+    alive = store(pieces.join(shared, ["m1", "m2"], "left_semi"), "alive")
+    kinds = store(alive.groupBy("u1", "u2").agg(F.sum("copies").alias("copies"), F.min(F.struct(*_KEY, "lo", "piece")).alias("one")), "kinds")
+    again = kinds.filter("copies > 1").select("u1", "u2")
+    end = F.col("lo") + F.octet_length("piece")
+    whole = alive.filter("copies = 1").join(again, ["u1", "u2"], "left_semi").select(*_KEY, "lo", end.alias("hi"))
+    strings = store(kinds.select("copies", "one.k1", "one.k2", "one.lo", "one.piece").mapInArrow(lambda it: _each_string(it, width), _WINDOWS), "strings")
+    twice = strings.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1").select("w1", "w2")
+    single = strings.filter("copies = 1").join(twice, ["w1", "w2"], "left_semi").select(*_KEY, "lo", (F.col("lo") + width).alias("hi"))
+    return [whole, single]
+
+
 # --- documents ----------------------------------------------------------------------------------
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -346,12 +397,6 @@ def _remove(stream: Iterator[pa.RecordBatch], keep_bytes: bool) -> Iterator[pa.R
             yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(zip(*out[at:at + 10_000]), _RESULT_ARROW)], schema=_RESULT_ARROW)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def remove_repeats(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, crowded: int = CROWDED, keep_bytes: bool = True,
 ) -> DataFrame:
@@ -366,11 +411,12 @@ def remove_repeats(
     ).select(F.xxhash64("text").alias("k1"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k2"), "doc_id", "text")
     long = texts.filter(F.octet_length("text") >= width)
     anchors = store(map_arrow(long, ["k1", "k2", "text"], lambda it: _anchors(it, width), _ANCHORS), "anchors")
-    again = (anchors.groupBy("anchor").agg(F.count("digest").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b"))
-             .filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("several")))
+    counted = anchors.groupBy("anchor").agg(F.count("digest").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b"))
+    # stored, so that the join deals both sides anew and can split the rows of a frequent anchor
+    again = store(counted.filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("several")), "again")
     found = store(anchors.join(again, "anchor"), "repeated")
     discard(anchors)
-    _release(spark)
+    release(spark)
     kinds = store(
         found.groupBy("anchor", "digest", "several")
         .agg(F.count("first").alias("copies"), F.min(F.struct(*_KEY, "first", "starts", "inside")).alias("one")), "segments")
@@ -379,15 +425,12 @@ def remove_repeats(
     wanted = kinds.filter("several").select("anchor", "copies", "one.*").groupBy(*_KEY).agg(
         F.collect_list(F.struct("anchor", "copies", "first", "starts", "inside")).alias("wanted"))
     parts = store(long.select(*_KEY, "text").join(wanted, _KEY).mapInArrow(lambda it: _cut_out(it, width), _PARTS), "parts")
-    _release(spark)
+    release(spark)
     many = store(parts.groupBy("anchor").agg(F.count("first").alias("n")).filter(F.col("n") > crowded).select("anchor"), "crowded")
     few = parts
     if not many.isEmpty():
         few = parts.join(many, "anchor", "left_anti")
-        windows = store(parts.join(many, "anchor", "left_semi").mapInArrow(
-            lambda it: _each_window(it, width), "w1 long, w2 long, k1 long, k2 long, lo long, copies long"), "windows")
-        twice = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1").select("w1", "w2")
-        spans.append(windows.filter("copies = 1").join(twice, ["w1", "w2"]).select(*_KEY, "lo", (F.col("lo") + width).alias("hi")))
+        spans += _crowded_spans(parts.join(many, "anchor", "left_semi"), width)
     columns = ["anchor", "copies", *_KEY, "first", "inside", "segment"]
     spans.append(few.select(columns).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _sort_groups(it, width), _SPANS))
     whole = spans[0]
@@ -395,7 +438,7 @@ def remove_repeats(
         whole = whole.unionByName(more)
     by_doc = store(whole.groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
     discard(found, kinds, parts)
-    _release(spark)
+    release(spark)
     joined = texts.join(by_doc, _KEY, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(lambda it: _remove(it, keep_bytes), _RESULT)
 
