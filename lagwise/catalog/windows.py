@@ -73,6 +73,18 @@ def _ewm(spark, sf):
     return rounded(e.select("event_id", "ewm_value", "ewm_measure"))
 
 
+@query("prev_ewm_sparse", """
+WITH RECURSIVE n AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n, CASE WHEN event_id % 50 = 0 THEN value END AS x FROM events),
+o AS (SELECT event_type, n, x, row_number() OVER (PARTITION BY event_type ORDER BY n) AS i, n - lag(n) OVER (PARTITION BY event_type ORDER BY n) AS gap FROM n WHERE x IS NOT NULL),
+s AS (SELECT event_type, n, i, x AS w FROM o WHERE i = 1 UNION ALL
+ SELECT o.event_type, o.n, o.i, (s.w * 0.5**(0.5 * o.gap) + (1 - 0.5**0.5) * o.x) / (0.5**(0.5 * o.gap) + 1 - 0.5**0.5) FROM s JOIN o ON o.event_type = s.event_type AND o.i = s.i + 1)
+SELECT n.event_id, round(coalesce(s.w, 0), 6) AS ewm_sparse FROM n ASOF LEFT JOIN s ON n.event_type = s.event_type AND n.n > s.n""")
+def _ewm_sparse(spark, sf):
+    """One value in fifty rows, thousands of rows a key."""
+    rows = events(spark, sf).withColumn("rare", F.when(F.col("event_id") % 50 == 0, F.col("value")))
+    return rounded(H.with_ewm(rows, ["event_type"], ["ts", "event_id"], {"ewm_sparse": "rare"}, halflife=2.0).select("event_id", "ewm_sparse"))
+
+
 @query("prior_counts", with_ctes(_EVENTS, body=f"""
 SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS prior_events, count(*) OVER {_w(5)} AS window_events,
  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1 AS has_history FROM ev"""))
