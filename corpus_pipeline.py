@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.llm import decontaminate, exact, langid, packing, simhash
-from lagwise.llm.common import held_out, read, store
+from lagwise.llm.common import held_out, read, release, store
 
 _ROW = "_pipeline_row"
 
@@ -21,7 +21,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _only(numbered: DataFrame, rows: DataFrame) -> DataFrame:
     """The numbered rows whose number is in ``rows`` (column row)."""
-    return numbered.join(rows.select(F.col("row").alias(_ROW)), _ROW, "left_semi").drop(_ROW)
+    kept = store(rows.select(F.col("row").alias(_ROW)), "kept")
+    release(kept.sparkSession)
+    return numbered.join(kept, _ROW, "left_semi").drop(_ROW)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
