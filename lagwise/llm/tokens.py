@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -13,7 +14,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END_ID = 2
 #: Words held by a worker (some 100 MB) of either kind, and the longest word that is held.
-HELD_WORDS = 600_000
+HELD_WORDS = 800_000
 WORD_CHARS = 48
 #: Characters of new words encoded in one call.
 CALL_CHARS = 100_000
@@ -21,6 +22,18 @@ CALL_CHARS = 100_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*%#$&|]*)")
 
 
+def _byte_signs() -> dict[int, str]:
+    """For each Latin letter beyond ASCII the signs that stand for its UTF-8 bytes in a byte-level vocabulary: a printable
+    byte is its own sign, the others are numbered from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(own)]
+    sign = {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(others)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(192, 256)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -39,7 +52,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.pack = lru_cache(maxsize=4096)(lambda n: struct.Struct(f"<{n}{kind}").pack)
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
         probes = [(c, self._plain(f"a {c} a")) for c in "¶§†‡•"]
@@ -50,7 +66,7 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _bytes(self, ids: Sequence[int]) -> bytes:
-        return np.asarray(ids, dtype=self.dtype).tobytes()
+        return self.pack(len(ids))(*ids)
 
     def _encode_parts(self, parts: list[str]) -> None:
         ids = np.array(self._plain(f" {self.border} ".join(parts)), dtype=self.dtype)
@@ -67,15 +83,19 @@ class WordEncoder:
         """Encode new words: letters and the marks after them apart, as the tokenizer does; returns words not to hold."""
         if len(self.parts) > HELD_WORDS:
             self.parts = {"": b""}
-        cut, long = [], []
+        cut, long, letters = [], [], set()
         for word in unknown:
             if len(word) > WORD_CHARS or self.border in word or not word.isprintable():
                 self.words[word] = self._bytes(self._plain(word))
                 long.append(word)
             elif m := _PLAIN.fullmatch(word):
-                cut.append((word, m[1].lower(), m[2]))
+                cut.append((word, part := m[1].lower(), m[2]))
+                letters.add(part)
             else:
                 cut.append((word, word, ""))
+        tokenize = self.model.tokenize
+        for part in letters - self.parts.keys():  # one token run that needs no splitting: straight to the model
+            self.parts[part] = self._bytes([t.id for t in tokenize(part if part.isascii() else part.translate(_BYTE_SIGNS))])
         pending, chars = [], 0
         for part in {p for _, *parts in cut for p in parts} - self.parts.keys():
             pending.append(part)
