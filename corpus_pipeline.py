@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lagwise.llm import decontaminate, exact, langid, packing, simhash
 from lagwise.llm.common import held_out, read, release, store
+from lagwise.llm.resemblance import resembling_groups
 
 _ROW = "_pipeline_row"
 
@@ -38,9 +39,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the row with the smallest doc_id."""
+    """Of each group of near-duplicates, the row with the smallest doc_id.
+
+    Rows are near whose fingerprints differ in at most three bits, as in ``op2``, or whose five-word similarity is 0.8.
+    """
     numbered = _numbered(docs)
-    groups = simhash.near_groups(numbered, row_col=_ROW)
+    groups = store(simhash.near_groups(numbered, row_col=_ROW).select("row", "doc_id", "component"), "near")
+    groups = resembling_groups(numbered, groups, row_col=_ROW)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")
     return _only(numbered, groups.groupBy("component").agg(first))
 

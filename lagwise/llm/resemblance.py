@@ -1,0 +1,135 @@
+"""Near-duplicates by the exact resemblance of their shingle sets, as links between groups that other means have found.
+
+Least hashes of the shingle set make ``TABLES`` keys of ``PER_KEY`` hashes each; rows that share a key are candidates
+(0.9998 of the pairs at a resemblance of 0.8 do), and only pairs whose exact Jaccard similarity is high enough link.
+A crowded key is not paired out at once: its rows are compared with one centre first, which joins most of them, and
+what is compared in the end are the pairs of rows that are still in different groups.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lagwise.llm.common import discard, map_arrow, store, utf8
+from lagwise.llm.components import components
+from lagwise.llm.simhash import SEED, words_of
+
+WIDTH = 5
+SIMILARITY = 0.8
+TABLES, PER_KEY = 16, 4
+#: Pairs a row up to which all pairs are compared at once, rounds of centres before it is done in any case.
+PAIRS_A_ROW, ROUNDS = 4, 8
+
+_RANDOM = np.random.default_rng(SEED)
+_FACTORS = _RANDOM.integers(0, 1 << 63, TABLES * PER_KEY, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RANDOM.integers(0, 1 << 63, TABLES * PER_KEY, dtype=np.uint64)
+#: Shingles hashed at once.
+_SLICE = 4096
+
+
+def shingles(text: bytes, width: int = WIDTH) -> frozenset[bytes]:
+    """The distinct ``width``-word shingles; a text of fewer words is one shingle, one without words has none."""
+    words = words_of(text)
+    return frozenset(b" ".join(words[i:i + width]) for i in range(max(len(words) - width + 1, min(len(words), 1))))
+
+
+def keys(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """One key per table, none without words."""
+    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, width)], dtype=np.uint64)
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(TABLES * PER_KEY, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), _SLICE):
+        part = hashes[at:at + _SLICE, None]
+        mixed = (part ^ _SHIFTS) * _FACTORS
+        mixed ^= mixed >> np.uint64(32)
+        np.minimum(least, (mixed * _FACTORS).min(axis=0), out=least)
+    key = np.zeros(TABLES, dtype=np.uint64)
+    for column in least.reshape(TABLES, PER_KEY).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+_KEYS_ARROW = pa.schema([("row", pa.int64()), ("place", pa.int32()), ("key", pa.int64())])
+
+
+def _keyed(stream: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in stream:
+        found = [keys(t, width) for t in utf8(batch.column(1))]
+        sizes = [len(k) for k in found]
+        rows = np.repeat(batch.column(0).to_numpy(), sizes)
+        places = np.tile(np.arange(TABLES, dtype=np.int32), sum(map(bool, sizes)))
+        yield pa.record_batch([pa.array(rows), pa.array(places), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int64)]))], schema=_KEYS_ARROW)
+
+
+_LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _alike(stream: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    of = lru_cache(maxsize=64)(lambda text: shingles(text, width))
+    for batch in stream:
+        near = np.zeros(batch.num_rows, dtype=bool)
+        for i, (x, y) in enumerate(zip(utf8(batch.column(2)), utf8(batch.column(3)))):
+            x, y = of(x), of(y)
+            shared = len(x & y)
+            near[i] = shared >= similarity * (len(x) + len(y) - shared) - 1e-9
+        yield pa.record_batch([batch.column(0), batch.column(1)], schema=_LINKS_ARROW).filter(pa.array(near))
+
+
+def resembling_groups(
+    docs: DataFrame, groups: DataFrame, *, text_col: str = "text", row_col: str = "row", width: int = WIDTH,
+    similarity: float = SIMILARITY, pairs_a_row: int = PAIRS_A_ROW,
+) -> DataFrame:
+    """``groups`` (columns row, component and others) with the components joined that hold rows alike.
+
+    ``row`` is the number ``row_col`` of ``docs``.
+    """
+    texts = docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    keyed = map_arrow(texts, ["row", "text"], lambda it: _keyed(it, width), "row long, place int, key long")
+    keyed = keyed.join(groups.select("row", "component"), "row")
+    size = keyed.groupBy("place", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    members = store(keyed.join(size.select("place", "key"), ["place", "key"]), "members")
+    labels = None
+
+    for turn in range(ROUNDS + 1):
+        current = members if labels is None else members.join(labels, "component", "left").withColumn(
+            "component", F.coalesce("root", "component")).drop("root")
+        parts = current.groupBy("place", "key", "component").agg(F.count("row").alias("m"), F.min_by("row", F.xxhash64("row", "place", F.lit(turn))).alias("some"))
+        keys_ = store(parts.groupBy("place", "key").agg(
+            F.sum("m").alias("n"), (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("across"), F.count("m").alias("parts"),
+            F.min_by(F.struct("some", "component"), F.xxhash64("some", "place", F.lit(turn))).alias("centre")).filter("parts > 1"), "contested")
+        rows, across = keys_.agg(F.sum("n"), F.sum("across")).first()
+        if not rows:
+            break
+        last = turn == ROUNDS or across <= 2 * pairs_a_row * rows
+        left = current.join(keys_.select("place", "key", "n", "centre"), ["place", "key"])
+        if last:
+            other = current.select("place", "key", F.col("row").alias("b"), F.col("component").alias("of_b"))
+            pairs = left.withColumnRenamed("row", "a").join(other, ["place", "key"]).filter("a < b AND component <> of_b")
+        else:
+            # every row is compared with the centre of its fullest key
+            pairs = left.filter("component <> centre.component").groupBy("row").agg(
+                F.max_by(F.struct("component", "centre"), F.struct("n", F.xxhash64("place", F.lit(turn)))).alias("c")).select(
+                F.col("row").alias("a"), F.col("c.component").alias("component"), F.col("c.centre.some").alias("b"), F.col("c.centre.component").alias("of_b"))
+        pairs = store(pairs.select("a", "b", "component", "of_b").distinct(), "pairs")
+        both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(
+            texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
+        links = map_arrow(both, ["component", "of_b", "text_a", "text_b"], lambda it: _alike(it, width, similarity), "a long, b long")
+        if labels is not None:
+            links = links.union(labels.select(F.col("component").alias("a"), F.col("root").alias("b")))
+        labels = components(links).select(F.col("node").alias("component"), "root")
+        discard(pairs, keys_)
+        if last:
+            break
+    discard(members)
+    if labels is None:
+        return groups
+    return groups.join(labels, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")

@@ -38,10 +38,15 @@ _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _OFFSETS = (np.arange(8) * 256)[None, :]
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """Words between ASCII white space, ASCII letters in lower case."""
+    words = text.translate(_FOLD).split(b" ")
+    return [w for w in words if w] if b"" in words else words
+
+
 def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
     """SimHash of the ``width``-word shingles, repeats included; 0 if there is no word."""
-    words = text.translate(_FOLD).split(b" ")
-    words = [w for w in words if w] if b"" in words else words
+    words = words_of(text)
     if not words:
         return 0
     joined = b" ".join(words)

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from lagwise.llm import decontaminate
 from lagwise.llm.common import store
@@ -45,3 +47,46 @@ def test_stages_keep_one_of_repeated_rows(spark, odd):
             assert out.count() == len({" ".join((r.text or "").split(" ")) for r in out.collect()}) and rows.count("1") == 1
         if name != "pack":
             assert out.columns == odd.columns
+
+
+def five_words(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i:i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def alike_by_loop(rows):
+    """Pairs of places whose five-word sets have a Jaccard similarity of 0.8."""
+    sets = [five_words(t) for _, t in rows]
+    return [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and len(a & b) >= 0.8 * len(a | b) - 1e-9]
+
+
+@pytest.mark.parametrize("crowd", [0, 60])
+def test_near_copies_by_word_similarity(spark, crowd):
+    """Of pairs at a five-word similarity of 0.8 or more none stays, whatever bits their fingerprints differ in."""
+    rng = random.Random(crowd)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300 if crowd else 1000)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    for i in range(crowd):  # copies of one text, each with some words of its own: many keys hold most of them
+        words = [f"own{i}x{k}" if rng.random() < 0.02 else w for k, w in enumerate(base)]
+        rows.append((10**6 + i, " ".join(words)))
+    schema = docs.select("doc_id", "text").schema
+    kept = {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, schema).repartition(3), "").collect()}
+    prints = [print_by_loop(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = [(i, j) for i, a in enumerate(prints) for j in range(i) if (a ^ prints[j]).bit_count() <= 3]
+    far = [p for p in alike_by_loop(rows) if (prints[p[0]] ^ prints[p[1]]).bit_count() > 3]
+    assert len(far) >= 5
+    for i, j in near + far:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    assert kept == set(least.values())
