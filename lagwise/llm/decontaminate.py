@@ -7,6 +7,9 @@ samples follows from the recall aimed at.  Candidates are verified by the exact
 
 Walking every window of every document is not needed: with at most e edits on m words, one of the e + 1 stretches
 between edits is shared word for word, so only windows placed around such a shared stretch are embedded.
+
+Walks drift apart, so that the places they agree in grow fewer with the length.  Long items are cut into even blocks:
+of an item within its edit budget at least one block is within its own, and only blocks are embedded.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ from lagwise.llm.registry import query
 
 SIMILARITY = 0.8
 RECALL = 0.99
-#: Share of output places in which windows at the edit budget still agree, places of a sample, samples of one walk.
+#: Share of output places in which windows of a block at the edit budget still agree, places of a sample, samples of one walk.
 AGREEMENT = 0.5
 SAMPLED = 4
 PER_WALK = 8
 STRETCH = 4
+#: Words of the longest block that is embedded as one; up to it the walks keep the recall for all kinds of edits.
+BLOCK_WORDS = 24
 #: Benchmark text that is sent to every task at once; a larger benchmark is taken in several passes.
 BLOCK_BYTES = 16 << 20
 #: Windows embedded at once.
@@ -54,6 +59,12 @@ def stretch(length: int, similarity: float) -> int:
     return min(-(-(length - e) // (e + 1)), STRETCH)
 
 
+def block_bounds(length: int) -> list[tuple[int, int]]:
+    """(start, end) of the even blocks of an item."""
+    count = -(-length // BLOCK_WORDS)
+    return [(length * i // count, length * (i + 1) // count) for i in range(count)]
+
+
 def edit_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(distance, start, end): the stretch of ``text`` nearest to the item by edit distance; the shortest last one of equals."""
     n = len(text)
@@ -109,7 +120,7 @@ class Walks:
 
 
 class Benchmark:
-    """Items of one block by word ids, their shared-stretch index and their walks."""
+    """Items of one part of the benchmark by word ids, their blocks, and the blocks' shared-stretch index and walks."""
 
     def __init__(self, items: Sequence[tuple[int, str]], similarity: float, recall: float) -> None:
         self.similarity, self.walks = similarity, Walks(recall)
@@ -121,15 +132,22 @@ class Benchmark:
             if words:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.int64))
+        placed = [(k, a, b) for k, item in enumerate(self.items) for a, b in block_bounds(len(item))]
+        #: Item of a block, its place there, its words.
+        self.item_of = [k for k, _, _ in placed]
+        self.offset = [a for _, a, _ in placed]
+        self.blocks = [self.items[k][a:b] for k, a, b in placed]
+        self.sizes = np.array([len(w) for w in self.blocks], dtype=np.int64)
+        self.budgets = np.array([budget(len(w), similarity) for w in self.blocks], dtype=np.int64)
         self.index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         by_size: dict[int, list[tuple[int, int, int]]] = {}
-        for k, item in enumerate(self.items):
-            q = stretch(len(item), similarity)
-            by_size.setdefault(q, []).extend((int(g), k, at) for at, g in enumerate(self._grams(item, q)[1]))
+        for k, block in enumerate(self.blocks):
+            q = stretch(len(block), similarity)
+            by_size.setdefault(q, []).extend((int(g), k, at) for at, g in enumerate(self._grams(block, q)[1]))
         for q, rows in by_size.items():
             gram, k, at = (np.array(c, dtype=np.int64) for c in zip(*sorted(rows)))
             self.index[q] = gram, k, at
-        self.keys = [np.stack([self.walks.keys(item[None, :], w)[0] for w in range(self.walks.walks)]) for item in self.items]
+        self.keys = [np.stack([self.walks.keys(item[None, :], w)[0] for w in range(self.walks.walks)]) for item in self.blocks]
 
     @staticmethod
     def _grams(ids: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,39 +164,38 @@ class Benchmark:
         return at, key[at]
 
     def windows(self, ids: np.ndarray) -> np.ndarray:
-        """(item, start) of the item-sized windows that lie around a shared stretch; rows are distinct."""
+        """(block, start) of the block-sized windows that lie around a shared stretch; rows are distinct."""
         found = []
-        for q, (gram, item, offset) in self.index.items():
+        for q, (gram, block, offset) in self.index.items():
             at, key = self._grams(ids, q)
             lo, hi = np.searchsorted(gram, key, "left"), np.searchsorted(gram, key, "right")
             hit = np.flatnonzero(hi > lo)
             for a, l, h in zip(at[hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
-                for k, s in zip(item[l:h].tolist(), offset[l:h].tolist()):
-                    e = budget(len(self.items[k]), self.similarity)
+                for k, s in zip(block[l:h].tolist(), offset[l:h].tolist()):
+                    e = int(self.budgets[k])
                     found.append(np.stack([np.full(2 * e + 1, k), np.arange(a - s - e, a - s + e + 1)], axis=1))
         if not found:
             return np.zeros((0, 2), dtype=np.int64)
         both = np.unique(np.concatenate(found), axis=0)
-        size = np.array([len(i) for i in self.items])[both[:, 0]]
-        low = np.array([budget(len(i), self.similarity) for i in self.items])[both[:, 0]]
+        size, low = self.sizes[both[:, 0]], self.budgets[both[:, 0]]
         return both[(both[:, 1] > -size + low) & (both[:, 1] < len(ids) - low) | (both[:, 1] == 0)]
 
     def candidates(self, docs: list[np.ndarray], rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Of windows (doc, item, start) those that agree with their item on a whole sample of some walk."""
+        """Of windows (doc, block, start) those that agree with their block on a whole sample of some walk."""
         kept = []
         by_length: dict[int, list[tuple[int, int, int]]] = {}
         for r in rows:
-            by_length.setdefault(len(self.items[r[1]]), []).append(r)
+            by_length.setdefault(len(self.blocks[r[1]]), []).append(r)
         for length, some in by_length.items():
             windows = np.zeros((len(some), length), dtype=np.int64)
             for i, (d, _, start) in enumerate(some):
                 ids = docs[d]
                 a, b = max(start, 0), min(start + length, len(ids))
                 windows[i, :max(b - a, 0)] = ids[a:b]  # a window over the border of the text starts at the text
-            item = np.array([k for _, k, _ in some])
+            block = np.array([k for _, k, _ in some])
             open_ = np.arange(len(some))
             for walk in range(self.walks.walks):
-                wanted = np.stack([self.keys[k][walk] for k in item[open_]])
+                wanted = np.stack([self.keys[k][walk] for k in block[open_]])
                 agree = (self.walks.keys(windows[open_], walk) == wanted).any(axis=1)
                 kept += [some[i] for i in open_[agree]]
                 open_ = open_[~agree]
@@ -187,13 +204,14 @@ class Benchmark:
         return kept
 
     def verify(self, ids: np.ndarray, item: int, starts: list[int]) -> tuple[int, int, int] | None:
-        """(distance, start, end) of the nearest stretch around the candidate windows, if it is near enough."""
+        """(distance, start, end) of the nearest stretch around the places where candidates put the item, if it is near enough."""
         words = self.items[item]
         e, best = budget(len(words), self.similarity), None
         starts = sorted(starts)
         while starts:
             reach = [s for s in starts if s - starts[0] <= 4 * len(words)]
-            a, b = max(reach[0] - e, 0), min(reach[-1] + len(words) + e, len(ids))
+            # a window is off by its block's budget at most, and the item's edits before or behind the block move the ends
+            a, b = max(reach[0] - 2 * e, 0), min(max(reach[-1] + len(words) + 2 * e, 0), len(ids))
             distance, lo, hi = edit_match(words, ids[a:b])
             if distance <= e and (best is None or distance < best[0]):
                 best = distance, a + lo, a + hi
@@ -230,8 +248,8 @@ class _Search:
     def hits(self) -> list[tuple]:
         """Rows of the result for the documents added since the last call."""
         out, found, bench = [], {}, self.bench
-        for d, item, start in bench.candidates([ids for *_, ids in self.held], self.windows):
-            found.setdefault((d, item), []).append(start)
+        for d, block, start in bench.candidates([ids for *_, ids in self.held], self.windows):
+            found.setdefault((d, bench.item_of[block]), []).append(start - bench.offset[block])
         for (d, item), starts in sorted(found.items()):
             row, doc_id, ids = self.held[d]
             if match := bench.verify(ids, item, starts):

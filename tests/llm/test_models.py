@@ -129,6 +129,28 @@ def test_hits_against_brute_force(spark, block_bytes):
     assert decontaminate.benchmark_hits(frame, bench.limit(0)).count() == 0 == decontaminate.benchmark_hits(frame.limit(0), bench).count()
 
 
+@pytest.mark.parametrize("length", [20, 60, 100, 200])
+@pytest.mark.parametrize("kind", ["substitute", "delete", "insert"])
+def test_recall_at_the_full_budget(length, kind):
+    """Long items with as many edits as the budget allows, of one kind, are found."""
+    rng = random.Random(length)
+    items = [(k, " ".join(f"i{k}w{rng.randrange(10**6)}" for _ in range(length))) for k in range(50)]
+    bench = decontaminate.Benchmark(items, 0.8, 0.99)
+    search = decontaminate._Search(bench)
+    e = decontaminate.budget(length, 0.8)
+    for k, text in items:
+        words = text.split()
+        if kind == "insert":
+            for _ in range(e):
+                words.insert(rng.randrange(1, len(words)), "new")
+        else:
+            for at in sorted(rng.sample(range(length), e), reverse=True):
+                words[at:at + 1] = ["new"] if kind == "substitute" else []
+        search.add(k, k, " ".join(["before"] * 50 + words + ["after"] * 50))
+    hits = search.hits()
+    assert all(h[0] == h[2] and h[3] <= e for h in hits) and len(hits) >= 49
+
+
 PAGES = [
     ("<html><head><title>no</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav><div class='content'>"
      "<h1>Title &amp;amp; more</h1><p>Some long text of the article,\n with <a href=y>a link</a> in&nbsp;it.<p>Second &lt;b&gt; here<br>goes on.</p>"
