@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +42,42 @@ BLOCK_BYTES = 16 << 20
 WINDOWS = 20_000
 
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: Scripts without spaces: Thai, Lao, Myanmar, Khmer, Tai Le to Khmer symbols, Tai Tham, kana and bopomofo, ideographs, Yi,
+#: Myanmar and Tai Viet extensions, compatibility ideographs, half-width kana, kana supplements, further ideographs.
+_UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F),
+    (0x20000, 0x3FFFF))
+
+
+class _Plain(dict):
+    """What stands for a character beyond ASCII between words: itself, a space, nothing (joiners), or itself as a word."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = category(c)
+        if code < 128 or kind[0] in "LMN" and not 0xFE00 <= code <= 0xFE0F or kind == "Co":
+            put = f" {c} " if any(a <= code <= b for a, b in _UNSPACED) else c
+        else:
+            put = "" if kind[0] == "M" or kind == "Cf" and code != 0x200B else " "
+        self[code] = put
+        return put
+
+
+_AS_PLAIN = _Plain()
 
 
 def words_of(text: str) -> list[bytes]:
-    """Lower-case words; ASCII signs and white space separate them."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+    """Lower-case words between white space, punctuation and symbols; in scripts without spaces each character is a word."""
+    text = text.lower()
+    if not text.isascii():
+        other = [c for c in set(text) if c > "\x7f" and _AS_PLAIN[ord(c)] != c]
+        if len(other) > 8:
+            text = text.translate(_AS_PLAIN)
+        else:
+            for c in other:
+                text = text.replace(c, _AS_PLAIN[ord(c)])
+    return text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
 
 def budget(length: int, similarity: float) -> int:

@@ -151,6 +151,46 @@ def test_recall_at_the_full_budget(length, kind):
     assert all(h[0] == h[2] and h[3] <= e for h in hits) and len(hits) >= 49
 
 
+def test_words_beyond_ascii():
+    """Signs of any script separate words, and each character of a script without spaces is one."""
+    def split(text):
+        return [w.decode() for w in decontaminate.words_of(text)]
+
+    assert split("“Don’t” – he\u00a0said…　ＡＢ，ok！") == split("“Don't” - he said... ＡＢ, OK!") == ["don", "t", "he", "said", "ａｂ", "ok"]
+    assert split("我有3本书，Über 42") == ["我", "有", "3", "本", "书", "über", "42"]
+    assert split("ภาษาไทยที่") == list("ภาษาไทยที่")
+    assert split("हिन्दी भाषा") == ["हिन्दी", "भाषा"] and split("co\u00adop") == ["coop"] and split("a\u200bé") == ["a", "é"]
+
+
+def test_items_in_scripts_without_spaces(spark):
+    """Verbatim and edited passages inside a running text of the same script, against brute force."""
+    rng = random.Random(9)
+    scripts = {"zh": [chr(c) for c in range(0x4E00, 0x4E60)], "ja": [chr(c) for c in range(0x3042, 0x3090)], "th": [chr(c) for c in range(0x0E01, 0x0E2F)]}
+    items, docs = [], []
+    for letters in scripts.values():
+        for _ in range(3):
+            k, text = len(items), [rng.choice(letters) for _ in range(rng.randint(15, 60))]
+            items.append((k, "".join(text)))
+            for edits in (0, len(text) // 10, len(text) // 5, len(text) // 3):
+                words = text[:]
+                for at in rng.sample(range(len(words)), edits):
+                    words[at] = rng.choice(letters)
+                noise = ["".join(rng.choice(letters) for _ in range(30)) for _ in range(2)]
+                docs.append((len(docs), noise[0] + "".join(words) + noise[1]))
+    items.append((len(items), "“It’s a test”—he said, plainly"))
+    docs.append((len(docs), "So: it's a test - he said, plainly."))
+    want = set()
+    for d, text in docs:
+        for k, item in items:
+            a, b = decontaminate.words_of(item), decontaminate.words_of(text)
+            place = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
+            if decontaminate.edit_match(np.array([place[w] for w in a]), np.array([place[w] for w in b]))[0] <= decontaminate.budget(len(a), 0.8):
+                want.add((d, k))
+    hits = decontaminate.benchmark_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in hits.collect()}
+    assert {(4 * k + v, k) for k in range(9) for v in range(3)} | {(36, 9)} <= want == got
+
+
 PAGES = [
     ("<html><head><title>no</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav><div class='content'>"
      "<h1>Title &amp;amp; more</h1><p>Some long text of the article,\n with <a href=y>a link</a> in&nbsp;it.<p>Second &lt;b&gt; here<br>goes on.</p>"
