@@ -32,6 +32,7 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup; it is never text of the page.
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes template".split())
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in _RAW}
 _DROPPED = frozenset(
     "nav header footer aside form script style noscript template iframe object svg math canvas audio video button select "
     "option input textarea label fieldset menu dialog head title".split())
@@ -147,7 +148,7 @@ class _Open:
 def parse(html: str) -> Node:
     """Element tree; unclosed and stray tags are mended as far as block structure needs it."""
     root = Node("html")
-    tree, at, size, last_end, lower = _Open(root), 0, len(html), html.rfind(">"), None
+    tree, at, size, last_end = _Open(root), 0, len(html), html.rfind(">")
     while at < size:
         if at > last_end:  # a tag or comment that begins here has no end
             tree.stack[-1].children.append(_UNENDED.sub("", html[at:]))
@@ -170,9 +171,8 @@ def parse(html: str) -> Node:
             tree.make_room(tag)
             tree.push(_named(tag, m["attrs"] or m["attrs2"] or ""), keep_open=tag not in _RAW and tag not in _VOID)
             if tag in _RAW:
-                lower = lower if lower is not None else html.lower()
-                close = lower.find(f"</{tag}", at)
-                at = size if close < 0 else max(lower.find(">", close) + 1, close + 1)
+                close = _RAW_END[tag].search(html, at)
+                at = size if close is None else max(html.find(">", close.start()) + 1, close.start() + 1)
     return root
 
 

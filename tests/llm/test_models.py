@@ -215,6 +215,13 @@ def test_main_text(spark):
     assert html.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_raw_elements_end_where_the_page_has_their_end_tag():
+    """A letter that grows in lower case moves nothing."""
+    text = "İstanbul, İzmir ve İznik üzerine uzun bir yazı. " * 5
+    page = f"<body><article><p>{text}</p><SCRIPT>if(a<b){{}}</Script><p>Son söz burada.</p><style>p{{}}</STYLE><p>Bitti.</p></article></body>"
+    assert html.main_text(page) == text.strip() + "\nSon söz burada.\nBitti."
+
+
 def test_main_text_of_the_page_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     wanted = F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)
