@@ -24,7 +24,7 @@ from lagwise.llm.simhash import SEED, words_of
 WIDTH = 5
 SIMILARITY = 0.8
 TABLES, PER_KEY = 16, 4
-#: Pairs a row up to which all pairs are compared at once, rounds of centres before it is done in any case.
+#: Pairs a row up to which all pairs are compared at once, rounds of centres before it is done in any case (sooner if they join little).
 PAIRS_A_ROW, ROUNDS = 4, 8
 
 _RANDOM = np.random.default_rng(SEED)
@@ -97,8 +97,7 @@ def resembling_groups(
     keyed = keyed.join(groups.select("row", "component"), "row")
     size = keyed.groupBy("place", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     members = store(keyed.join(size.select("place", "key"), ["place", "key"]), "members")
-    labels = None
-
+    labels, before = None, None
     for turn in range(ROUNDS + 1):
         current = members if labels is None else members.join(labels, "component", "left").withColumn(
             "component", F.coalesce("root", "component")).drop("root")
@@ -109,7 +108,9 @@ def resembling_groups(
         rows, across = keys_.agg(F.sum("n"), F.sum("across")).first()
         if not rows:
             break
-        last = turn == ROUNDS or across <= 2 * pairs_a_row * rows
+        stuck = before is not None and across > 0.9 * before
+        last = turn == ROUNDS or stuck or across <= 2 * pairs_a_row * rows
+        before = across
         left = current.join(keys_.select("place", "key", "n", "centre"), ["place", "key"])
         if last:
             other = current.select("place", "key", F.col("row").alias("b"), F.col("component").alias("of_b"))
