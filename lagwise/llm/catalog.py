@@ -4,7 +4,7 @@ from importlib import import_module
 
 from lagwise.llm.registry import ORACLES, QUERIES
 
-_MODULES = ("packing", "simhash", "exact", "decontaminate", "langid", "tokenfile", "suffixes", "quality", "html", "tokencount", "periodic", "minhash")
+_MODULES = ("packing", "simhash", "exact", "decontaminate", "langid", "tokenfile", "suffixes", "quality", "html", "tokencount", "periodic", "minhash", "prefixes")
 
 
 def queries():
