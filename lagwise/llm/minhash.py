@@ -5,7 +5,8 @@ bands are its buckets (a pair at the similarity 0.8 shares none with a chance of
 folded into an odd sketch, a bitmap in which each sample turns one bit over.  Samples that two classes share cancel
 out, so the bits in which their sketches differ tell how many they don't share; pairs of one bucket whose sketches differ
 in more bits than a pair at the wanted similarity ever would (a chance of one in a million) are not looked at further.
-The others are confirmed on their sets.
+A second sketch folds the whole set: it can't differ in more bits than the sets in shingles, so for sets of up to some
+thousand shingles it rules pairs out for certain.  The others are confirmed on their sets.
 
 A bucket is not paired out.  In each round every class is compared with the nearest of four centres that its buckets name
 and that are not yet linked to it, which joins groups of any size in a few rounds.  When that has no more effect, or little
@@ -40,7 +41,7 @@ MISSED = 1e-6
 #: Centres a bucket names in a round, rounds, and pairs a class down to which the rest is compared in blocks.
 CENTRES, ROUNDS, PAIRS_A_CLASS = 4, 8, 4
 #: Classes of a bucket in one block, pairs compared at once in a task, rows held by a task (more only if one group has more).
-BLOCK, PAIRS, GROUP_ROWS = 2_048, 200_000, 50_000
+BLOCK, PAIRS, GROUP_ROWS = 512, 200_000, 50_000
 #: Shingles hashed at once.
 _SLICE = 4_096
 
@@ -74,12 +75,17 @@ def _spread(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """Bitmap in which every sample turns over the bit its number and value name; ``_LANES`` words of 64 bits."""
-    bits = (_spread(least.astype(np.uint64) + _PLACE) % np.uint64(SKETCH_BITS)).astype(np.int64)
+def odd_sketch(values: np.ndarray) -> np.ndarray:
+    """Bitmap in which every value turns over one bit; ``_LANES`` words of 64 bits."""
+    bits = (_spread(values) % np.uint64(SKETCH_BITS)).astype(np.int64)
     return np.packbits(np.bincount(bits, minlength=SKETCH_BITS) & 1, bitorder="little").astype(np.uint8).view(np.uint64)
 
 
+def sampled_sketch(least: np.ndarray) -> np.ndarray:
+    """Odd sketch of the samples, each with its number."""
+    return odd_sketch(least.astype(np.uint64) + _PLACE)
+
+
 def bucket_keys(least: np.ndarray) -> np.ndarray:
     """One key a band; keys of different bands are different."""
     key = np.arange(BANDS, dtype=np.uint64)
@@ -106,7 +112,8 @@ def most_bits(similarity: float) -> int:
     return int(np.flatnonzero(beyond <= MISSED)[0])
 
 
-_LANE_NAMES = [f"s{i}" for i in range(_LANES)]
+_SAMPLED, _WHOLE = [f"s{i}" for i in range(_LANES)], [f"w{i}" for i in range(_LANES)]
+_LANE_NAMES = _SAMPLED + _WHOLE
 _PRINTS = "row long, doc_id long, content long, n long, c1 long, c2 long, " + ", ".join(f"{s} long" for s in _LANE_NAMES) + ", keys array<long>"
 _PRINTS_ARROW = pa.schema([
     *[(c, pa.int64()) for c in ("row", "doc_id", "content", "n", "c1", "c2", *_LANE_NAMES)], ("keys", pa.list_(pa.int64()))])
@@ -118,14 +125,16 @@ def _prints(stream: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
     for whole in stream:
         for at in range(0, whole.num_rows, 1_000):
             batch = whole.slice(at, 1_000)
-            sizes, names, least = [], [], []
+            sizes, names, least, wholes = [], [], [], []
             for text in utf8(batch.column(3)):
                 shingles = shingle_set(text, width)
                 sizes.append(len(shingles))
                 names.append(hashlib.sha256(b"\n".join(sorted(shingles))).digest()[:16])
-                least.append(samples(np.array([digest(s, SEED) for s in shingles], dtype=np.uint64)) if shingles else none)
+                hashes = np.array([digest(s, SEED) for s in shingles], dtype=np.uint64)
+                least.append(samples(hashes) if shingles else none)
+                wholes.append(odd_sketch(hashes))
             name = np.frombuffer(b"".join(names), dtype=np.int64).reshape(-1, 2)
-            sketch = np.array([odd_sketch(v) for v in least]).view(np.int64)
+            sketch = np.concatenate((np.array([sampled_sketch(v) for v in least]), np.array(wholes)), axis=1).view(np.int64)
             keys = np.concatenate([bucket_keys(v) for v in least]).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), pa.array(keys))
             yield pa.record_batch([
@@ -136,10 +145,15 @@ def _prints(stream: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
 # --- pairs of one bucket ------------------------------------------------------------------------
 
 def _apart(a: dict[str, Column], b: dict[str, Column], least: float) -> Column:
-    """Bits in which two sketches differ; null if sizes or sketches rule out that the sets are similar."""
-    bits = reduce(lambda x, y: x + y, [F.bit_count(a[s].bitwiseXOR(b[s])) for s in _LANE_NAMES])
-    fits = (F.least(a["n"], b["n"]) >= least * F.greatest(a["n"], b["n"]) - 1e-9) & (bits <= most_bits(least))
-    return F.when(fits, bits)
+    """Bits in which the sketches differ; null if sizes or sketches rule out that the sets are similar."""
+    sampled, whole = (reduce(lambda x, y: x + y, [F.bit_count(a[s].bitwiseXOR(b[s])) for s in names]) for names in (_SAMPLED, _WHOLE))
+    fits = (F.least(a["n"], b["n"]) >= least * F.greatest(a["n"], b["n"]) - 1e-9) & (sampled <= most_bits(least))
+    return F.when(fits & (whole <= (a["n"] + b["n"]) * most_apart(least)), sampled + whole)
+
+
+def most_apart(similarity: float) -> float:
+    """Shingles, as a share of the sizes' sum, in which two sets of that similarity differ."""
+    return (1 - similarity) / (1 + similarity) + 1e-9
 
 
 _PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -174,7 +188,8 @@ def _group_pairs(table: pa.Table, least: float) -> Iterator[pa.RecordBatch]:
         y = np.arange(len(x)) - np.repeat(ends[at:to] - meets[at:to] - (ends[at - 1] if at else 0), meets[at:to]) + first[x]
         new = (component[x] != component[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9)
         x, y = x[new], y[new]
-        new = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= most_bits(least)
+        bits = np.bitwise_count(sketch[x] ^ sketch[y]).reshape(-1, 2, _LANES).sum(axis=2, dtype=np.int64)
+        new = (bits[:, 0] <= most_bits(least)) & (bits[:, 1] <= (n[x] + n[y]) * most_apart(least))
         x, y = node[x[new]], node[y[new]]
         if len(x):
             yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=_PAIRS_ARROW)

@@ -79,7 +79,8 @@ def test_sketches_tell_similarities():
             both = rng.integers(0, 2**63, 4 * shared, dtype=np.uint64)
             # of 400 hashes altogether 4 * shared are in both sets
             a, b = (np.concatenate((both, rng.integers(0, 2**63, 2 * (100 - shared), dtype=np.uint64))) for _ in range(2))
-            x, y = (minhash.odd_sketch(minhash.samples(v)) for v in (a, b))
+            x, y = (minhash.sampled_sketch(minhash.samples(v)) for v in (a, b))
+            assert np.bitwise_count(minhash.odd_sketch(a) ^ minhash.odd_sketch(b)).sum() <= 4 * (100 - shared)
             bits[shared].append(int(np.bitwise_count(x ^ y).sum()))
     means = {k: np.mean(v) for k, v in bits.items()}
     assert means[95] < means[80] < means[50] < means[0]
