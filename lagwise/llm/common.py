@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,23 +27,48 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders stored inside ``step`` by the step before, and whether one is running.
+_left: list[str] = []
+_running = False
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: computed once, and not lost with an executor."""
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    if _running:
+        _left.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder below ``spark.checkpoint.dir``; others are left alone."""
+    base = ensure_checkpoint_dir(spark).rstrip("/").removeprefix("file:").lstrip("/")
+    if f"/{base}/" in folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``store`` once nothing will read them again."""
     for table in tables:
-        spark = table.sparkSession
-        base = ensure_checkpoint_dir(spark).rstrip("/").removeprefix("file:").lstrip("/")
-        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if f"/{base}/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+            _delete(table.sparkSession, folder)
+
+
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """One step of a chain in which every step's result is written before the next step begins: what the step before has
+    stored inside is deleted first."""
+    global _running
+    while _left:
+        _delete(spark, _left.pop())
+    release(spark)
+    _running = True
+    try:
+        yield
+    finally:
+        _running = False
 
 
 def release(spark: SparkSession) -> None:

@@ -27,8 +27,8 @@ UNKNOWN = "und"
 #: Languages that a model may have, and n-grams whose vectors a worker holds (40 MB).
 MAX_LANGUAGES = 4096
 HELD_NGRAMS = 20_000
-#: Characters of texts bundled at once.
-SLICE_CHARS = 500_000
+#: Characters and texts bundled at once: a text takes a count per distinct n-gram of its slice.
+SLICE_CHARS, SLICE_ROWS = 500_000, 512
 
 
 @lru_cache(maxsize=1)
@@ -157,18 +157,23 @@ def predict_texts(texts: list[str], names: list[str], prototypes: np.ndarray) ->
     return found, np.where(lettered, np.clip(cosines.max(axis=1), 0, 1), 0.0)
 
 
+def _bounded(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Stretches of at most ``SLICE_ROWS`` texts and some ``SLICE_CHARS`` characters."""
+    for a, b in slices(texts, SLICE_CHARS):
+        for lo in range(a, b, SLICE_ROWS):
+            yield lo, min(lo + SLICE_ROWS, b)
+
+
 def _predict(stream: Iterator[pa.RecordBatch], names: list[str], prototypes: np.ndarray) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 36
     for batch in stream:
         texts = strings(batch.column(2))
-        for a, b in slices(texts, SLICE_CHARS):
-            for lo in range(a, b, 512):
-                hi = min(lo + 512, b)
-                found, score = predict_texts(texts[lo:hi], names, prototypes)
-                yield pa.record_batch([
-                    batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(found, type=pa.string()), pa.array(score),
-                    pa.array(np.arange(row, row + hi - lo))], schema=_PREDICTED_ARROW)
-                row += hi - lo
+        for lo, hi in _bounded(texts):
+            found, score = predict_texts(texts[lo:hi], names, prototypes)
+            yield pa.record_batch([
+                batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(found, type=pa.string()), pa.array(score),
+                pa.array(np.arange(row, row + hi - lo))], schema=_PREDICTED_ARROW)
+            row += hi - lo
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,19 +188,29 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
         lambda it: _predict(it, names, matrix), _PREDICTED)
 
 
-def _keep_known(stream: Iterator[pa.RecordBatch], place: int, names: list[str], prototypes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _keep_known(
+    stream: Iterator[pa.RecordBatch], place: int, lang: int | None, names: list[str], prototypes: np.ndarray,
+) -> Iterator[pa.RecordBatch]:
     for batch in stream:
         texts = strings(batch.column(place))
-        for a, b in slices(texts, SLICE_CHARS):
-            found, _ = predict_texts(texts[a:b], names, prototypes)
-            yield batch.slice(a, b - a).filter(pa.array([x != UNKNOWN for x in found]))
-
-
-def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language; texts that are null or without letters go."""
+        for lo, hi in _bounded(texts):
+            found, _ = predict_texts(texts[lo:hi], names, prototypes)
+            some = batch.slice(lo, hi - lo)
+            if lang is not None and some.column(lang).null_count:
+                filled = pa.array([p if x is None else x for x, p in zip(some.column(lang).to_pylist(), found)], type=some.schema.field(lang).type)
+                some = some.set_column(lang, some.schema.field(lang), filled)
+            yield some.filter(pa.array([x != UNKNOWN for x in found]))
+
+
+def keep_known(
+    docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text", lang_col: str = "lang",
+) -> DataFrame:
+    """The rows of ``docs`` whose text has a language; texts that are null or without letters go.  A null in ``lang_col``, if
+    there is such a column of strings, becomes the predicted language."""
     names, matrix = list(prototypes), np.array(list(prototypes.values())).reshape(len(prototypes), DIMENSIONS)
     place = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: _keep_known(it, place, names, matrix), docs.schema)
+    lang = docs.columns.index(lang_col) if dict(docs.dtypes).get(lang_col) == "string" else None
+    return docs.mapInArrow(lambda it: _keep_known(it, place, lang, names, matrix), docs.schema)
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

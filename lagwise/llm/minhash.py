@@ -352,6 +352,18 @@ def similar_groups(
         "doc_id", F.col("n").alias("n_shingles"), F.when(one, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "row")
 
 
+def joined_groups(*groups: DataFrame) -> DataFrame:
+    """(row, component) for every row of ``groups`` (row, component; null for a row by itself), where rows that are together in
+    any of them are in one component, named by its first row.  All of ``groups`` have the same rows."""
+    stars = []
+    for group in groups:
+        first = group.filter("component IS NOT NULL").groupBy("component").agg(F.min("row").alias("b"), F.count("row").alias("n")).filter("n > 1")
+        stars.append(group.join(first, "component").filter("row <> b").select(F.col("row").alias("a"), "b"))
+    links = components(reduce(DataFrame.union, stars))
+    return groups[0].select("row").join(links.withColumnRenamed("node", "row"), "row", "left").select(
+        "row", F.coalesce("root", "row").alias("component"))
+
+
 @query("op12_minhash_near_dedup", """
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(

@@ -1,13 +1,15 @@
 """The pipeline against plain loops, and its stages on odd rows."""
 
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lagwise.llm import decontaminate
 from lagwise.llm.common import store
-from tests.llm.test_duplicates import exact_by_loop, print_by_loop, roots_by_loop
+from tests.llm.test_duplicates import exact_by_loop, print_by_loop
 
 
 def test_stages_by_loop(spark):
@@ -29,8 +31,7 @@ def test_stages_by_loop(spark):
     assert kept["language_id"] == want
     want = {r[0] for r in exact_by_loop([(i, text[i]) for i in want]) if r[3]}
     assert kept["exact_dedup"] == want
-    ids = sorted(want)
-    want = {ids[r] for r in roots_by_loop([print_by_loop(text[i]) for i in ids])}
+    want = near_by_loop([(i, text[i]) for i in sorted(want)])
     assert kept["simhash_dedup"] == want
     hits = decontaminate.benchmark_hits(frame, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").collect()
     want -= {r.doc_id for r in hits}
@@ -72,6 +73,18 @@ def test_near_copies_by_word_similarity(spark, crowd):
         rows.append((10**6 + i, " ".join(words)))
     schema = docs.select("doc_id", "text").schema
     kept = {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, schema).repartition(3), "").collect()}
+    assert len(far_by_loop(rows)) >= 5
+    assert kept == near_by_loop(rows)
+
+
+def far_by_loop(rows):
+    """Pairs of places that are alike by words, though their fingerprints differ in more than three bits."""
+    prints = [print_by_loop(t) for _, t in rows]
+    return [p for p in alike_by_loop(rows) if (prints[p[0]] ^ prints[p[1]]).bit_count() > 3]
+
+
+def near_by_loop(rows):
+    """The smallest id of every group of rows that are near by fingerprint or by words."""
     prints = [print_by_loop(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -81,12 +94,32 @@ def test_near_copies_by_word_similarity(spark, crowd):
         return i
 
     near = [(i, j) for i, a in enumerate(prints) for j in range(i) if (a ^ prints[j]).bit_count() <= 3]
-    far = [p for p in alike_by_loop(rows) if (prints[p[0]] ^ prints[p[1]]).bit_count() > 3]
-    assert len(far) >= 5
-    for i, j in near + far:
+    for i, j in near + far_by_loop(rows):
         a, b = find(i), find(j)
         root[max(a, b)] = min(a, b)
     least = {}
     for i, (d, _) in enumerate(rows):
         least[find(i)] = min(d, least.get(find(i), d))
-    assert kept == set(least.values())
+    return set(least.values())
+
+
+def test_language_fills_nulls(spark, documents):
+    docs = documents.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    out = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    truth = {r.doc_id: r.lang for r in documents.collect()}
+    assert None not in out.values() and all(out[i] == truth[i] for i in out if i % 2 == 0)
+    assert sum(out[i] == truth[i] for i in out) > 0.9 * len(out)
+
+
+def test_number_column_is_refused(spark, odd):
+    with pytest.raises(ValueError):
+        corpus_pipeline.exact_dedup(spark, odd.withColumn("_pipeline_row", F.lit(1)), "")
+
+
+def test_stage_deletes_what_the_one_before_stored(spark, documents):
+    first = corpus_pipeline.exact_dedup(spark, documents, "")
+    folders = {f.rsplit("/", 1)[0].removeprefix("file:") for f in first.inputFiles()}
+    written = store(first, "written")
+    assert folders and all(os.path.isdir(f) for f in folders)
+    second = corpus_pipeline.exact_dedup(spark, written, "")
+    assert not any(os.path.isdir(f) for f in folders) and second.count() == written.count()
