@@ -1,7 +1,7 @@
 """Token sequences of equal length in Arrow files.
 
 A file holds a stretch of documents in id order: their ids one after the other in rows of ``LENGTH`` ids
-(fixed-size lists), with a mask that is false behind the last id of the file.  Lists of one size and record batches
+(fixed-size lists), with a mask of bytes, 1 up to the last id of the file and 0 behind it.  Lists of one size and record batches
 of one number of rows make the place of any row a product, so a memory-mapped row is read without a copy.  A second
 Arrow file beside it tells where each document starts.  Files are written under names of their own attempt; the
 manifest, which is returned by the tasks that finished, names the ones that count.
@@ -31,7 +31,7 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype.newbyteorder("=")), length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype.newbyteorder("=")), length)), ("mask", pa.list_(pa.uint8(), length))])
 
 
 class TokenFileWriter:
@@ -68,7 +68,7 @@ class TokenFileWriter:
         self.held, self.held_bytes = [rest], len(rest)
 
     def _batch(self, ids: np.ndarray, used: int) -> None:
-        mask = pa.array(np.arange(len(ids)) < used)
+        mask = pa.array((np.arange(len(ids)) < used).astype(np.uint8))
         kind = self.schema.field("ids").type.value_type
         lists = [pa.FixedSizeListArray.from_arrays(x, self.length) for x in (pa.array(ids, type=kind), mask)]
         self.ids.write_batch(pa.record_batch(lists, schema=self.schema))
@@ -92,10 +92,10 @@ def _open(folder: str, name: str) -> pa.ipc.RecordBatchFileReader:
 
 
 def sequence(folder: str, name: str, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one row of a file, found by its number; ids are a view of the file."""
+    """Ids and mask of one row of a file, found by its number; both are views of the file."""
     batch = _open(folder, f"{name}.arrow").get_batch(row // BATCH_ROWS)
     ids, mask = batch.column(0)[row % BATCH_ROWS].values, batch.column(1)[row % BATCH_ROWS].values
-    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True)
 
 
 _MANIFEST = "part long, folder string, file string, docs long, tokens long, sequences long"
@@ -122,12 +122,13 @@ def write_token_files(
 ) -> DataFrame:
     """Write all documents to ``folder``, which every executor can reach; returns the manifest, one row per file.
 
-    Documents are in ascending id order over the files in ``part`` order: null ids first, rows with one id by text.
+    Documents are in ascending id order over the files in ``part`` order: null ids first, rows with one id by a hash of the text, then by text.
     A null text is empty; each document ends with id 2.  An empty table writes no file.
     """
     path = tokenizer or word_tokenizer()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows without an id, or with one id, are spread by their text
+    ranged = rows.withColumn("spread", F.xxhash64("text")).repartitionByRange("doc_id", "spread").sortWithinPartitions("doc_id", "spread", "text").drop("spread")
     return store(ranged.mapInArrow(lambda it: _write_files(it, folder, path, length), _MANIFEST), "manifest")
 
 
@@ -150,7 +151,7 @@ def _read_files(stream: Iterator[pa.RecordBatch], keep_ids: bool) -> Iterator[pa
                     while size < n:
                         block = next(following)
                         values, mask = (block.column(j).flatten().to_numpy(zero_copy_only=False) for j in (0, 1))
-                        more.append(values if mask[-1] else values[mask])
+                        more.append(values if mask[-1] else values[:np.count_nonzero(mask)])
                         size += len(more[-1])
                     held = more[0] if len(more) == 1 else np.concatenate([m for m in more if len(m)])
                     piece = held[:n]

@@ -83,21 +83,23 @@ class WordEncoder:
         """Encode new words: letters and the marks after them apart, as the tokenizer does; returns words not to hold."""
         if len(self.parts) > HELD_WORDS:
             self.parts = {"": b""}
-        cut, long, letters = [], [], set()
+        cut, long, letters, match = [], [], set(), _PLAIN.fullmatch
         for word in unknown:
-            if len(word) > WORD_CHARS or self.border in word or not word.isprintable():
+            if len(word) <= WORD_CHARS and (m := match(word)):
+                part, marks = m.groups()
+                part = part.lower()
+                cut.append((word, part, marks))
+                letters.add(part)
+            elif len(word) > WORD_CHARS or self.border in word or not word.isprintable():
                 self.words[word] = self._bytes(self._plain(word))
                 long.append(word)
-            elif m := _PLAIN.fullmatch(word):
-                cut.append((word, part := m[1].lower(), m[2]))
-                letters.add(part)
             else:
                 cut.append((word, word, ""))
         tokenize = self.model.tokenize
         for part in letters - self.parts.keys():  # one token run that needs no splitting: straight to the model
             self.parts[part] = self._bytes([t.id for t in tokenize(part if part.isascii() else part.translate(_BYTE_SIGNS))])
         pending, chars = [], 0
-        for part in {p for _, *parts in cut for p in parts} - self.parts.keys():
+        for part in {p for _, p, _ in cut}.union(p for _, _, p in cut) - self.parts.keys():
             pending.append(part)
             chars += len(part)
             if chars > CALL_CHARS:
@@ -113,7 +115,7 @@ class WordEncoder:
         """Ids of every text, each followed by ``end_id``."""
         end = b"" if end_id is None else self._bytes([end_id])
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        distinct = {w for words in split for w in words}
+        distinct = set().union(*split)
         unknown = distinct - self.words.keys()
         if len(self.words) + len(unknown) > HELD_WORDS:
             self.words = {"": b""}
