@@ -90,6 +90,9 @@ def _coefficients(spark, sf):
     return rounded(L.coefficient_table(fit, "market_plus_player_form", 2001, spark))
 
 
+EXPANDED = tuple(f"{side}_{c.removeprefix('diff_')}" for side in ("home", "away") for c in FORM)
+
+
 @query("boosted_trees")
 def _boosted(spark, sf):
     d = design(spark, sf)
@@ -97,11 +100,42 @@ def _boosted(spark, sf):
     return rounded(fit.transform(d.filter("season = 2001")).select("match_id", *PROBS))
 
 
+@query("boosted_trees_expanded")
+def _boosted_expanded(spark, sf):
+    d = design(spark, sf)
+    fit = G.fit_boosted(d.filter("season < 2001"), EXPANDED)
+    return rounded(fit.transform(d.filter("season = 2001")).select("match_id", *PROBS))
+
+
+@query("boosted_importances")
+def _boosted_importances(spark, sf):
+    d = design(spark, sf)
+    return rounded(G.fit_boosted(d.filter("season < 2001"), FORM).importances(spark, "boosted_trees"))
+
+
+#: Six nested sets of the form features, to be taken as differences or as home and away columns.
+TUNING_SETS = {
+    "scored": ["scored_5"], "goals": ["scored_5", "conceded_5"], "goals_recent": ["scored_5", "conceded_5", "scored_1"],
+    "goals_rest": ["scored_5", "conceded_5", "rest_days"], "rest": ["rest_days", "scored_1"], "all": ["scored_5", "conceded_5", "scored_1", "rest_days"],
+}
+
+
+def _tuned_with(spark, sf, represent):
+    """The search at its defaults: 50 trials over the six sets, five finalists, three repeats, up to 2,000 rounds."""
+    d = design(spark, sf)
+    sets = {name: [c for f in features for c in represent(f)] for name, features in TUNING_SETS.items()}
+    return d, G.fit_tuned_boosting(d.filter("season < 2001"), sets)
+
+
 @query("tuned_boosting")
 def _tuned(spark, sf):
-    d = design(spark, sf)
-    sets = {"form": list(FORM), "form_market": [*FORM, *L.MARKET_FEATURES]}
-    tuned = G.fit_tuned_boosting(d.filter("season < 2001"), sets, trials=2, finalists=1, repeats=1, max_rounds=2)
+    d, tuned = _tuned_with(spark, sf, lambda f: [f"diff_{f}"])
+    return rounded(tuned.transform(d.filter("season = 2001")).select("match_id", *PROBS))
+
+
+@query("tuned_boosting_expanded")
+def _tuned_expanded(spark, sf):
+    d, tuned = _tuned_with(spark, sf, lambda f: [f"home_{f}", f"away_{f}"])
     return rounded(tuned.transform(d.filter("season = 2001")).select("match_id", *PROBS))
 
 

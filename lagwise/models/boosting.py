@@ -1,75 +1,170 @@
-"""Boosted trees for three classes with Spark ML, and their chronological tuning.
+"""Boosted trees for three classes: one softmax model over binned columns, and its chronological tuning.
 
-Spark's trees are binary, so three one-against-rest models are fitted and renormalised; results are not
-comparable number by number with another boosting library.
+Bins are quantiles of all rows, counted by Spark.  A fit runs in one task on at most about ``FIT_ROWS`` rows, chosen by a
+hash of their values; fits of a search, which are hundreds, run side by side, and read the binned rows of their
+fold from one broadcast table of a byte per value.  Predictions cover all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+import json
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.functions.scores import CLASSES, PROBS, log_loss
 from lagwise.models.calibration import apply_temperature, apply_vector_scaling, fit_temperatures, fit_vector_scaling
+from lagwise.models.softmax_trees import BINS, DEFAULT_SETTINGS, Trees, bin_columns, boost, softmax
 from lagwise.operators.sampling import ordered_groups
 from lagwise.plans.folds import late_block_cutoff
+from lagwise.session import cut_lineage
 
-# Fixed values of the untuned model.
-DEFAULT_SETTINGS = {"maxIter": 100, "stepSize": 0.03, "maxDepth": 3, "minInstancesPerNode": 30, "seed": 42}
-FLOOR = 1e-6
+#: Rows that a fit learns from or is validated on, at most (in expectation, where a table has more).
+FIT_ROWS = 20_000
+#: Least number of trees that a tuned model keeps.
+LEAST_ROUNDS = 10
+
+
+# --- binned rows --------------------------------------------------------------------------------
+
+def quantile_edges(df: DataFrame, columns: Sequence[str]) -> list[np.ndarray]:
+    """Borders between the bins of every column, from one pass over all rows."""
+    shares = [i / BINS for i in range(1, BINS)]
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    row = df.agg(*[F.percentile_approx(value(c), shares, 10_000).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return [np.unique(np.array(cuts or [], dtype=float)) for cuts in row]
+
+
+def _sampled(df: DataFrame, columns: Sequence[str], rows: int) -> DataFrame:
+    """About ``rows`` rows, by a hash of their values; all rows where there are no more."""
+    count = df.count()
+    if count <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*columns, F.lit(17)), F.lit(1 << 30)) < int(rows / count * (1 << 30)))
+
+
+_BLOCKS = "fold int, held boolean, n long, place binary, bins binary, labels binary, weights binary"
+_BLOCKS_ARROW = pa.schema([("fold", pa.int32()), ("held", pa.bool_()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("place", "bins", "labels", "weights")]])
+
+
+def _pack(stream: Iterator[pa.RecordBatch], edges: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (fold, held, place, label, weight, values...) as blocks of bytes, one per fold and role of a batch."""
+    for batch in stream:
+        fold, held, place, label, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        values = np.array([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(5, batch.num_columns)]).reshape(len(edges), -1)
+        bins = bin_columns(values, edges)
+        for f, h in sorted(set(zip(fold.tolist(), held.tolist()))):
+            inside = np.flatnonzero((fold == f) & (held == h))
+            row = (f, h, len(inside), place[inside].astype(np.int64).tobytes(), np.ascontiguousarray(bins[:, inside]).tobytes(),
+                   label[inside].astype(np.int8).tobytes(), weight[inside].astype(float).tobytes())
+            yield pa.record_batch([pa.array([v], type=t.type) for v, t in zip(row, _BLOCKS_ARROW)], schema=_BLOCKS_ARROW)
+
+
+def _blocks(df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], fold: Column, held: Column, result: str, weight: str | None) -> DataFrame:
+    label = reduce(lambda found, k: F.when(F.col(result) == CLASSES[k], k).otherwise(found), range(len(CLASSES)), F.raise_error(F.lit("unknown class")).cast("int"))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.select(
+        fold.cast("int"), F.coalesce(held, F.lit(False)), F.xxhash64(*columns), label, w, *[F.col(c).cast("double") for c in columns])
+    names = [f"v{i}" for i in range(len(rows.columns))]
+    return cut_lineage(rows.toDF(*names).mapInArrow(lambda it: _pack(it, edges), _BLOCKS))
+
+
+# --- fits in tasks ------------------------------------------------------------------------------
+
+_FITS = "problem int, loss double, rounds int, model binary"
+_FITS_ARROW = pa.schema([("problem", pa.int32()), ("loss", pa.float64()), ("rounds", pa.int32()), ("model", pa.binary())])
+
+
+def _rows_of(blocks: list[dict], chosen: list[int], columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bins of the chosen columns, labels, weights) in an order that does not depend on how the rows were dealt."""
+    bins = np.concatenate([np.frombuffer(b["bins"], dtype=np.uint8).reshape(columns, -1) for b in blocks], axis=1)
+    place, labels, weights = (np.concatenate([np.frombuffer(b[c], dtype=t) for b in blocks]) for c, t in (("place", np.int64), ("labels", np.int8), ("weights", float)))
+    order = np.lexsort((weights, labels, place))
+    return bins[chosen][:, order], labels[order].astype(np.int64), weights[order]
+
+
+def _fit_problem(problem: int, plan: dict, blocks: list[dict], columns: int) -> pa.RecordBatch:
+    fit, held = ([b for b in blocks if b["held"] == h] for h in (False, True))
+    if not fit:
+        raise ValueError(f"no rows to fit problem {problem}")
+    bins, labels, weights = _rows_of(fit, plan["columns"], columns)
+    if len(set(labels.tolist())) < len(CLASSES):
+        raise ValueError(f"a class is absent from the rows of problem {problem}")
+    trees, losses = boost(bins, labels, weights, plan["settings"], len(CLASSES), _rows_of(held, plan["columns"], columns)[:2] if held else None)
+    row = (problem, min(losses, default=None), trees.rounds, trees.dump() if plan["keep"] else None)
+    return pa.record_batch([pa.array([v], type=t.type) for v, t in zip(row, _FITS_ARROW)], schema=_FITS_ARROW)
+
+
+def _fit_all(stream: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
+    """Rows (problem, plan, block...), all blocks of a problem one after the other."""
+    problem, plan, blocks = None, None, []
+    for batch in stream:
+        for row in batch.to_pylist():
+            if row["problem"] != problem:
+                if blocks:
+                    yield _fit_problem(problem, json.loads(plan), blocks, columns)
+                problem, plan, blocks = row["problem"], row["plan"], []
+            blocks.append(row)
+    if blocks:
+        yield _fit_problem(problem, json.loads(plan), blocks, columns)
+
+
+def _run(blocks: DataFrame, columns: int, problems: Sequence[tuple[int, dict]]) -> list:
+    """One row per problem (fold, plan): all of them in one pass, a task each."""
+    spark = blocks.sparkSession
+    rows = [(i, fold, json.dumps(plan)) for i, (fold, plan) in enumerate(problems)]
+    table = spark.createDataFrame(rows, "problem int, fold int, plan string").repartitionByRange(len(rows), "problem")
+    # at most FIT_ROWS rows of a byte per column, for every fold
+    joined = table.join(F.broadcast(blocks), "fold").select("problem", "plan", "held", "n", "place", "bins", "labels", "weights")
+    return sorted(joined.mapInArrow(lambda it: _fit_all(it, columns), _FITS).collect(), key=lambda r: r.problem)
 
 
 @dataclass(frozen=True)
 class BoostedFit:
     columns: tuple[str, ...]
-    models: tuple[GBTClassificationModel, ...]
+    edges: tuple[np.ndarray, ...]
+    trees: Trees
 
     @property
-    def rounds(self) -> tuple[int, ...]:
-        """Trees per class."""
-        return tuple(m.getNumTrees for m in self.models)
+    def rounds(self) -> int:
+        return self.trees.rounds
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Append the renormalised probabilities."""
-        wide = VectorAssembler(inputCols=list(self.columns), outputCol="_features").transform(df)
-        for model, p in zip(self.models, PROBS):
-            scored = model.transform(wide)
-            raw = F.greatest(vector_to_array("probability")[1], F.lit(FLOOR))
-            wide = scored.withColumn(f"_{p}", raw).drop("probability", "rawPrediction", "prediction")
-        total = F.col("_prob_H") + F.col("_prob_D") + F.col("_prob_A")
-        return wide.select(*df.columns, *[(F.col(f"_{p}") / total).alias(p) for p in PROBS])
+        """Append the probabilities of the three classes."""
+        trees, edges = self.trees, list(self.edges)
+
+        @F.pandas_udf(", ".join(f"{p} double" for p in PROBS))
+        def probabilities(*values: pd.Series) -> pd.DataFrame:
+            bins = bin_columns(np.array([v.to_numpy(dtype=float, na_value=np.nan) for v in values]), edges)
+            return pd.DataFrame(softmax(trees.scores(bins)), columns=list(PROBS))
+
+        scored = df.withColumn("_scored", probabilities(*[F.col(c).cast("double") for c in self.columns]))
+        return scored.select(*df.columns, *[F.col(f"_scored.{p}").alias(p) for p in PROBS])
 
     def importances(self, spark, model: str) -> DataFrame:
-        rows = [(model, c, f, float(v)) for c, m in zip(CLASSES, self.models) for f, v in zip(self.columns, m.featureImportances.toArray())]
+        """Share of the gain per class and column."""
+        shares = self.trees.importances(len(self.columns))
+        rows = [(model, c, f, float(v)) for c, line in zip(CLASSES, shares) for f, v in zip(self.columns, line)]
         return spark.createDataFrame(rows, "model string, result_class string, feature string, importance double")
 
 
 def fit_boosted(
     df: DataFrame, columns: Sequence[str], *, result: str = "result_3way", weight: str | None = None, settings: Mapping | None = None,
-    validation: Column | None = None,
+    validation: Column | None = None, fit_rows: int = FIT_ROWS,
 ) -> BoostedFit:
-    """Three binary boosted-tree models on the same columns.
-
-    Rows where ``validation`` holds are not learnt from; a class stops adding trees when they no longer get better.
-    """
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    wide = VectorAssembler(inputCols=list(columns), outputCol="_features").transform(df)
-    held = [] if validation is None else [validation.alias("_held")]
-    labels = [(F.col(result) == c).cast("double").alias(f"_is_{c}") for c in CLASSES]
-    ready = wide.select("_features", w.alias("_w"), *held, *labels).persist()
-    options = {**DEFAULT_SETTINGS, **(settings or {})}
-    if held:
-        options |= {"validationIndicatorCol": "_held"}
-    models = tuple(GBTClassifier(featuresCol="_features", labelCol=f"_is_{c}", weightCol="_w", **options).fit(ready) for c in CLASSES)
-    ready.unpersist()
-    return BoostedFit(tuple(columns), models)
+    """One model of three classes.  Rows where ``validation`` holds are not learnt from: trees are added until the loss there
+    has not improved for ``patience`` rounds, and those after the best round are dropped."""
+    edges = quantile_edges(df, columns)
+    held = F.lit(False) if validation is None else validation
+    blocks = _blocks(_sampled(df, columns, fit_rows), columns, edges, F.lit(0), held, result, weight)
+    plan = {"settings": {**DEFAULT_SETTINGS, **(settings or {})}, "columns": list(range(len(columns))), "keep": True}
+    return BoostedFit(tuple(columns), tuple(edges), Trees.load(bytes(_run(blocks, len(columns), [(0, plan)])[0].model)))
 
 
 # --- tuning -------------------------------------------------------------------------------------
@@ -81,23 +176,33 @@ class Range:
     low: float
     high: float
     log: bool = False
-    whole: bool = False
+
+    def at(self, share: float) -> float:
+        return self.low * (self.high / self.low) ** share if self.log else self.low + (self.high - self.low) * share
+
+
+@dataclass(frozen=True)
+class Choice:
+    """One of several values."""
+
+    values: tuple
 
     def at(self, share: float) -> float | int:
-        if self.log:
-            value = self.low * (self.high / self.low) ** share
-        else:
-            value = self.low + (self.high - self.low) * share
-        return round(value) if self.whole else value
-
-
-#: Settings that a search varies.
-SPACE: dict[str, Range] = {
-    "stepSize": Range(0.01, 0.15, log=True),
-    "maxDepth": Range(2, 5, whole=True),
-    "minInstancesPerNode": Range(10, 160, log=True, whole=True),
-    "subsamplingRate": Range(0.6, 1.0),
-    "minInfoGain": Range(0.0, 0.02),
+        return self.values[int(share * len(self.values))]
+
+
+# The settings that a search varies.
+SPACE: dict[str, Range | Choice] = {
+    "learning_rate": Range(0.005, 0.08, log=True),
+    "max_depth": Choice((2, 3, 4, 5, 6)),
+    "num_leaves": Choice((3, 5, 7, 11, 15, 23)),
+    "min_child_samples": Choice((20, 40, 60, 90, 130)),
+    "subsample": Choice((0.65, 0.8, 1.0)),
+    "colsample_bytree": Choice((0.5, 0.7, 0.85, 1.0)),
+    "reg_alpha": Range(1e-3, 10.0, log=True),
+    "reg_lambda": Range(0.1, 100.0, log=True),
+    "min_split_gain": Choice((0.0, 0.01, 0.05, 0.2)),
+    "max_bin": Choice((32, 64, 128)),
 }
 
 
@@ -111,10 +216,15 @@ def _van_der_corput(number: int, base: int) -> float:
     return share
 
 
-def trial_settings(space: Mapping[str, Range], trials: int, offset: int = 1) -> list[dict]:
-    """Evenly spread settings: one mirrored-digit sequence per setting, each in a prime base of its own."""
+def trial_settings(space: Mapping[str, Range | Choice], trials: int, offset: int = 1) -> list[dict]:
+    """Evenly spread settings: one mirrored-digit sequence per setting, each in a prime base of its own.  A tree of some depth
+    has no more leaves than fit it."""
     bases = [p for p in range(2, 100) if all(p % q for q in range(2, p))]
-    return [{name: r.at(_van_der_corput(offset + k, base)) for (name, r), base in zip(space.items(), bases)} for k in range(trials)]
+    found = [{name: r.at(_van_der_corput(offset + k, base)) for (name, r), base in zip(space.items(), bases)} for k in range(trials)]
+    for settings in found:
+        if {"max_depth", "num_leaves"} <= settings.keys():
+            settings["num_leaves"] = max(v for v in space["num_leaves"].values if v <= min(settings["num_leaves"], 2 ** settings["max_depth"]))
+    return found
 
 
 def time_folds(train: DataFrame, season: str = "season", time: str = "kickoff", share: float = 0.7) -> tuple[DataFrame, object]:
@@ -145,44 +255,52 @@ def time_folds(train: DataFrame, season: str = "season", time: str = "kickoff",
     return spread.join(F.broadcast(names), "fold").select("fold", "fold_name", role.alias("role"), *train.columns), calibration
 
 
-@dataclass
 class Search:
-    """Trials over one set of folds; each fit's validation loss and tree counts become a row of ``runs``."""
-
-    folds: DataFrame
-    feature_sets: Mapping[str, Sequence[str]]
-    max_rounds: int
-    result: str = "result_3way"
-    runs: list[tuple] = field(default_factory=list)
-
-    def run(self, trial: int, feature_set: str, settings: Mapping, stage: str, seeds: Sequence[int]) -> None:
-        columns = self.feature_sets[feature_set]
-        held = F.col("role") == "validate"
-        for fold, name in sorted(tuple(r) for r in self.folds.select("fold", "fold_name").distinct().collect()):
-            part = self.folds.filter(F.col("fold") == fold)
-            for seed in seeds:
-                options = {**settings, "maxIter": self.max_rounds, "seed": seed}
-                model = fit_boosted(part, columns, result=self.result, settings=options, validation=held)
-                loss = model.transform(part.filter(held)).agg(F.avg(log_loss(epsilon=1e-12))).first()[0]
-                self.runs.append((trial, feature_set, stage, name, seed, float(loss), float(np.mean(model.rounds))))
+    """Trials over one set of folds; every fit's validation loss and number of trees becomes a row of ``runs``."""
+
+    def __init__(self, folds: DataFrame, feature_sets: Mapping[str, Sequence[str]], max_rounds: int, result: str = "result_3way", fit_rows: int = FIT_ROWS) -> None:
+        self.folds, self.max_rounds, self.runs = folds, max_rounds, []
+        self.columns = sorted({c for columns in feature_sets.values() for c in columns})
+        self.places = {name: [self.columns.index(c) for c in columns] for name, columns in feature_sets.items()}
+        self.names = sorted(tuple(r) for r in folds.select("fold", "fold_name").distinct().collect())
+        self.result, self.fit_rows, self.blocks = result, fit_rows, None
+
+    def run(self, trials: Sequence[tuple[int, str, Mapping]], stage: str, seeds: Sequence[int]) -> None:
+        """Fits of all (trial, feature set, settings), folds and seeds in one pass."""
+        if self.blocks is None:
+            edges = quantile_edges(self.folds, self.columns)
+            rows = _sampled(self.folds, self.columns, self.fit_rows * len(self.names))
+            self.blocks = _blocks(rows, self.columns, edges, F.col("fold"), F.col("role") == "validate", self.result, None)
+        labels, problems = [], []
+        for trial, feature_set, settings in trials:
+            for fold, name in self.names:
+                for seed in seeds:
+                    options = {**settings, "rounds": self.max_rounds, "seed": seed + fold}
+                    labels.append((trial, feature_set, stage, name, seed))
+                    problems.append((fold, {"settings": options, "columns": self.places[feature_set], "keep": False}))
+        for label, r in zip(labels, _run(self.blocks, len(self.columns), problems), strict=True):
+            self.runs.append((*label, r.loss, float(r.rounds)))
 
     def table(self) -> DataFrame:
-        """One row per trial: mean and worst loss of the search and of the repeats, and the median number of trees."""
+        """One row per trial: mean and worst loss of the search and of the repeats, and the median number of trees in the
+        repeats (in the search where there are none)."""
         schema = "trial int, feature_set string, stage string, fold string, seed int, loss double, rounds double"
         runs = self.folds.sparkSession.createDataFrame(self.runs, schema)
 
-        def of(stage: str, f) -> Column:
-            return f(F.when(F.col("stage") == stage, F.col("loss")))
+        def of(stage: str, f, column: str = "loss") -> Column:
+            return f(F.when(F.col("stage") == stage, F.col(column)))
 
+        median = lambda c: F.percentile(c, F.lit(0.5))
         return runs.groupBy("trial", "feature_set").agg(
             of("search", F.avg).alias("mean_log_loss"), of("search", F.max).alias("worst_fold_log_loss"),
             of("repeat", F.avg).alias("stability_mean_log_loss"), of("repeat", F.max).alias("stability_worst_log_loss"),
-            F.percentile("rounds", F.lit(0.5)).alias("median_rounds"), F.concat_ws(";", F.array_sort(F.collect_set("fold"))).alias("folds"))
+            F.coalesce(of("repeat", median, "rounds"), of("search", median, "rounds")).alias("median_rounds"),
+            F.concat_ws(";", F.array_sort(F.collect_set("fold"))).alias("folds"))
 
 
 def tune_boosted(
     train: DataFrame, feature_sets: Mapping[str, Sequence[str]], *, trials: int = 50, finalists: int = 5, repeats: int = 3, max_rounds: int = 2000,
-    space: Mapping[str, Range] | None = None, season: str = "season", time: str = "kickoff", seed: int = 42,
+    space: Mapping[str, Range | Choice] | None = None, season: str = "season", time: str = "kickoff", seed: int = 42, fit_rows: int = FIT_ROWS,
 ) -> tuple[DataFrame, dict, object]:
     """(trials with rank and selection, settings of the selected one, calibration season).
 
@@ -190,21 +308,18 @@ def tune_boosted(
     again with ``repeats`` other seeds; of those the most stable is selected, its number of trees frozen at the median.
     """
     folds, calibration = time_folds(train, season, time)
-    folds = folds.persist()
-    search, names = Search(folds, feature_sets, max_rounds), list(feature_sets)
+    search, names = Search(cut_lineage(folds), feature_sets, max_rounds, fit_rows=fit_rows), list(feature_sets)
     designs = trial_settings(space or SPACE, trials)
-    for k, settings in enumerate(designs):
-        search.run(k, names[k % len(names)], settings, "search", [seed])
+    planned = [(k, names[k % len(names)], settings) for k, settings in enumerate(designs)]
+    search.run(planned, "search", [seed])
     near = search.table().orderBy("mean_log_loss", "worst_fold_log_loss", "trial").limit(finalists).select("trial").collect()
-    for (k,) in near:
-        search.run(k, names[k % len(names)], designs[k], "repeat", [seed + 1 + r for r in range(repeats)])
+    search.run([planned[k] for (k,) in near], "repeat", [seed + 100 + 10 * r for r in range(repeats)])
     order = [F.col(c).asc_nulls_last() for c in ("stability_mean_log_loss", "stability_worst_log_loss", "mean_log_loss", "trial")]
     ranked = search.table().withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # one row per trial
     described = train.sparkSession.createDataFrame([(k, *map(float, s.values())) for k, s in enumerate(designs)], ["trial", *designs[0]])
     table = ranked.join(described, "trial").withColumn("selected", F.col("rank") == 1)
     best = table.filter("selected").first()
-    folds.unpersist()
-    chosen = {**designs[best.trial], "maxIter": max(int(round(best.median_rounds)), 1), "seed": seed}
+    chosen = {**designs[best.trial], "rounds": max(int(best.median_rounds), LEAST_ROUNDS), "seed": seed}
     return table, {"feature_set": best.feature_set, "settings": chosen}, calibration
 
 

@@ -44,9 +44,10 @@ def test_trials_spread_over_the_space():
     assert trials == G.trial_settings(G.SPACE, 64)
     for name, r in G.SPACE.items():
         values = [t[name] for t in trials]
-        assert r.low <= min(values) and max(values) <= r.high
-    steps = np.log([t["stepSize"] for t in trials])
-    share = (steps - np.log(0.01)) / np.log(15)
+        assert set(values) <= set(r.values) if isinstance(r, G.Choice) else r.low <= min(values) and max(values) <= r.high
+    assert all(t["num_leaves"] <= 2 ** t["max_depth"] for t in trials) and len({t["num_leaves"] for t in trials}) > 3
+    steps = np.log([t["learning_rate"] for t in trials])
+    share = (steps - np.log(0.005)) / np.log(16)
     assert np.abs(np.sort(share) - (np.arange(64) + 0.5) / 64).max() < 0.05
 
 
@@ -54,15 +55,35 @@ def test_selection_takes_the_most_stable_finalist(spark):
     search = G.Search(fixtures(spark, n=2).withColumns({"fold": F.lit(0), "fold_name": F.lit("x"), "role": F.lit("fit")}), {"a": ["good"]}, 5)
     search.runs = [(0, "a", "search", "x", 1, 0.5, 4.0), (1, "a", "search", "x", 1, 0.6, 8.0), (0, "a", "repeat", "x", 2, 0.9, 6.0), (1, "a", "repeat", "x", 2, 0.6, 10.0)]
     rows = {r.trial: r for r in search.table().collect()}
-    assert rows[0].mean_log_loss == 0.5 and rows[0].stability_mean_log_loss == 0.9 and rows[1].median_rounds == 9.0
+    assert rows[0].mean_log_loss == 0.5 and rows[0].stability_mean_log_loss == 0.9 and rows[1].median_rounds == 10.0
 
 
 def test_tuning_end_to_end(spark):
     train = fixtures(spark, (2001, 2002, 2003))
-    tuned = G.fit_tuned_boosting(train, {"good": ["good"], "noise": ["noise"]}, trials=2, finalists=1, repeats=1, max_rounds=3)
+    tuned = G.fit_tuned_boosting(train, {"good": ["good"], "noise": ["noise"]}, trials=6, finalists=2, repeats=2, max_rounds=30)
     table = tuned.trials.toPandas()
     assert table["selected"].sum() == 1 and table[table["selected"]]["feature_set"].item() == "good"
-    assert table["stability_mean_log_loss"].notna().sum() == 1
-    assert all(r <= 3 for r in tuned.fit.rounds) and tuned.calibrated_log_loss <= tuned.raw_log_loss + 1e-9
+    assert table["stability_mean_log_loss"].notna().sum() == 2
+    assert 10 <= tuned.fit.rounds <= 30 and tuned.calibrated_log_loss <= tuned.raw_log_loss + 1e-9
     total = tuned.transform(train).select((F.col("prob_H") + F.col("prob_D") + F.col("prob_A")).alias("p")).agg(F.min("p"), F.max("p")).first()
     assert abs(total[0] - 1) < 1e-9 and abs(total[1] - 1) < 1e-9
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    df = fixtures(spark)
+    a, b = (G.fit_boosted(df.repartition(n), ["good", "noise"], settings={"rounds": 12, "subsample": 0.7}) for n in (1, 7))
+    assert np.array_equal(a.trees.value, b.trees.value) and a.rounds == 12
+    shares = {(r.result_class, r.feature): r.importance for r in a.importances(spark, "m").collect()}
+    assert shares["H", "good"] > 0.9
+
+
+def test_bounded_rows_and_early_stopping(spark):
+    df = fixtures(spark, n=400)
+    options = {"rounds": 300, "learning_rate": 0.3, "patience": 15}
+    assert 1 <= G.fit_boosted(df, ["noise"], validation=F.col("season") == 2004, settings=options).rounds < 285
+    fit = G.fit_boosted(df, ["good", "noise"], settings=options, fit_rows=500)
+    loss = fit.transform(df.filter("season = 2004")).agg(F.avg(G.log_loss())).first()[0]
+    assert loss < 0.3
+    assert fit.transform(df.limit(0)).count() == 0
+    with pytest.raises(Exception, match="class is absent"):
+        G.fit_boosted(df.filter("result_3way <> 'D'"), ["good"])
