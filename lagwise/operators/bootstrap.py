@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,20 +55,39 @@ def weekly_blocks(paired: DataFrame) -> DataFrame:
         "*", (F.row_number().over(block.orderBy("match_week")) - 1).cast("bigint").alias("slot"), F.count(F.lit(1)).over(block).alias("blocks"))
 
 
-def _draws(weekly: DataFrame, repetitions: int, seed: Column) -> DataFrame:
-    """Which block fills each slot of each repetition: a hash of (seed, repetition, league, season, slot).
+#: Repetitions that a task draws for a league at once.
+BUNDLE = 100
+_SUMS = ("matches", *LOSSES)
 
-    Repetitions are spread in bundles, so that a short block table still fills all executors.
+
+def _drawn_sums(stream: Iterator[pa.RecordBatch], repetitions: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bundle, league, seed, blocks) to sums per repetition.
+
+    Every slot of a season draws a block by the hash of (seed, repetition, league, season, slot); how often each block is
+    drawn in each repetition is a matrix, and its product with the blocks' sums are the sums of all repetitions.
     """
-    bundles = min(repetitions, 200)
-    size = math.ceil(repetitions / bundles)
-    slots = weekly.select("league", "season", "slot", "blocks", seed.cast("string").alias("_seed"))
-    spread = slots.withColumn("_bundle", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1)))).repartition("_bundle")
-    first = F.col("_bundle") * size
-    spread = spread.withColumn("repetition", F.explode(F.sequence(first, first + (size - 1)))).filter(F.col("repetition") < repetitions)
-    text = F.concat_ws("|", "_seed", F.col("repetition").cast("string"), F.col("league").cast("string"), F.col("season").cast("string"), F.col("slot").cast("string"))
-    index = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("blocks")
-    return spread.select("repetition", "league", "season", index.alias("slot"))
+    for batch in stream:
+        schema = pa.schema([("repetition", pa.int32()), batch.schema.field("league"), *[(c, pa.float64()) for c in _SUMS]])
+        for at, (bundle, seed, name) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)))):
+            held = batch.column(4)[at].values
+            season, slot, blocks = (held.field(c).to_pylist() for c in ("season", "slot", "blocks"))
+            values = np.array([held.field(c).to_numpy(zero_copy_only=False).astype(float) for c in _SUMS]).T
+            ends = [f"|{name}|{s}|{k}".encode() for s, k in zip(season, slot)]
+            first = np.arange(len(ends)) - np.array(slot)  # row of the season's first block
+            turns = range(bundle * BUNDLE, min((bundle + 1) * BUNDLE, repetitions))
+            heads = (hashlib.md5(f"{seed}|{turn}".encode(), usedforsecurity=False) for turn in turns)
+            numbers = bytearray()
+            for head in heads:
+                for end in ends:
+                    whole = head.copy()
+                    whole.update(end)
+                    numbers += whole.digest()[:4]
+            drawn = np.frombuffer(numbers, dtype=">u4").astype(np.int64).reshape(len(turns), -1) % np.array(blocks) + first
+            drawn += np.arange(len(turns))[:, None] * len(ends)
+            counts = np.bincount(drawn.ravel(), minlength=len(turns) * len(ends)).reshape(len(turns), -1)
+            sums = counts @ values
+            yield pa.record_batch([
+                pa.array(turns, type=pa.int32()), pa.repeat(batch.column(1)[at], len(turns)), *[pa.array(c) for c in sums.T]], schema=schema)
 
 
 def resample_weeks(paired: DataFrame, repetitions: int = 10_000, seed: int = 42) -> DataFrame:
@@ -79,9 +100,16 @@ def resample_weeks(paired: DataFrame, repetitions: int = 10_000, seed: int = 42)
 
 
 def _resampled(weekly: DataFrame, repetitions: int, seed: Column) -> DataFrame:
-    values = weekly.select("league", "season", "slot", "matches", *LOSSES)
-    drawn = _draws(weekly, repetitions, seed).join(values, ["league", "season", "slot"])
-    return drawn.groupBy("repetition", "league").agg(F.sum("matches").alias("matches"), *[F.sum(c).alias(c) for c in LOSSES])
+    """Sums per repetition and league.  A league is one row with its weeks, which the calendar bounds, for every bundle of
+    repetitions; no draw is a row and nothing is joined."""
+    block = F.struct(F.col("season").cast("string").alias("season"), "slot", "blocks", *_SUMS)
+    leagues = weekly.withColumn("_seed", seed.cast("string")).groupBy("league").agg(
+        F.first("_seed").alias("seed"), F.sort_array(F.collect_list(block)).alias("held"))
+    bundles = F.sequence(F.lit(0), F.lit((repetitions - 1) // BUNDLE))
+    dealt = leagues.select(F.explode(bundles).alias("bundle"), "league", "seed", F.col("league").cast("string").alias("name"), "held").repartition("league", "bundle")
+    kind = weekly.schema["league"].dataType.simpleString()
+    schema = f"repetition int, league {kind}, " + ", ".join(f"{c} double" for c in _SUMS)
+    return dealt.mapInArrow(lambda it: _drawn_sums(it, repetitions), schema)
 
 
 def resample_weeks_by_league(paired: DataFrame, repetitions: int = 10_000, seed: int = 42) -> DataFrame:
