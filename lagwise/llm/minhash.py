@@ -8,9 +8,9 @@ in more bits than a pair at the wanted similarity ever would (a chance of one in
 A second sketch folds the whole set: it can't differ in more bits than the sets in shingles, so for sets of up to some
 thousand shingles it rules pairs out for certain.  The others are confirmed on their sets.
 
-A bucket is not paired out.  In each round every class is compared with the nearest of four centres that its buckets name
-and that are not yet linked to it, which joins groups of any size in a few rounds.  When that has no more effect, or little
-is left, the sketches of the classes still apart are compared block by block, and only pairs that may be similar leave a task.
+A bucket is not paired out.  Every class is first compared with the nearest of the centres that its buckets name, four a
+bucket, which joins groups of any size.  Then the sketches of the classes still apart are compared block by block, and only
+pairs that may be similar leave a task.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ SKETCH_BITS = 512
 _LANES = SKETCH_BITS // 64
 #: Chance that the sketches of a pair at the wanted similarity differ in more bits than are accepted.
 MISSED = 1e-6
-#: Centres a bucket names in a round, rounds, and pairs a class down to which the rest is compared in blocks.
-CENTRES, ROUNDS, PAIRS_A_CLASS = 4, 8, 4
+#: Centres a bucket names, of which a class is compared with the nearest; rounds, and pairs a class down to which there is none.
+CENTRES, NEAREST, ROUNDS, PAIRS_A_CLASS = 4, 4, 1, 4
 #: Classes of a bucket in one block, pairs compared at once in a task, rows held by a task (more only if one group has more).
 BLOCK, PAIRS, GROUP_ROWS = 512, 200_000, 50_000
 #: Shingles hashed at once.
@@ -269,7 +269,7 @@ def _joined_classes(classes: DataFrame, docs: DataFrame, width: int, percent: in
         named.join(rep, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("content")))
         .groupBy("class").agg(F.first("text").alias("text")), "candidates")
     release(members.sparkSession)
-    labels, before = None, None
+    labels = None
     for turn in range(ROUNDS + 1):
         current = members.withColumn("component", F.col("class")) if labels is None else members.join(
             labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("root", "class")).drop("root")
@@ -285,8 +285,7 @@ def _joined_classes(classes: DataFrame, docs: DataFrame, width: int, percent: in
         if not count:
             discard(sizes)
             break
-        last = turn == ROUNDS or across <= 2 * pairs_a_class * count or before is not None and across > 0.9 * before
-        before = across
+        last = turn == ROUNDS or across <= 2 * pairs_a_class * count
         if last:
             blocks = _dealt(rows.join(sizes.select("bucket"), "bucket"), sizes, block)
             pairs = blocks.mapInArrow(lambda it: _block_pairs(it, least), "a long, b long").distinct()
@@ -299,9 +298,11 @@ def _joined_classes(classes: DataFrame, docs: DataFrame, width: int, percent: in
                 F.when(F.col(f"c{i}.c.component") != F.col("component"), F.struct(
                     _apart(own, {c: F.col(f"c{i}.c.{c}") for c in own}, least).alias("bits"), F.col(f"c{i}.c.class").alias("b"),
                     F.col(f"c{i}.c.component").alias("component_b"))) for i in range(CENTRES)]), lambda x: x["bits"].isNotNull())
-            pairs = rows.join(sizes.select("bucket", *[f"c{i}" for i in range(CENTRES)]), "bucket").select(
-                F.col("class").alias("a"), F.col("component").alias("component_a"), F.array_min(near).alias("near")).filter("near IS NOT NULL")
-            pairs = pairs.groupBy("a", "component_a").agg(F.min("near").alias("near")).select("a", "component_a", "near.b", "near.component_b")
+            # at most CENTRES a bucket of the class
+            found = rows.join(sizes.select("bucket", *[f"c{i}" for i in range(CENTRES)]), "bucket").select(
+                F.col("class").alias("a"), F.col("component").alias("component_a"), near.alias("near")).filter(F.size("near") > 0)
+            nearest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, NEAREST)
+            pairs = found.groupBy("a", "component_a").agg(nearest.alias("near")).select("a", "component_a", F.inline("near")).drop("bits")
         pairs = store(pairs, "pairs")
         links = _links(pairs, texts, width, percent)
         if labels is not None:
