@@ -27,7 +27,8 @@ _TOKEN = re.compile(
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"']+)*+)>"""
     r"""|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|(?P<text>[^<]+|<)""", re.S)
 _UNENDED = re.compile(r"<[a-zA-Z/!?].*", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute after the other, so that nothing inside a value is taken for a name.
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup; it is never text of the page.
@@ -58,6 +59,10 @@ _SIDE_WORDS = frozenset(
     "recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar search "
     "contentinfo complementary".split())
 _COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+#: Text of an article whose id is often a slug of its heading; only an id of side words alone says something of it.
+_SLUGGED = frozenset("section p h1 h2 h3 h4 h5 h6".split())
+#: Also names of an article's own sections.
+_SECTION_WORDS = frozenset("discussion search notice notices header social".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -95,6 +100,8 @@ def _named(tag: str, attrs: str) -> Node:
                 node.side = True
             elif name in ("class", "id", "role"):
                 words = {w.lower() for w in _WORD.findall(value)}
+                if name == "id" and tag in _SLUGGED and not words <= _SIDE_WORDS - _SECTION_WORDS:
+                    continue
                 node.comment |= not words.isdisjoint(_COMMENT_WORDS)
                 node.side |= not words.isdisjoint(_SIDE_WORDS)
     return node

@@ -197,6 +197,11 @@ PAGES = [
      "<ul><li>one<li>two</ul></div><div id=comments><p>A long reader comment that goes on and on and on and on and on.</p></div>"
      "<form><p>Mail</p></form><script>if(a<b){'<p>no</p>'}</script><footer>2020</footer></body></html>",
      "Title &amp; more\nSome long text of the article, with a link in it.\nSecond <b> here goes on.\none\ntwo"),
+    ("<p>Read <a href='/hidden/gems'>this link</a> and <a href='/p?id=menu'>that</a> <b data-id=\"ad-12\">now</b>.</p><p title='The hidden truth'>A whole paragraph.</p>",
+     "Read this link and that now.\nA whole paragraph."),
+    ("<article><p>Lead words.</p><h2 id='related-work'>Related work</h2><section id='search-methods'><p>How.</p></section><section id='discussion'><p>We discuss.</p></section>"
+     "<section id='comments'><p>first!</p></section><div hidden>gone</div><div title='a' class=ad>buy</div></article>",
+     "Lead words.\nRelated work\nHow.\nWe discuss."),
     ("<article><section><p>First part with many words in it.</section><section><p>Second.</p></section><aside>no</aside><div class='ad top'>buy</div>"
      "<article class=comment><p>I am a comment</p></article></article>", "First part with many words in it.\nSecond."),
     ("plain text only", "plain text only"), ("", ""), (None, ""), ("<p title=\"a>b\">q</p><!-- <p>no</p> --> < 5", "q\n< 5"), ("<div " * 5000, ""),
