@@ -13,7 +13,7 @@ from lagwise.operators import history as H
 from lagwise.operators import lineup as L
 from lagwise.operators import recurrence as R
 from lagwise.operators.checks import check_dataset, finite_rules
-from lagwise.operators.joins import attach_default, merge_complete, pivot_sides
+from lagwise.operators.joins import attach_default, checked_join, merge_complete, pivot_sides
 from lagwise.operators.ordering import find_frequent
 from lagwise.session import cut_lineage
 
@@ -182,7 +182,8 @@ def lineup_features(starters: DataFrame, spec: FormSpec = FormSpec()) -> DataFra
 def model_dataset(matches: DataFrame, appearances: DataFrame, spec: FormSpec = FormSpec(), *, strict: bool = True) -> DataFrame:
     """One row per fixture: its own columns, then home_, away_ and diff_ of every feature.
 
-    Fixtures without starters on both sides are dropped unless ``strict``, which makes them an error.
+    A side without starters is an error if ``strict``; otherwise every fixture stays, with its team strength, and the
+    player and line-up features of such a side (and their differences) are null.
     ``appearances`` carries league, match_id, kickoff, home_team, away_team, team_id, player_id, position,
     played, started, minutes and the measures of ``spec``.  All appearances feed the history; only
     starters of ``matches`` become rows.
@@ -193,13 +194,20 @@ def model_dataset(matches: DataFrame, appearances: DataFrame, spec: FormSpec = F
         check_starters(starters, spec)
     players = side_features(starters, spec)
     keys = ["match_id", "team_side"]
-    merged = cut_lineage(merge_complete(players, [strength.select(*keys, *TEAM_STRENGTH_FEATURES), lineup_features(starters, spec)], keys))
-    features = [c for c in merged.columns if c not in keys]
+    teams = strength.select(*keys, *TEAM_STRENGTH_FEATURES)
+    if strict:
+        merged = merge_complete(players, [teams, lineup_features(starters, spec)], keys)
+    else:
+        with_starters = merge_complete(players, [lineup_features(starters, spec)], keys)
+        merged = checked_join(teams, with_starters, keys, "left", "one_to_one")
+    features = [*[c for c in players.columns if c not in keys], *TEAM_STRENGTH_FEATURES, *LINEUP_FEATURES]
+    merged = cut_lineage(merged.select(*keys, *features))
     wide = pivot_sides(merged, ["match_id"], "team_side", features)
-    joined = matches.join(wide, "match_id", "left" if strict else "inner")
+    joined = matches.join(wide, "match_id", "left")
     sided = [f"{s}_{f}" for s in ("home", "away") for f in features]
-    if not strict:
-        joined = joined.dropna(subset=sided)
     result = joined.select(*matches.columns, *sided, *home_away_diff(features))
-    check_dataset(result, finite_rules(sided), ["match_id"])
+    rules = finite_rules(sided)
+    if not strict:
+        rules = {f"{c}_finite": F.col(c).isNull() | rules[f"{c}_finite"] for c in sided}
+    check_dataset(result, rules, ["match_id"])
     return result

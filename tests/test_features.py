@@ -59,6 +59,27 @@ def test_incomplete_lineup_is_an_error(spark, league):
         P.model_dataset(m, spark.createDataFrame(players[1:], SCHEMA))
 
 
+def test_every_fixture_stays(spark, league):
+    """A fixture without players on one side, or on both, keeps its row and all that is known of it."""
+    fixtures, players = league
+    m = spark.createDataFrame(fixtures, "league string, match_id string, season string, kickoff timestamp, home_team long, away_team long, home_score int, away_score int")
+    bare, half = fixtures[-1], fixtures[-2]
+    fewer = [p for p in players if p["match_id"] != bare["match_id"] and not (p["match_id"] == half["match_id"] and p["team_id"] == half["away_team"])]
+    data = P.model_dataset(m, spark.createDataFrame(fewer, SCHEMA), strict=False).toPandas().set_index("match_id")
+    assert sorted(data.index) == [f["match_id"] for f in fixtures]
+    names = [c[5:] for c in data if c.startswith("diff_")]
+    strength = [n for n in names if n in P.TEAM_STRENGTH_FEATURES]
+    rest = [n for n in names if n not in strength]
+    assert len(strength) == len(P.TEAM_STRENGTH_FEATURES) and len(names) == 83
+    columns = lambda side, of: [f"{side}_{n}" for n in of]
+    missing = data.isna()
+    for side in ("home", "away", "diff"):
+        assert not missing[columns(side, strength)].any(axis=None)
+        assert missing.loc[bare["match_id"], columns(side, rest)].all()
+        assert (missing.loc[half["match_id"], columns(side, rest)] == (side != "home")).all()
+        assert not missing.drop([bare["match_id"], half["match_id"]])[columns(side, rest)].any(axis=None)
+
+
 def test_registry_is_consistent():
     queries, oracles = catalog.queries(), catalog.oracles()
     assert set(oracles) <= set(queries) and len(queries) > 120 and "history_by_type" in oracles
