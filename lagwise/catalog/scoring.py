@@ -338,6 +338,16 @@ def _fingerprint(spark, sf):
     return E.table_fingerprint(read(spark, sf, "orders"), line)
 
 
+@query("ordered_fingerprint", """
+WITH l AS (SELECT row_number() OVER (ORDER BY o_custkey, concat_ws(',', o_orderkey, o_custkey, o_orderstatus)) - 1 AS r0, concat_ws(',', o_orderkey, o_custkey, o_orderstatus) AS line FROM orders),
+a AS (SELECT r0 // 4096 AS r1, sha256(string_agg(line, chr(10) ORDER BY r0)) AS d1, count(*) AS n1 FROM l GROUP BY 1),
+b AS (SELECT r1 // 4096 AS r2, sha256(string_agg(d1, chr(10) ORDER BY r1)) AS d2, sum(n1) AS n2 FROM a GROUP BY 1)
+SELECT CAST(coalesce(sum(n2), 0) AS BIGINT) AS rows, sha256(coalesce(string_agg(d2, chr(10) ORDER BY r2), '')) AS fingerprint FROM b""")
+def _ordered_fingerprint(spark, sf):
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus")])
+    return E.ordered_fingerprint(read(spark, sf, "orders"), line, [F.col("o_custkey")])
+
+
 @query("late_block_cutoff", """
 WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), r AS (SELECT day, row_number() OVER (ORDER BY day) AS r, count(*) OVER () AS n FROM d)
 SELECT strftime(day, '%Y-%m-%d') AS cutoff FROM r WHERE r = greatest(CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT), 1)""")

@@ -131,3 +131,17 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     line = F.concat_ws(",", "id", "v")
     one, two = E.table_fingerprint(df, line).first(), E.table_fingerprint(df.orderBy(F.desc("id")).repartition(3), line).first()
     assert one == two and one != E.table_fingerprint(df.withColumn("v", F.when(F.col("id") == 3, 9).otherwise(F.col("v"))), line).first()
+
+
+def test_ordered_fingerprint_by_loop(spark):
+    import hashlib
+
+    lines = [None if i == 7 else f"v{i * 37 % 11}" for i in range(50)]
+    df = spark.createDataFrame([(i // 3, v) for i, v in enumerate(lines)], "id int, v string")
+    level = [v or "" for _, v in sorted(((i // 3, v or "") for i, v in enumerate(lines)))]
+    for _ in range(2):
+        level = [hashlib.sha256("\n".join(level[i:i + 4]).encode()).hexdigest() for i in range(0, len(level), 4)]
+    wanted = (50, hashlib.sha256("\n".join(level).encode()).hexdigest())
+    for parts, limit in ((1, 1_000), (5, 1_000), (3, 10)):
+        assert tuple(E.ordered_fingerprint(df.repartition(parts), F.col("v"), [F.col("id")], 4, max_rows=limit).first()) == wanted
+    assert tuple(E.ordered_fingerprint(df.limit(0), F.col("v"), [F.col("id")]).first()) == (0, hashlib.sha256(b"").hexdigest())
