@@ -126,7 +126,8 @@ def _bundle_languages(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def learn(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> dict[str, np.ndarray]:
     """Unit prototype of every language in ``docs``; all texts count, rows without language or text do not.
 
-    Tasks bundle their texts, Spark adds the bundles; the driver gets one vector per language.
+    Tasks bundle their texts, Spark adds the bundles; the driver gets one vector per language, so more than
+    ``MAX_LANGUAGES`` languages are an error.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sums = map_arrow(known, [F.col(lang_col).cast("string"), F.col(text_col).cast("string")], _bundle_languages, "lang string, vector array<double>")

@@ -206,6 +206,8 @@ def fit(labelled: DataFrame, *, fit_rows: int = FIT_ROWS, calibration_rows: int
 
     The ratios count every row; the hinge fit and the calibration take the ``fit_rows`` and then the ``calibration_rows``
     rows that come first by a hash of their id and features, in one task.  The driver gets one number per feature.
+    Beyond four times as many rows, only rows whose hash lies below a bound that leaves about twice as many as are taken are
+    sorted; equal rows share a hash, so a table that mostly repeats a few labelled rows may leave fewer rows than that.
     """
     size, bound = 1 << FEATURE_BITS, fit_rows + calibration_rows
     counts = map_arrow(labelled, ["label", "features"], _count_classes, "feature long, zeros long, ones long")
