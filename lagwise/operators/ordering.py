@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.session import cut_lineage
+from lagwise.session import cut_lineage, shuffle_partitions
 
 HOT_ROWS = 5_000_000
 BROADCAST_ROWS = 500_000
@@ -89,8 +89,7 @@ def split_frequent(df: DataFrame, keys: Sequence[str], max_rows: Limit) -> tuple
 
 def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Range partition by (keys, order) and keep the partition number; stored, so that it never changes."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(partitions, *[F.col(k) for k in keys], *order)
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *[F.col(k) for k in keys], *order)
     return cut_lineage(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import math
 import os
 import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an input table per partition of a shuffle, at most, before adaptive execution joins small partitions again.
+PARTITION_ROWS = 250_000
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 
 def build_session(app: str = "lagwise", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library relies on: UTC, AQE and skew-join handling."""
@@ -41,6 +46,24 @@ def ship_package(spark: SparkSession) -> None:
     context._lagwise_shipped = True
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions that a shuffle starts with."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(INITIAL_PARTITIONS, None) or 0))
+
+
+def deal_by_rows(df: DataFrame, partition_rows: int = PARTITION_ROWS) -> DataFrame:
+    """Let shuffles start with enough partitions for the rows of an input table, so that a task's share does not grow with it.
+
+    A number fixed for the session gives each task a share of the whole input. The number is only ever raised: adaptive
+    execution joins partitions that turn out small.
+    """
+    spark = df.sparkSession
+    needed = math.ceil(df.count() / partition_rows)
+    if needed > shuffle_partitions(spark):
+        spark.conf.set(INITIAL_PARTITIONS, str(needed))
+    return df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the folder named by ``spark.checkpoint.dir``; fall back to a temporary one in local mode only."""
     context = spark.sparkContext
