@@ -1,7 +1,7 @@
 """Boosted trees for three classes: one softmax model over binned columns, and its chronological tuning.
 
 Bins are quantiles of all rows, counted by Spark.  A fit runs in one task on at most about ``FIT_ROWS`` rows, chosen by a
-hash of their values; fits of a search, which are hundreds, run side by side, and read the binned rows of their
+hash of their values, copies of a row in proportion to their number; fits of a search, which are hundreds, run side by side, and read the binned rows of their
 fold from one broadcast table of a byte per value.  Predictions cover all rows.
 """
 
@@ -41,12 +41,20 @@ def quantile_edges(df: DataFrame, columns: Sequence[str]) -> list[np.ndarray]:
     return [np.unique(np.array(cuts or [], dtype=float)) for cuts in row]
 
 
-def _sampled(df: DataFrame, columns: Sequence[str], rows: int) -> DataFrame:
-    """About ``rows`` rows, by a hash of their values; all rows where there are no more."""
-    count = df.count()
-    if count <= rows:
-        return df
-    return df.filter(F.pmod(F.xxhash64(*columns, F.lit(17)), F.lit(1 << 30)) < int(rows / count * (1 << 30)))
+def _sampled(rows: DataFrame, bound: int) -> DataFrame:
+    """About ``bound`` rows; all rows where there are no more.
+
+    Equal rows are counted, and each kind gives its share of copies, rounded up or down by a hash of its values.  So the
+    number of rows and the shares of values stay what they are even where few kinds of rows make up the whole table.
+    """
+    count = rows.count()
+    if count <= bound:
+        return rows
+    names = rows.columns
+    draw = F.pmod(F.xxhash64(*names, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    kinds = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    taken = kinds.withColumn("_n", F.floor(F.col("_n") * (bound / count) + draw).cast("int")).filter("_n > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*names)
 
 
 _BLOCKS = "fold int, held boolean, n long, place binary, bins binary, labels binary, weights binary"
@@ -66,13 +74,13 @@ def _pack(stream: Iterator[pa.RecordBatch], edges: list[np.ndarray]) -> Iterator
             yield pa.record_batch([pa.array([v], type=t.type) for v, t in zip(row, _BLOCKS_ARROW)], schema=_BLOCKS_ARROW)
 
 
-def _blocks(df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], fold: Column, held: Column, result: str, weight: str | None) -> DataFrame:
+def _blocks(df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], fold: Column, held: Column, result: str, weight: str | None, bound: int) -> DataFrame:
     label = reduce(lambda found, k: F.when(F.col(result) == CLASSES[k], k).otherwise(found), range(len(CLASSES)), F.raise_error(F.lit("unknown class")).cast("int"))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(
         fold.cast("int"), F.coalesce(held, F.lit(False)), F.xxhash64(*columns), label, w, *[F.col(c).cast("double") for c in columns])
     names = [f"v{i}" for i in range(len(rows.columns))]
-    return cut_lineage(rows.toDF(*names).mapInArrow(lambda it: _pack(it, edges), _BLOCKS))
+    return cut_lineage(_sampled(rows.toDF(*names), bound).mapInArrow(lambda it: _pack(it, edges), _BLOCKS))
 
 
 # --- fits in tasks ------------------------------------------------------------------------------
@@ -162,7 +170,7 @@ def fit_boosted(
     has not improved for ``patience`` rounds, and those after the best round are dropped."""
     edges = quantile_edges(df, columns)
     held = F.lit(False) if validation is None else validation
-    blocks = _blocks(_sampled(df, columns, fit_rows), columns, edges, F.lit(0), held, result, weight)
+    blocks = _blocks(df, columns, edges, F.lit(0), held, result, weight, fit_rows)
     plan = {"settings": {**DEFAULT_SETTINGS, **(settings or {})}, "columns": list(range(len(columns))), "keep": True}
     return BoostedFit(tuple(columns), tuple(edges), Trees.load(bytes(_run(blocks, len(columns), [(0, plan)])[0].model)))
 
@@ -269,8 +277,8 @@ class Search:
         """Fits of all (trial, feature set, settings), folds and seeds in one pass."""
         if self.blocks is None:
             edges = quantile_edges(self.folds, self.columns)
-            rows = _sampled(self.folds, self.columns, self.fit_rows * len(self.names))
-            self.blocks = _blocks(rows, self.columns, edges, F.col("fold"), F.col("role") == "validate", self.result, None)
+            bound = self.fit_rows * len(self.names)
+            self.blocks = _blocks(self.folds, self.columns, edges, F.col("fold"), F.col("role") == "validate", self.result, None, bound)
         labels, problems = [], []
         for trial, feature_set, settings in trials:
             for fold, name in self.names:

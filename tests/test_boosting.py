@@ -87,3 +87,18 @@ def test_bounded_rows_and_early_stopping(spark):
     assert fit.transform(df.limit(0)).count() == 0
     with pytest.raises(Exception, match="class is absent"):
         G.fit_boosted(df.filter("result_3way <> 'D'"), ["good"])
+
+
+def test_bounded_rows_of_few_kinds(spark):
+    """A fit on few of many rows sees every common kind, though the columns have only a handful of values."""
+    few = lambda df: df.withColumn("good", F.round("good")).withColumn("noise", F.lit(0.0))
+    df = few(fixtures(spark, n=400, seed=3)).cache()
+    for columns in (["noise"], ["good"]):
+        fit = G.fit_boosted(df, columns, settings={"rounds": 3, "min_child_samples": 1}, fit_rows=60)
+        assert fit.rounds == 3
+        start = np.exp(fit.trees.start)
+        share = np.array([df.filter(F.col("result_3way") == c).count() for c in G.CLASSES]) / df.count()
+        assert np.abs(start - share).max() < 0.15
+    rows = df.select("result_3way", "noise")
+    assert 590 <= G._sampled(rows, 600).count() <= 610 and G._sampled(rows, 1600).count() == 1600
+    df.unpersist()
