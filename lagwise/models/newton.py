@@ -180,23 +180,116 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _design(rows: pd.DataFrame, p: Problem) -> np.ndarray:
-    x = (rows[list(p.columns)].to_numpy(float) - p.means) / p.scales
+def _design(values: np.ndarray, p: Problem) -> np.ndarray:
+    x = (values - p.means) / p.scales
     return np.hstack([np.ones((len(x), 1)), x])
 
 
 CLASS_CODES = {"H": 0, "D": 1, "A": 2}
 
 
-def _problem_rows(batch: pd.DataFrame, problems: Sequence[Problem], season: str, group: str, names):
-    by_group = dict(tuple(batch.groupby(group))) if any(p.group is not None for p in problems) else {}
+def _problem_places(batch: pd.DataFrame, problems: Sequence[Problem], season: str, group: str):
+    """Every problem with the places of its rows in the batch; problems without rows there are left out."""
+    by_group = {None: np.arange(len(batch)), **batch.groupby(group).indices} if len(batch) else {}
+    found: dict[tuple, np.ndarray] = {}
     for p in problems:
-        if p.key in names:
-            rows = batch if p.group is None else by_group.get(p.group)
-            if rows is not None:
-                rows = rows[rows[season].isin(p.seasons)]
-                if len(rows):
-                    yield p, rows
+        if (p.group, p.seasons) not in found:
+            places = by_group.get(p.group, np.empty(0, dtype=int))
+            found[p.group, p.seasons] = places[batch[season].isin(p.seasons).to_numpy()[places]]
+        if len(found[p.group, p.seasons]):
+            yield p, found[p.group, p.seasons]
+
+
+def _class_codes(results: pd.Series) -> np.ndarray:
+    """Codes of the classes; -1 for a row without one, which no problem may learn from."""
+    return results.map(CLASS_CODES).fillna(-1).to_numpy(int)
+
+
+class _Stack:
+    """Problems that use the same columns: one design matrix and one product of matrices serve them all.
+
+    Rows are standardised once for the stack; each problem's own standardisation is a linear map of that, which is applied
+    to its coefficients and sums instead of its rows.
+    """
+
+    def __init__(self, columns: tuple[str, ...], problems: Sequence[Problem]) -> None:
+        self.columns, self.problems, self.size = list(columns), problems, len(columns) + 1
+        self.means, self.scales = np.mean([p.means for p in problems], axis=0), np.mean([p.scales for p in problems], axis=0)
+        self.maps = {}
+        for p in problems:
+            own = np.eye(self.size)
+            own[1:, 1:] = np.diag(self.scales / p.scales)
+            own[1:, 0] = (self.means - p.means) / p.scales
+            self.maps[p.key] = own
+        self.pairs = np.triu_indices(self.size)
+
+    def design(self, batch: pd.DataFrame, order: np.ndarray) -> np.ndarray:
+        x = np.ones((len(batch), self.size))
+        x[:, 1:] = (batch[self.columns].to_numpy(float)[order] - self.means) / self.scales
+        return x
+
+    def add(self, sums: dict, x: np.ndarray, y: np.ndarray, weights: Mapping[str, float], thetas: Mapping[str, np.ndarray]) -> None:
+        """Add the sums over some rows to those of the problems that have a weight for them."""
+        keys, n = list(weights), len(x)
+        # classes first, then problems: every step below works on whole (rows, problems) tables
+        theta = np.stack([thetas[k].reshape(3, -1) @ self.maps[k] for k in keys], axis=1)
+        z = (x @ theta.reshape(-1, self.size).T).reshape(n, 3, len(keys))
+        e = np.exp(z - np.maximum(np.maximum(z[:, 0], z[:, 1]), z[:, 2])[:, None])
+        prob = e / (e[:, 0] + e[:, 1] + e[:, 2])[:, None]
+        loss = -np.log(prob[np.arange(n), y]).sum(axis=0)
+        curves = np.concatenate([prob[:, a] * ((a == b) - prob[:, b]) for a, b in _CLASS_PAIRS], axis=1)
+        curvature = (curves.T @ (x[:, self.pairs[0]] * x[:, self.pairs[1]])).reshape(len(_CLASS_PAIRS), len(keys), -1).swapaxes(0, 1)
+        prob[np.arange(n), y] -= 1
+        gradient = (prob.reshape(n, -1).T @ x).reshape(3, len(keys), -1).swapaxes(0, 1)
+        for i, k in enumerate(keys):
+            flat = weights[k] * np.concatenate([[loss[i]], gradient[i].ravel(), curvature[i].ravel()])
+            sums[k] = sums[k] + flat if k in sums else flat
+
+    def mapped(self, key: str, flat: np.ndarray) -> tuple[str, float, np.ndarray, np.ndarray]:
+        """(problem, loss, gradient, curvature) on the problem's own standardised columns."""
+        own, size = self.maps[key], self.size
+        gradient = flat[1: 1 + 3 * size].reshape(3, size) @ own.T
+        hessian = np.empty((3 * size, 3 * size))
+        for (a, b), packed in zip(_CLASS_PAIRS, flat[1 + 3 * size:].reshape(len(_CLASS_PAIRS), -1)):
+            block = np.zeros((size, size))
+            block[self.pairs] = packed
+            block = own @ (block + np.triu(block, 1).T) @ own.T
+            hessian[a * size:(a + 1) * size, b * size:(b + 1) * size] = block
+            hessian[b * size:(b + 1) * size, a * size:(a + 1) * size] = block.T
+        return key, float(flat[0]), gradient.ravel(), hessian
+
+
+_CLASS_PAIRS = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
+
+
+def _multinomial_partials(batch: pd.DataFrame, thetas: Mapping[str, np.ndarray], stacks: Sequence[_Stack], season: str, group: str, result: str):
+    """Loss, gradient and curvature of every problem over a batch, cell (season, group) by cell: a problem's weight is the
+    same for all rows of a cell."""
+    s_codes, seasons = pd.factorize(batch[season], use_na_sentinel=False)
+    g_codes, groups = pd.factorize(batch[group], use_na_sentinel=False)
+    cells = s_codes * len(groups) + g_codes
+    order = np.argsort(cells, kind="stable")
+    found, starts = np.unique(cells[order], return_index=True)
+    ends = [*starts[1:], len(batch)]
+    y = _class_codes(batch[result])[order]
+    inside: dict[tuple, np.ndarray] = {}
+    for stack in stacks:
+        problems, sums = [p for p in stack.problems if p.key in thetas], {}
+        if not problems:
+            continue
+        x = stack.design(batch, order)
+        for p in problems:
+            if p.seasons not in inside:
+                inside[p.seasons] = pd.Series(seasons).isin(p.seasons).to_numpy()
+        for cell, lo, hi in zip(found.tolist(), starts, ends):
+            s, g = divmod(cell, len(groups))
+            weights = {p.key: p.group_weights.get(groups[g], 1.0) for p in problems if inside[p.seasons][s] and (p.group is None or p.group == groups[g])}
+            if weights:
+                if (y[lo:hi] < 0).any():
+                    raise ValueError("a training row has no outcome class")
+                stack.add(sums, x[lo:hi], y[lo:hi], weights, thetas)
+        for key, flat in sums.items():
+            yield stack.mapped(key, flat)
 
 
 def fit_multinomials(df: DataFrame, problems: Sequence[Problem], *, season: str = "season", group: str = "league", result: str = "result_3way",
@@ -207,23 +300,13 @@ def fit_multinomials(df: DataFrame, problems: Sequence[Problem], *, season: str
     """
     used = sorted({n for p in problems for n in p.columns})
     rows = df.select(season, group, result, *used).persist()
+    together: dict[tuple, list[Problem]] = {}
+    for p in problems:
+        together.setdefault(tuple(p.columns), []).append(p)
+    stacks = [_Stack(columns, same) for columns, same in together.items()]
 
     def partials(batch, thetas):
-        for p, part in _problem_rows(batch, problems, season, group, thetas):
-            x = _design(part, p)
-            w = part[group].map(p.group_weights).fillna(1.0).to_numpy(float) if p.group_weights else np.ones(len(x))
-            y = part[result].map(CLASS_CODES).to_numpy(int)
-            prob = softmax(x @ thetas[p.key].reshape(3, -1).T)
-            error = prob.copy()
-            error[np.arange(len(y)), y] -= 1
-            size = x.shape[1]
-            gradient = ((w[:, None] * error).T @ x).ravel()
-            hessian = np.empty((3 * size, 3 * size))
-            for a in range(3):
-                for b in range(3):
-                    curve = w * prob[:, a] * ((a == b) - prob[:, b])
-                    hessian[a * size:(a + 1) * size, b * size:(b + 1) * size] = x.T @ (curve[:, None] * x)
-            yield p.key, float(-(w * np.log(prob[np.arange(len(y)), y])).sum()), gradient, hessian
+        return _multinomial_partials(batch, thetas, stacks, season, group, result)
 
     def penalty(key, theta):
         mask = np.ones((3, len(theta) // 3))
@@ -241,17 +324,21 @@ def score_multinomials(df: DataFrame, problems: Sequence[Problem], coefficients:
                        season: str = "season", group: str = "league", result: str = "result_3way") -> DataFrame:
     """Per (problem, group): test rows, log loss and Brier score on the problem's test season."""
     used = sorted({n for p in problems for n in p.columns})
-    specs = [Problem(p.key, p.columns, (tests[p.key],), p.group, {}, p.means, p.scales) for p in problems]
+    specs = [Problem(p.key, tuple(p.columns), (tests[p.key],), p.group, {}, p.means, p.scales) for p in problems]
     types = dict(df.dtypes)
 
     def run(batches):
         for batch in batches:
-            for p, part in _problem_rows(batch, specs, season, group, coefficients):
-                prob = softmax(_design(part, p) @ coefficients[p.key].T)
-                y = part[result].map(CLASS_CODES).to_numpy(int)
+            codes = _class_codes(batch[result])
+            values = {p.columns: batch[list(p.columns)].to_numpy(float) for p in specs}
+            for p, places in _problem_places(batch, specs, season, group):
+                prob = softmax(_design(values[p.columns][places], p) @ coefficients[p.key].T)
+                y = codes[places]
+                if (y < 0).any():
+                    raise ValueError("a scored row has no outcome class")
                 hit = np.eye(3)[y]
                 scores = pd.DataFrame({
-                    group: part[group].to_numpy(), "l": -np.log(np.clip(prob[np.arange(len(y)), y], 2.220446049250313e-16, 1)), "b": ((prob - hit) ** 2).sum(1)})
+                    group: batch[group].to_numpy()[places], "l": -np.log(np.clip(prob[np.arange(len(y)), y], 2.220446049250313e-16, 1)), "b": ((prob - hit) ** 2).sum(1)})
                 sums = scores.groupby(group).agg(n=("l", "size"), l=("l", "sum"), b=("b", "sum")).reset_index()
                 sums.insert(0, "key", p.key)
                 yield sums
@@ -264,17 +351,20 @@ def predict_multinomials(df: DataFrame, problems: Sequence[Problem], coefficient
                          season: str = "season", group: str = "league") -> DataFrame:
     """Probabilities of every problem on its test season, with the identity columns and the problem's key."""
     used = sorted({n for p in problems for n in p.columns})
-    specs = [Problem(p.key, p.columns, (tests[p.key],), p.group, {}, p.means, p.scales) for p in problems]
+    specs = [Problem(p.key, tuple(p.columns), (tests[p.key],), p.group, {}, p.means, p.scales) for p in problems]
     keep = list(dict.fromkeys([*identity, season, group]))
     types = dict(df.dtypes)
     schema = "key string, " + ", ".join(f"{c} {types[c]}" for c in keep) + ", prob_H double, prob_D double, prob_A double"
 
     def run(batches):
         for batch in batches:
-            for p, part in _problem_rows(batch, specs, season, group, coefficients):
-                out = part[keep].copy()
-                out.insert(0, "key", p.key)
-                out[["prob_H", "prob_D", "prob_A"]] = softmax(_design(part, p) @ coefficients[p.key].T)
+            values = {p.columns: batch[list(p.columns)].to_numpy(float) for p in specs}
+            found = list(_problem_places(batch, specs, season, group))
+            if found:
+                out = batch[keep].take(np.concatenate([places for _, places in found]))
+                out.insert(0, "key", np.repeat(np.array([p.key for p, _ in found], dtype=object), [len(places) for _, places in found]))
+                out[["prob_H", "prob_D", "prob_A"]] = np.concatenate(
+                    [softmax(_design(values[p.columns][places], p) @ coefficients[p.key].T) for p, places in found])
                 yield out
 
     return df.select(*dict.fromkeys([*keep, *used])).mapInPandas(run, schema)

@@ -20,6 +20,19 @@ def score_groups(df: DataFrame, keys: Sequence[str], result: str = "result_3way"
         F.avg(rps(result, probs)).alias("rps"), F.avg(correct(result, probs)).alias("accuracy"))
 
 
+def score_sums(df: DataFrame, keys: Sequence[str], result: str = "result_3way", probs: Sequence[str] = PROBS) -> DataFrame:
+    """Rows per group, and for every metric its sum and its number of values: what ``scores_of_sums`` needs of a large table."""
+    values = {"log_loss": log_loss(result, probs), "brier_score": brier(result, probs), "rps": rps(result, probs), "accuracy": correct(result, probs)}
+    stats = [f(v).alias(f"{kind}_{m}") for m, v in values.items() for kind, f in (("sum", F.sum), ("n", F.count))]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("matches"), *stats)
+
+
+def scores_of_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``score_groups`` of coarser groups, from the sums of finer ones."""
+    means = [F.try_divide(F.sum(f"sum_{m}"), F.sum(f"n_{m}")).alias(m) for m in ("log_loss", "brier_score", "rps", "accuracy")]
+    return sums.groupBy(*keys).agg(F.sum("matches").alias("matches"), *means)
+
+
 def equal_group_metrics(scores: DataFrame, keys: Sequence[str], group: str, expected: int, metrics: Sequence[str] = ("log_loss", "brier_score", "rps", "accuracy")) -> DataFrame:
     """Mean over groups of the group means; fewer groups than expected is an error."""
     found = F.countDistinct(group)

@@ -10,6 +10,8 @@ from lagwise.models import logistic as L
 from lagwise.models import newton as N
 from lagwise.models import score_model as D
 from lagwise.models import splines as S
+from lagwise.operators import metrics as M
+from lagwise.plans import experiment as X
 
 
 def sample(n=400, seed=5):
@@ -181,3 +183,50 @@ def test_poisson_gam_follows_its_penalised_score_equations(spark):
     gradient = z.T @ (mu - data.goals) / n + np.array(gam.coefficients)
     np.testing.assert_allclose(gradient, 0, atol=1e-4)
     assert gam.predict(df, "match_id").filter(F.abs(F.col("prob_H") + F.col("prob_D") + F.col("prob_A") - 1) > 1e-9).isEmpty()
+
+
+def test_stacked_sums_equal_those_of_each_problem(spark):
+    """Problems that share a design matrix get the loss, gradient and curvature that each has on its own rows."""
+    frame = sample()
+    df = spark.createDataFrame(frame)
+    moments = N.group_moments(df, ["u", "v"], "season", "league")
+    problems = [N.Problem(f"{t}|{g}|{len(c)}", c, tuple(range(2000, t)), g) for t in (2002, 2003) for g in (None, "a", "b") for c in (("u", "v"), ("v",))]
+    problems = N.prepare_problems(problems, moments, "season", "league", True)
+    rng = np.random.default_rng(4)
+    thetas = {p.key: rng.normal(0, 0.5, 3 * (len(p.columns) + 1)) for p in problems}
+    stacks = [N._Stack(c, [p for p in problems if p.columns == c]) for c in (("u", "v"), ("v",))]
+    found = {k: rest for k, *rest in N._multinomial_partials(frame, thetas, stacks, "season", "league", "result_3way")}
+    assert found.keys() == thetas.keys()
+    for p in problems:
+        rows = frame[frame.season.isin(p.seasons) & ((p.group is None) | (frame.league == p.group))]
+        w = rows.league.map(p.group_weights).fillna(1.0).to_numpy()
+        x = np.column_stack([np.ones(len(rows)), (rows[list(p.columns)] - p.means) / p.scales])
+        y = np.eye(3)[rows.result_3way.map(N.CLASS_CODES)]
+        prob = N.softmax(x @ thetas[p.key].reshape(3, -1).T)
+        loss, gradient, hessian = found[p.key]
+        np.testing.assert_allclose(loss, -(w * np.log((prob * y).sum(1))).sum(), rtol=1e-10)
+        np.testing.assert_allclose(gradient, ((w[:, None] * (prob - y)).T @ x).ravel(), atol=1e-8)
+        curve = np.einsum("n,na,nab->nab", w, prob, np.eye(3) - prob[:, None, :])
+        np.testing.assert_allclose(hessian, np.einsum("nab,ni,nj->aibj", curve, x, x).reshape(hessian.shape), atol=1e-8)
+
+
+def test_result_tables_read_the_predictions_twice(spark):
+    """Once for repeated keys and once for the sums, however many tables and groupings are made of them."""
+    frame = sample().drop(columns=["u", "v", "w"]).reset_index(names="match_id")
+    both = pd.concat([frame.assign(model=m, training_scope=s) for m in ("closing_market", "other") for s in ("pooled", "own")])
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame(both)
+    tables = X.result_tables(df.mapInPandas(count, df.schema), 2)
+    keys = ["training_scope", "league", "season", "model"]
+    got = {tuple(r[k] for k in keys): r for r in tables["fold_group_metrics"].collect()}
+    assert len(tables["equal_group_metrics"].collect()) == 4 and read.value == 2 * len(both)
+    for r in M.score_groups(df, keys).collect():
+        at = got[tuple(r[k] for k in keys)]
+        assert at.matches == r.matches
+        np.testing.assert_allclose([at.log_loss, at.brier_score, at.rps, at.accuracy], [r.log_loss, r.brier_score, r.rps, r.accuracy], rtol=1e-12)
