@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lagwise.functions.scalars import predicted_class
 from lagwise.functions.scores import CLASSES, PROBS
-from lagwise.models.newton import CLASS_CODES, minimise, softmax
+from lagwise.models.newton import minimise, softmax
 from lagwise.operators.metrics import by_outcome, equal_group_weights
 from lagwise.operators.ordering import small_join
 
@@ -39,12 +39,13 @@ def fit_temperatures(df: DataFrame, keys: Sequence[str], result: str = "result_3
     w = F.col(weight) if weight else F.lit(1.0)
     logs = [F.log(F.greatest(F.col(p), F.lit(LOG_FLOOR))) for p in probs]
     chosen = F.when(F.col(result) == "H", logs[0]).when(F.col(result) == "D", logs[1]).when(F.col(result) == "A", logs[2])
-    rows = df.select(*keys, w.alias("_w"), chosen.alias("_y"), *[v.alias(f"_l{i}") for i, v in enumerate(logs)]).persist()
     key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
-    state = {r[0]: [1.0, *_inverse_bounds()] for r in rows.select(key.alias("k")).distinct().collect()}
+    # the name of a row's key is formed once, not in every iteration
+    rows = df.select(*keys, key.alias("_k"), w.alias("_w"), chosen.alias("_y"), *[v.alias(f"_l{i}") for i, v in enumerate(logs)]).persist()
+    state = {r[0]: [1.0, *_inverse_bounds()] for r in rows.select("_k").distinct().collect()}
     for _ in range(max_iterations):
         table = spark.createDataFrame([(k, float(v[0])) for k, v in state.items()], "_k string, _b double")
-        joined = rows.withColumn("_k", key).join(F.broadcast(table), "_k")
+        joined = rows.join(F.broadcast(table), "_k")
         top = F.greatest(*[F.col(f"_l{i}") for i in range(3)]) * F.col("_b")
         joined = joined.withColumns({f"_e{i}": F.exp(F.col(f"_l{i}") * F.col("_b") - top) for i in range(3)})
         total = F.col("_e0") + F.col("_e1") + F.col("_e2")
@@ -65,7 +66,7 @@ def fit_temperatures(df: DataFrame, keys: Sequence[str], result: str = "result_3
     else:
         raise ValueError(f"temperatures did not converge in {max_iterations} iterations")
     table = spark.createDataFrame([(k, 1.0 / v[0]) for k, v in state.items()], "_k string, temperature double")
-    out = rows.select(*keys).distinct().withColumn("_k", key).join(table, "_k").drop("_k") if keys else table.drop("_k")
+    out = rows.select(*keys, "_k").distinct().join(table, "_k").drop("_k") if keys else table.drop("_k")
     return out
 
 
@@ -90,24 +91,25 @@ def chronological_temperature_scale(predictions: DataFrame, *, season: str = "se
 
 def fit_vector_scaling(df: DataFrame, result: str = "result_3way", probs: Sequence[str] = PROBS, regularization: float = 10.0) -> dict[str, float]:
     """Three slopes and two biases on log probabilities, shrunk towards the identity (the last bias is zero)."""
-    rows = df.select(result, *[F.log(F.greatest(F.col(p), F.lit(LOG_FLOOR))).alias(f"_l{i}") for i, p in enumerate(probs)]).persist()
+    code = F.when(F.col(result) == CLASSES[0], 0).when(F.col(result) == CLASSES[1], 1).when(F.col(result) == CLASSES[2], 2)
+    rows = df.select(code.alias("_y"), *[F.log(F.greatest(F.col(p), F.lit(LOG_FLOOR))).alias(f"_l{i}") for i, p in enumerate(probs)]).persist()
     n = rows.count()
 
     def partials(batch, thetas):
         theta = thetas["fit"]
-        logs, y = batch[["_l0", "_l1", "_l2"]].to_numpy(float), batch[result].map(CLASS_CODES).to_numpy(int)
+        logs, y = batch[["_l0", "_l1", "_l2"]].to_numpy(float), batch["_y"].to_numpy(int)
         p = softmax(logs * theta[:3] + np.array([theta[3], theta[4], 0.0]))
         d = p.copy()
         d[np.arange(len(y)), y] -= 1
         gradient = np.concatenate([(d * logs).sum(0), d[:, :2].sum(0)]) / n
-        # derivative of class score c by parameter j: logs for a slope, one for a bias
-        design = np.zeros((len(y), 3, 5))
-        for c in range(3):
-            design[:, c, c] = logs[:, c]
-        design[:, 0, 3] = design[:, 1, 4] = 1.0
-        mean = np.einsum("nc,ncj->nj", p, design)
-        hessian = (np.einsum("nc,nci,ncj->ij", p, design, design) - mean.T @ mean) / n
-        yield "fit", float(-np.log(np.clip(p[np.arange(len(y)), y], LOG_FLOOR, 1)).sum() / n), gradient, hessian
+        # a class score moves by its log per slope and by one per bias, each class by its own parameters only
+        mean = np.hstack([p * logs, p[:, :2]])
+        hessian = -(mean.T @ mean)
+        hessian[np.arange(5), np.arange(5)] += np.concatenate([(p * logs * logs).sum(0), p[:, :2].sum(0)])
+        cross = (p * logs)[:, :2].sum(0)
+        hessian[[0, 1], [3, 4]] += cross
+        hessian[[3, 4], [0, 1]] += cross
+        yield "fit", float(-np.log(np.clip(p[np.arange(len(y)), y], LOG_FLOOR, 1)).sum() / n), gradient, hessian / n
 
     target = np.array([1.0, 1.0, 1.0, 0.0, 0.0])
     strength = regularization / n

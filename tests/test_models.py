@@ -230,3 +230,39 @@ def test_result_tables_read_the_predictions_twice(spark):
         at = got[tuple(r[k] for k in keys)]
         assert at.matches == r.matches
         np.testing.assert_allclose([at.log_loss, at.brier_score, at.rps, at.accuracy], [r.log_loss, r.brier_score, r.rps, r.accuracy], rtol=1e-12)
+
+
+def test_temperature_steps_read_stored_key_names(spark, monkeypatch):
+    """A Newton step joins the stored rows as they are, so that nothing is formed per row and step but the sums."""
+    df = spark.createDataFrame(sample()).cache()
+    met, join = [], type(df).join
+
+    def noted(self, other, *args, **kwargs):
+        met.append((self.columns, self._jdf.queryExecution().optimizedPlan().getClass().getSimpleName()))
+        return join(self, other, *args, **kwargs)
+
+    monkeypatch.setattr(type(df), "join", noted)
+    assert len(C.fit_temperatures(df, ["league", "season"]).collect()) == 8
+    steps = [kind for columns, kind in met if "_w" in columns]
+    assert steps and set(steps) == {"InMemoryRelation"}
+
+
+def test_vector_scaling_sends_numbers_and_has_exact_derivatives(spark, monkeypatch):
+    """Rows of the fit hold no text; gradient and curvature agree with differences of the loss."""
+    seen, minimise = [], C.minimise
+
+    def noted(rows, start, partials, **options):
+        seen.append((dict(rows.dtypes), rows.toPandas(), partials))
+        return minimise(rows, start, partials, **options)
+
+    monkeypatch.setattr(C, "minimise", noted)
+    C.fit_vector_scaling(spark.createDataFrame(sample()))
+    types, batch, partials = seen[0]
+    assert "string" not in types.values()
+    at = lambda t: next(iter(partials(batch, {"fit": t})))
+    theta, step = np.array([0.9, 1.2, 0.7, 0.1, -0.2]), 1e-5
+    _, _, gradient, hessian = at(theta)
+    for i, e in enumerate(np.eye(5) * step):
+        high, low = at(theta + e), at(theta - e)
+        assert abs((high[1] - low[1]) / (2 * step) - gradient[i]) < 1e-7
+        np.testing.assert_allclose((high[2] - low[2]) / (2 * step), hessian[i], atol=1e-7)
