@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -89,6 +89,20 @@ def map_arrow(
     return df.select(*columns).mapInArrow(fn, schema, **kw)
 
 
+_held: dict[tuple, object] = {}
+
+
+def held[T](make: Callable[..., T], *args: Hashable) -> T:
+    """``make(*args)``, kept between the tasks of a worker process; asking for another object drops the one before, so
+    that a worker that serves several operators holds the words or vectors of one at a time."""
+    key = (make, *args)
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make(*args)
+    return _held[key]
+
+
 def first_row() -> int:
     """Number of the first row of this task; unique in the table as long as a task has fewer than 2^36 rows."""
     return TaskContext.get().partitionId() << ROW_BITS

@@ -141,15 +141,14 @@ _PIECES_ARROW = pa.schema([
     *[(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row")], ("ids", pa.binary())])
 
 
-def _cut(stream: Iterator[pa.RecordBatch], total: int, length: int, path: str) -> Iterator[pa.RecordBatch]:
-    """Pieces of documents (row, doc_id, at, ids): one per sequence that a document reaches into."""
-    dtype = encoder(path).dtype
+def _cut(stream: Iterator[pa.RecordBatch], total: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of documents (row, doc_id, n, at, ids): one per sequence that a document reaches into."""
     borders = sequence_borders(total, length)
     full = borders[0]
     for batch in stream:
         out = []
-        for row, doc_id, at, raw in zip(*(c.to_pylist() for c in batch.columns)):
-            ids = np.frombuffer(raw, dtype=dtype)
+        for row, doc_id, n, at, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            ids = np.frombuffer(raw, dtype=f"<u{len(raw) // n}")  # every document has its end id
             cuts = [*range((at // length + 1) * length, min(at + len(ids), full + 1), length), *borders[1:]]
             edges = [at, *sorted({c for c in cuts if at < c < at + len(ids)}), at + len(ids)]
             for lo, hi in zip(edges, edges[1:]):
@@ -179,8 +178,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     centre, spread = [[float(v or 0) for v in part] for part in (stats[:DIMENSIONS], stats[DIMENSIONS:])]
     keys = map_arrow(tokens, ["row", "doc_id", "n", *_COORDINATES], lambda it: _keys(it, centre, spread), "key long, row long, doc_id long, n long")
     starts, total = stream_starts(keys, ["key", "doc_id", "row"])
-    placed = tokens.join(starts.hint("shuffle_hash"), "row").select("row", "doc_id", "at", "ids")
-    return placed.mapInArrow(lambda it: _cut(it, total, length, path), _PIECES)
+    placed = tokens.join(starts.hint("shuffle_hash"), "row").select("row", "doc_id", "n", "at", "ids")
+    return placed.mapInArrow(lambda it: _cut(it, total, length), _PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

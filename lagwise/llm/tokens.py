@@ -9,6 +9,10 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from lagwise.llm.common import held
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -114,24 +118,26 @@ class WordEncoder:
     def encode(self, texts: Sequence[str], end_id: int | None = END_ID) -> list[bytes]:
         """Ids of every text, each followed by ``end_id``."""
         end = b"" if end_id is None else self._bytes([end_id])
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        distinct = set().union(*split)
-        unknown = distinct - self.words.keys()
+        split = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], type=pa.large_string()), " ")
+        places = split.flatten().dictionary_encode()
+        distinct = places.dictionary.to_numpy(zero_copy_only=False).tolist()
+        unknown = set(distinct).difference(self.words)
         if len(self.words) + len(unknown) > HELD_WORDS:
             self.words = {"": b""}
-            unknown = distinct
+            unknown = set(distinct)
         long = self._learn(unknown) if unknown else ()
-        get = self.words.__getitem__
-        encoded = [b"".join(map(get, words)) + end for words in split]
+        raw = pa.array(map(self.words.__getitem__, distinct), type=pa.large_binary(), size=len(distinct)).take(places.indices)
         for word in long:
             del self.words[word]
-        return encoded
+        starts = np.frombuffer(raw.buffers()[1], dtype=np.int64, count=len(raw) + 1)
+        edges = starts[split.offsets.to_numpy()].tolist()
+        ids = memoryview(raw.buffers()[2] or b"")
+        return [bytes(ids[lo:hi]) + end for lo, hi in zip(edges, edges[1:])]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """One encoder per worker process, kept between its tasks."""
-    return WordEncoder(path)
+    return held(WordEncoder, path)
 
 
 def slices(rows: Sequence[str], chars: int = 4_000_000) -> list[tuple[int, int]]:

@@ -26,6 +26,21 @@ def test_word_encoder_equals_the_tokenizer(plain):
         assert np.frombuffer(raw, dtype=words.dtype).tolist() == plain(text).tolist(), repr(text)
 
 
+def test_a_word_is_looked_up_once_a_call(plain):
+    class Counted(dict):
+        looked = 0
+
+        def __getitem__(self, word):
+            self.looked += 1
+            return super().__getitem__(word)
+
+    words = WordEncoder(word_tokenizer())
+    words.words = Counted(words.words)
+    texts = ["one two\ntwo  one " * 50, "", "two three"]
+    assert [np.frombuffer(raw, dtype=words.dtype).tolist() for raw in words.encode(texts)] == [plain(t).tolist() for t in texts]
+    assert words.words.looked == 4  # three words and the empty one
+
+
 def test_hilbert_key_visits_neighbours():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), axis=-1).reshape(-1, dims)
