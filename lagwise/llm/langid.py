@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import held_out, map_arrow, read, strings
+from lagwise.llm.common import held, held_out, map_arrow, read, strings
 from lagwise.llm.registry import query
 from lagwise.llm.tokens import slices
 
@@ -94,10 +94,9 @@ class Bundler:
         return total
 
 
-@lru_cache(maxsize=1)
 def bundler() -> Bundler:
     """One per worker process."""
-    return Bundler()
+    return held(Bundler)
 
 
 def _owned(texts: list[str], owners: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +112,7 @@ def _bundle_languages(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     sums: dict[str, np.ndarray] = {}
     for batch in stream:
         langs, texts = batch.column(0).to_pylist(), strings(batch.column(1))
-        for a, b in slices(texts, 8 * SLICE_CHARS):
+        for a, b in slices(texts, SLICE_CHARS):
             names = sorted(set(langs[a:b]))
             place = {x: i for i, x in enumerate(names)}
             bundles = bundler().bundle(*_owned(texts[a:b], [place[x] for x in langs[a:b]]), len(names))

@@ -4,11 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from lagwise.llm import packing, tokencount, tokenfile
-from lagwise.llm.common import shared_path
+from lagwise.llm import langid, packing, tokencount, tokenfile
+from lagwise.llm.common import held, shared_path
 from lagwise.llm.tokens import WordEncoder, word_tokenizer
 
 
@@ -41,6 +42,22 @@ def test_a_word_is_looked_up_once_a_call(plain):
     assert words.words.looked == 4  # three words and the empty one
 
 
+def test_a_worker_holds_one_object():
+    encoder = held(WordEncoder, word_tokenizer())
+    assert held(WordEncoder, word_tokenizer()) is encoder
+    bundler = langid.bundler()
+    assert langid.bundler() is bundler and held(WordEncoder, word_tokenizer()) is not encoder and langid.bundler() is not bundler
+
+
+def test_learning_bundles_bounded_slices(monkeypatch):
+    sizes, whole = [], langid.Bundler.bundle
+    monkeypatch.setattr(langid.Bundler, "bundle", lambda self, keys, *rest: (sizes.append(len(keys)), whole(self, keys, *rest))[1])
+    texts = ["some plain words " * 1000] * 60
+    batch = pa.record_batch([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    (out,) = langid._bundle_languages(iter([batch]))
+    assert out.num_rows == 1 and len(sizes) > 1 and max(sizes) <= langid.SLICE_CHARS
+
+
 def test_hilbert_key_visits_neighbours():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), axis=-1).reshape(-1, dims)
