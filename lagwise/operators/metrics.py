@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lagwise.functions.scores import CLASSES, METRICS, PROBS, brier, correct, log_loss, rps
 from lagwise.operators.ordering import HOT_ROWS, Limit, exact_quantiles, small_join
-from lagwise.operators.sampling import equal_frequency_bins
+from lagwise.operators.sampling import equal_frequency_sums
 
 
 def score_groups(df: DataFrame, keys: Sequence[str], result: str = "result_3way", probs: Sequence[str] = PROBS) -> DataFrame:
@@ -94,8 +94,8 @@ def wilson(successes: Column, total: Column, z: float = 1.96) -> tuple[Column, C
 def reliability_table(df: DataFrame, keys: Sequence[str], tie: Sequence[str], *, max_rows: Limit = HOT_ROWS, **bins) -> DataFrame:
     """Per (keys, outcome, bin): mean prediction, observed rate, Wilson interval and absolute gap."""
     groups = [*keys, "outcome"]
-    binned = equal_frequency_bins(by_outcome(df), groups, [F.col("prediction"), *[F.col(t) for t in tie]], max_rows=max_rows, **bins)
-    per = binned.groupBy(*groups, "bin").agg(F.count(F.lit(1)).alias("matches"), F.avg("prediction").alias("average_prediction"), F.sum("observed").alias("_s"))
+    per = equal_frequency_sums(by_outcome(df), groups, "prediction", tie, "observed", max_rows=max_rows, **bins)
+    per = per.withColumnsRenamed({"mean_value": "average_prediction", "outcomes": "_s"})
     low, high = wilson(F.col("_s"), F.col("matches"))
     rate = F.col("_s") / F.col("matches")
     return per.select(*groups, "bin", "matches", "average_prediction", rate.alias("actual_frequency"), low.alias("wilson_lower"),
@@ -113,8 +113,8 @@ def calibration_errors(reliability: DataFrame, keys: Sequence[str]) -> DataFrame
 def confidence_table(df: DataFrame, keys: Sequence[str], tie: Sequence[str], *, max_rows: Limit = HOT_ROWS, **bins) -> DataFrame:
     """Accuracy by bins of the largest probability."""
     sure = df.select(*keys, *tie, F.greatest(*PROBS).alias("confidence"), correct().alias("correct"))
-    binned = equal_frequency_bins(sure, keys, [F.col("confidence"), *[F.col(t) for t in tie]], max_rows=max_rows, **bins)
-    return binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("matches"), F.avg("confidence").alias("average_confidence"), F.avg("correct").alias("accuracy"))
+    per = equal_frequency_sums(sure, keys, "confidence", tie, "correct", max_rows=max_rows, **bins)
+    return per.select(*keys, "bin", "matches", F.col("mean_value").alias("average_confidence"), (F.col("outcomes") / F.col("known")).alias("accuracy"))
 
 
 def seasonal_stability(scores: DataFrame, keys: Sequence[str], metric: str = "log_loss") -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.operators.ordering import HOT_ROWS, Limit, key_join, row_numbers, small_join
+from lagwise.operators.ordering import HOT_ROWS, Limit, key_join, row_numbers, running_totals, small_join
+from lagwise.session import cut_lineage
 
 
 def sorted_output(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -23,11 +24,40 @@ def equal_frequency_bins(
     ranked = row_numbers(df, keys, order, "_r", max_rows=max_rows)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ranked = small_join(ranked, sizes, keys) if keys else ranked.join(F.broadcast(sizes))
-    q = F.lit(bins) if bins else F.greatest(F.lit(2), F.least(F.lit(maximum_bins), F.floor(F.col("_n") / minimum_size)))
+    return ranked.withColumn(name, _quantile_bin(F.col("_r"), F.col("_n"), bins, minimum_size, maximum_bins)).drop("_r", "_n")
+
+
+def _quantile_bin(rank: Column, size: Column, bins: int | None, minimum_size: int, maximum_bins: int) -> Column:
+    q = F.lit(bins) if bins else F.greatest(F.lit(2), F.least(F.lit(maximum_bins), F.floor(size / minimum_size)))
     # ceil((r - 1) * q / (n - 1)) in whole numbers; a single row falls into bin 0
-    span = F.greatest(F.col("_n") - 1, F.lit(1))
-    edge = F.floor(((F.col("_r") - 1) * q + span - 1) / span)
-    return ranked.withColumn(name, (F.greatest(edge, F.lit(1)) - 1).cast("bigint")).drop("_r", "_n")
+    span = F.greatest(size - 1, F.lit(1))
+    edge = F.floor(((rank - 1) * q + span - 1) / span)
+    return (F.greatest(edge, F.lit(1)) - 1).cast("bigint")
+
+
+def equal_frequency_sums(
+    df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], outcome: str,
+    *, bins: int | None = None, minimum_size: int = 50, maximum_bins: int = 10, max_rows: Limit = HOT_ROWS,
+) -> DataFrame:
+    """Rows, mean value, and sum and number of outcomes per ``equal_frequency_bins`` of (value, tie).
+
+    Equal values are merged before they are ranked; only rows of the few values that a border of bins cuts are ranked singly.
+    """
+    columns = ("_m", "_s", "_c")
+    merged = cut_lineage(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"), F.sum(outcome).alias("_s"), F.count(outcome).alias("_c")))
+    sizes = merged.groupBy(*keys).agg(F.sum("_m").alias("_n"))
+    ranked = running_totals(merged, keys, [F.col(value)], {"_before": F.col("_m")}, max_rows=max_rows)
+    ranked = small_join(ranked, sizes, keys) if keys else ranked.join(F.broadcast(sizes))
+    at = lambda rank: _quantile_bin(F.col("_before") + rank, F.col("_n"), bins, minimum_size, maximum_bins)
+    ranked = ranked.withColumns({"bin": at(F.lit(1)), "_last": at(F.col("_m"))})
+    whole = ranked.filter("bin = _last").select(*keys, "bin", value, *columns)
+    cut = ranked.filter("bin < _last").select(*keys, value, "_before", "_n")
+    rows = small_join(df.select(*keys, value, *tie, outcome), cut, [*keys, value])
+    rows = row_numbers(rows, [*keys, value], [F.col(t) for t in tie], "_r", max_rows=max_rows).withColumn("bin", at(F.col("_r")))
+    single = rows.groupBy(*keys, "bin", value).agg(F.count(F.lit(1)).alias("_m"), F.sum(outcome).alias("_s"), F.count(outcome).alias("_c"))
+    known = F.when(F.col(value).isNotNull(), F.col("_m"))
+    return whole.unionByName(single).groupBy(*keys, "bin").agg(
+        F.sum("_m").alias("matches"), (F.sum(F.col(value) * F.col("_m")) / F.sum(known)).alias("mean_value"), F.sum("_s").alias("outcomes"), F.sum("_c").alias("known"))
 
 
 def evenly_spaced_sample(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int, *, max_rows: Limit = HOT_ROWS) -> DataFrame:
