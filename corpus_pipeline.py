@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.llm import decontaminate, exact, langid, minhash, packing, simhash
-from lagwise.llm.common import discard, held_out, read, release, step, store
+from lagwise.llm.common import BITMAPS, bitmaps, discard, held_out, in_bitmaps, read, release, step, store
 
 _ROW = "_pipeline_row"
 #: The near-duplicate stage also links rows that share so many percent of their word sequences of this length.
@@ -40,9 +40,16 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _only(numbered: DataFrame, rows: DataFrame) -> DataFrame:
-    """The numbered rows whose number is in ``rows`` (column row)."""
+    """The numbered rows whose number is in ``rows`` (column row).
+
+    Numbers are dense within a task's stretch, so one bit a row tells which stay, and texts are not shuffled.  Only a
+    table of so many rows that its bits are too much for a task is joined.
+    """
     kept = store(rows.select(F.col("row").alias(_ROW)), "kept")
     release(kept.sparkSession)
+    maps = store(bitmaps(kept, _ROW), "bitmaps")
+    if maps.count() <= BITMAPS:
+        return in_bitmaps(numbered, _ROW, maps).drop(_ROW)
     return numbered.join(kept, _ROW, "left_semi").drop(_ROW)
 
 

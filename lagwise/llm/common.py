@@ -16,6 +16,8 @@ from lagwise.session import ensure_checkpoint_dir
 
 #: A map task numbers its rows from ``partition << ROW_BITS``.
 ROW_BITS = 36
+#: Bitmaps of 4 KB (for 32,768 numbers each) that are sent to every task at most.
+BITMAPS = 8_192
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +79,29 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def bitmaps(numbers: DataFrame, number: str | Column) -> DataFrame:
+    """(bucket, bits): a set of numbers, not negative, as one bitmap for each stretch of 32,768 of them."""
+    number = F.col(number) if isinstance(number, str) else number
+    return numbers.groupBy(F.bitmap_bucket_number(number).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits"))
+
+
+def in_bitmaps(df: DataFrame, number: str | Column, maps: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose number is in the bitmaps, which every task gets; the rows stay where they are."""
+    number = F.col(number) if isinstance(number, str) else number
+    place = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return df.withColumn("_bucket", F.bitmap_bucket_number(number)).join(F.broadcast(maps), "_bucket").filter(
+        F.getbit(byte, (place % 8).cast("int")) == 1).select(*df.columns)
+
+
+def likely_in(df: DataFrame, keys: Sequence[str], wanted: DataFrame, count: int) -> DataFrame:
+    """The rows of ``df`` whose keys are among the ``count`` of ``wanted`` (columns of the same names and types), and a few
+    others: a filter by one bit a hash, of bounded size, for what an exact join by ``keys`` would else move in vain."""
+    bits = min(max(1 << (16 * count).bit_length(), 1 << 15), BITMAPS << 15)
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    return in_bitmaps(df, place, bitmaps(wanted, place))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of all documents that no model learns from; a null id is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

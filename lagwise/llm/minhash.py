@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import discard, map_arrow, read, release, store, utf8
+from lagwise.llm.common import discard, likely_in, map_arrow, read, release, store, utf8
 from lagwise.llm.components import components
 from lagwise.llm.registry import query
 from lagwise.llm.simhash import words_of
@@ -264,7 +264,9 @@ def _joined_classes(classes: DataFrame, docs: DataFrame, width: int, percent: in
     members = store(classes.join(found, "class").select("class", "n", *_LANE_NAMES, "buckets", "rep"), "members")
     release(members.sparkSession)
     rep = members.select("class", "rep.*")
-    named = docs.select(F.col("doc_id").alias("id"), F.col("content").alias("of"), "text")
+    # few texts are candidates: the others are left out before the join moves them
+    named = likely_in(docs.select("doc_id", "content", "text"), ["doc_id", "content"], rep, members.count()).select(
+        F.col("doc_id").alias("id"), F.col("content").alias("of"), "text")
     texts = store(
         named.join(rep, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("content")))
         .groupBy("class").agg(F.first("text").alias("text")), "candidates")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lagwise.llm import decontaminate
-from lagwise.llm.common import store
+from lagwise.llm.common import likely_in, store
 from tests.llm.test_duplicates import exact_by_loop, print_by_loop
 
 
@@ -123,3 +123,39 @@ def test_stage_deletes_what_the_one_before_stored(spark, documents):
     assert folders and all(os.path.isdir(f) for f in folders)
     second = corpus_pipeline.exact_dedup(spark, written, "")
     assert not any(os.path.isdir(f) for f in folders) and second.count() == written.count()
+
+
+def test_rows_stay_where_they_are_when_some_are_dropped(spark):
+    """Which rows of a stage stay is told by bits: their texts are not shuffled, however small the limit of broadcasts."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id long, text string").repartition(3)
+    numbered = corpus_pipeline._numbered(docs)
+    wanted = numbered.filter("doc_id % 7 = 0").select(F.col(corpus_pipeline._ROW).alias("row"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline._only(numbered, wanted)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(500) if i % 7 == 0]
+        assert kept.columns == docs.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_rows_are_joined_where_bits_are_too_many(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, None) for i in range(100)], "doc_id long, text string").repartition(3)
+    numbered = corpus_pipeline._numbered(docs)
+    wanted = numbered.filter("doc_id < 9").select(F.col(corpus_pipeline._ROW).alias("row"))
+    monkeypatch.setattr(corpus_pipeline, "BITMAPS", 0)
+    assert sorted(r.doc_id for r in corpus_pipeline._only(numbered, wanted).collect()) == list(range(9))
+
+
+def test_likely_rows(spark):
+    """No wanted row is missing, null keys included, and few others come along."""
+    rows = [(i if i % 10 else None, i, "x") for i in range(5_000)]
+    df = spark.createDataFrame(rows, "a long, b long, c string")
+    wanted = df.filter("b % 50 < 2").select("a", "b")
+    found = likely_in(df, ["a", "b"], wanted, 200)
+    got = {r.b for r in found.collect()}
+    assert found.columns == df.columns and {i for i in range(5_000) if i % 50 < 2} <= got and len(got) < 800
+    assert likely_in(df, ["a", "b"], wanted.limit(0), 0).count() == 0
