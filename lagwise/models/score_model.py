@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,11 +103,22 @@ class ScoreProblem:
     extra: dict = field(default_factory=dict)
 
 
-def _reduced(df: DataFrame, features: Sequence[str], season: str, group: str, time: str) -> DataFrame:
-    """Fixtures that differ in nothing the likelihood sees are merged with a count."""
+def _reduced(df: DataFrame, moments: pd.DataFrame, features: Sequence[str], decay: float, season: str, group: str, time: str) -> DataFrame:
+    """Fixtures that differ in nothing the likelihood sees but their day are merged: within a (group, season) a day only sets
+    a weight, so the sum of the weights (``_w``, as of the cell's last day) and a count serve for all of them."""
     keys = [group, season, "home_team", "away_team", "home_score", "away_score"]
-    day = F.unix_micros(F.col(time).cast("timestamp")) / F.lit(86_400_000_000.0)
-    return df.select(*keys, day.alias("_day"), *features).groupBy(*keys, "_day", *features).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    types = dict(df.dtypes)
+    cells = df.sparkSession.createDataFrame(
+        list(moments[[group, season, "last"]].itertuples(index=False, name=None)), f"{group} {types[group]}, {season} {types[season]}, _last double")
+    # an unknown day must spoil the fit, not count for nothing
+    weight = F.coalesce(F.exp(-decay * (F.col("_last") - _day(time))), F.lit(math.nan))
+    merged = df.select(*keys, time, *features).join(F.broadcast(cells), [group, season]).groupBy(*keys, *features).agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), F.sum(weight).alias("_w"))
+    return merged.repartitionByRange(group, season, "home_team", "away_team").sortWithinPartitions(group, season)
+
+
+def _day(time: str) -> Column:
+    return F.unix_micros(F.col(time).cast("timestamp")) / F.lit(86_400_000_000.0)
 
 
 def fit_score_models(df: DataFrame, problems: Sequence[ScoreProblem], *, season: str = "season", group: str = "league", time: str = "kickoff",
@@ -119,8 +131,9 @@ def fit_score_models(df: DataFrame, problems: Sequence[ScoreProblem], *, season:
     the likelihood does not notice.
     """
     features = sorted({f for p in problems for f in p.features})
-    rows = _reduced(df, features, season, group, time).persist()
-    moments = _moments(rows, features, season, group)
+    decay = math.log(2) / half_life
+    moments = _moments(df, features, season, group, time)
+    rows = _reduced(df, moments, features, decay, season, group, time).persist()
     teams = rows.select(group, season, F.explode(F.array("home_team", "away_team")).alias("team")).distinct().toPandas()
     specs = {}
     for p in problems:
@@ -136,19 +149,17 @@ def fit_score_models(df: DataFrame, problems: Sequence[ScoreProblem], *, season:
             scales = np.sqrt((n[:, None] * (v + (m - means) ** 2)).sum(0) / n.sum())
             scales = np.where(scales > 0, scales, 1.0)
         specs[p.key] = {"p": p, "teams": names, "index": {t: i for i, t in enumerate(names)}, "last": part["last"].max(), "means": means, "scales": scales}
-    decay = math.log(2) / half_life
-    _mean_weights(rows, specs, season, group, decay)
+        specs[p.key]["decay"] = {r.season: math.exp(-decay * (specs[p.key]["last"] - r.last)) for r in part.rename(columns={season: "season"}).itertuples()}
+    _mean_weights(rows, specs, season, group)
 
     def partials(batch, thetas):
-        groups = dict(tuple(batch.groupby(group)))
-        for key, theta in thetas.items():
-            spec = specs[key]
-            part = groups.get(spec["p"].group)
-            if part is None:
-                continue
-            part = part[part[season].isin(spec["p"].seasons)]
-            if len(part):
-                yield key, *_score_partials(part, spec, theta, decay)
+        for (g, s), part in batch.groupby([group, season], sort=False):
+            cell = None
+            for key, theta in thetas.items():
+                spec = specs[key]
+                if spec["p"].group == g and s in spec["decay"]:
+                    cell = cell or _Cell(part, features)
+                    yield key, *_score_partials(cell, spec, theta, spec["decay"][s] / spec["mean_weight"])
 
     def penalty(key, theta):
         count = len(specs[key]["p"].features)
@@ -170,76 +181,95 @@ def fit_score_models(df: DataFrame, problems: Sequence[ScoreProblem], *, season:
     return {k: _centred(k, specs[k], f) for k, f in fits.items()}
 
 
-def _moments(rows: DataFrame, features, season, group):
-    stats = [F.sum("_n").alias("n"), F.max("_day").alias("last")]
+def _moments(df: DataFrame, features, season, group, time):
+    stats = [F.count(F.lit(1)).cast("double").alias("n"), F.max(_day(time)).alias("last")]
     for f in features:
-        mean = F.sum(F.col("_n") * F.col(f)) / F.sum("_n")
-        stats += [mean.alias(f"m_{f}"), F.var_pop(f).alias(f"v_{f}")]
-    return rows.groupBy(group, season).agg(*stats).toPandas()
+        stats += [F.avg(f).alias(f"m_{f}"), F.var_pop(f).alias(f"v_{f}")]
+    return df.filter(F.col(group).isNotNull() & F.col(season).isNotNull()).groupBy(group, season).agg(*stats).toPandas()
 
 
-def _mean_weights(rows: DataFrame, specs: Mapping, season: str, group: str, decay: float) -> None:
+def _mean_weights(rows: DataFrame, specs: Mapping, season: str, group: str) -> None:
     """Mean weight and weighted mean goals of every problem, from sums per (group, season)."""
-    last = {}
-    for s in specs.values():
-        last[s["p"].group] = max(last.get(s["p"].group, -math.inf), s["last"])
-    table = rows.sparkSession.createDataFrame([(g, float(v)) for g, v in last.items()], f"{group} {dict(rows.dtypes)[group]}, _last double")
-    w = F.col("_n") * F.exp(-decay * (F.col("_last") - F.col("_day")))
-    sums = rows.join(table, group).groupBy(group, season).agg(
-        F.sum(w).alias("w"), F.sum("_n").alias("n"), F.sum(w * F.col("home_score")).alias("h"), F.sum(w * F.col("away_score")).alias("a")).toPandas()
+    sums = rows.groupBy(group, season).agg(
+        F.sum("_w").alias("w"), F.sum("_n").alias("n"), F.sum(F.col("_w") * F.col("home_score")).alias("h"), F.sum(F.col("_w") * F.col("away_score")).alias("a")).toPandas()
     for s in specs.values():
         part = sums[(sums[group] == s["p"].group) & sums[season].isin(s["p"].seasons)]
-        shift = math.exp(decay * (last[s["p"].group] - s["last"]))
-        s["mean_weight"] = part["w"].sum() * shift / part["n"].sum()
-        home, away = max(part["h"].sum() / part["w"].sum(), 0.05), max(part["a"].sum() / part["w"].sum(), 0.05)
+        share = part[season].map(s["decay"])
+        weights = {c: (part[c] * share).sum() for c in "wha"}
+        s["mean_weight"] = weights["w"] / part["n"].sum()
+        home, away = max(weights["h"] / weights["w"], 0.05), max(weights["a"] / weights["w"], 0.05)
         s["start"] = np.array([math.log(away), min(max(math.log(home / away), -1.0), 1.0), 0.0])
 
 
-def _score_partials(part, spec, theta, decay):
-    """Loss, gradient and Poisson curvature over some rows of one problem."""
-    count = len(spec["teams"])
-    features = spec["p"].features
-    home, away = part["home_team"].map(spec["index"]).to_numpy(int), part["away_team"].map(spec["index"]).to_numpy(int)
-    yh, ya = part["home_score"].to_numpy(float), part["away_score"].to_numpy(float)
-    w = part["_n"].to_numpy(float) * np.exp(-decay * (spec["last"] - part["_day"].to_numpy(float))) / spec["mean_weight"]
-    x = (part[list(features)].to_numpy(float) - spec["means"]) / spec["scales"] if features else np.empty((len(part), 0))
-    rho, attack, defence, beta = theta[2], theta[3: 3 + count], theta[3 + count: 3 + 2 * count], theta[3 + 2 * count:]
+class _Cell:
+    """Rows of one (group, season), as arrays that all problems share."""
+
+    def __init__(self, part: pd.DataFrame, features: Sequence[str]) -> None:
+        codes, self.teams = pd.factorize(pd.concat([part["home_team"], part["away_team"]]))
+        self.pair = codes[: len(part)] * len(self.teams) + codes[len(part):]
+        self.yh, self.ya, self.w = (part[c].to_numpy(float) for c in ("home_score", "away_score", "_w"))
+        self.x = {f: part[f].to_numpy(float) for f in features}
+        logs = np.array([math.lgamma(k + 1) for k in range(int(max(self.yh.max(), self.ya.max())) + 1)])
+        self.constant = float(self.w @ (logs[self.yh.astype(int)] + logs[self.ya.astype(int)]))
+        # rows at the scores 0-0, 0-1, 1-0 and 1-1, which alone are corrected
+        self.low = np.flatnonzero(((self.yh == 0) | (self.yh == 1)) & ((self.ya == 0) | (self.ya == 1)))
+        self.kind = (2 * self.yh[self.low] + self.ya[self.low]).astype(int)
+
+
+def _score_partials(cell: _Cell, spec, theta, share):
+    """Loss, gradient and Poisson curvature over some rows of one problem, whose weights are ``share`` times the cell's.
+
+    Teams enter through sums per pair of teams, of which there are few beside the rows.
+    """
+    count, features, size, n = len(spec["teams"]), spec["p"].features, len(theta), len(cell.teams)
+    place = np.array([spec["index"][t] for t in cell.teams])
+    x = np.stack([(cell.x[f] - m) / s for f, m, s in zip(features, spec["means"], spec["scales"])], axis=1) if features else np.empty((len(cell.w), 0))
+    rho, attack, defence, beta = theta[2], theta[3: 3 + count][place], theta[3 + count: 3 + 2 * count][place], theta[3 + 2 * count:]
+    # log rates by (home, away)
+    base_h, base_a = theta[0] + theta[1] + attack[:, None] + defence[None, :], theta[0] + attack[None, :] + defence[:, None]
     shift = x @ beta
-    size = len(theta)
-    raw_h, raw_a = np.exp(theta[0] + theta[1] + attack[home] + defence[away] + shift), np.exp(theta[0] + attack[away] + defence[home] - shift)
+    raw_h, raw_a = np.exp(base_h.ravel()[cell.pair] + shift), np.exp(base_a.ravel()[cell.pair] - shift)
     lh, la = np.clip(raw_h, MIN_RATE, MAX_RATE), np.clip(raw_a, MIN_RATE, MAX_RATE)
-    if np.any(np.stack([1 - lh * la * rho, 1 + lh * rho, 1 + la * rho, np.full(len(lh), 1 - rho)]) <= TAU_EPSILON):
+    if min(np.min(1 - lh * la * rho), np.min(1 + lh * rho), np.min(1 + la * rho), 1 - rho) <= TAU_EPSILON:
         return math.inf, np.zeros(size), np.zeros((size, size))
-    zz, zo, oz, oo = (yh == 0) & (ya == 0), (yh == 0) & (ya == 1), (yh == 1) & (ya == 0), (yh == 1) & (ya == 1)
-    slope = np.select([zz, zo, oz, oo], [-lh * la, lh, la, -np.ones(len(lh))], 0.0)
+    w = cell.w * share
+    low_w, low_lh, low_la = w[cell.low], lh[cell.low], la[cell.low]
+    slope = np.choose(cell.kind, [-low_lh * low_la, low_lh, low_la, -np.ones(len(cell.low))])
     tau = 1 + slope * rho
-    logs = np.array([math.lgamma(k + 1) for k in range(int(max(yh.max(), ya.max())) + 1)])
-    loss = -float(w @ (yh * np.log(lh) - lh - logs[yh.astype(int)] + ya * np.log(la) - la - logs[ya.astype(int)] + np.log(tau)))
-    low_h, low_a = np.where(zz | zo, slope * rho / tau, 0.0), np.where(zz | oz, slope * rho / tau, 0.0)
-    moves_h, moves_a = raw_h == lh, raw_a == la
-    gh, ga = -w * (yh - lh + low_h) * moves_h, -w * (ya - la + low_a) * moves_a
-    ch, ca = w * lh * moves_h, w * la * moves_a
-    # indexes of the non-zero design entries of the home and the away rate
-    zero = np.zeros(len(part), dtype=int)
-    ih = np.stack([zero, zero + 1, 3 + home, 3 + count + away])
-    ia = np.stack([zero, 3 + away, 3 + count + home])
-    gradient = np.zeros(size)
-    hessian = np.zeros((size, size))
-    for index, g, c, sign in ((ih, gh, ch, 1.0), (ia, ga, ca, -1.0)):
-        for row in index:
-            gradient += np.bincount(row, weights=g, minlength=size)
-            for other in index:
-                hessian += np.bincount(row * size + other, weights=c, minlength=size * size).reshape(size, size)
-            if features:
-                for f in range(len(features)):
-                    cross = np.bincount(row, weights=sign * c * x[:, f], minlength=size)
-                    hessian[:, 3 + 2 * count + f] += cross
-                    hessian[3 + 2 * count + f, :] += cross
-        if features:
-            gradient[3 + 2 * count:] += sign * (g @ x)
-            hessian[3 + 2 * count:, 3 + 2 * count:] += x.T @ (c[:, None] * x)
-    gradient[2] = -float(w @ (slope / tau))
-    hessian[2, 2] = float(w @ (slope / tau) ** 2) + 1e-9
+    loss = share * cell.constant - float(w @ (cell.yh * np.log(lh) - lh + cell.ya * np.log(la) - la)) - float(low_w @ np.log(tau))
+    bent = slope * rho / tau
+    gh, ga = cell.yh - lh, cell.ya - la
+    gh[cell.low] += np.where(cell.kind <= 1, bent, 0.0)
+    ga[cell.low] += np.where((cell.kind == 0) | (cell.kind == 2), bent, 0.0)
+    moves_h, moves_a = w * (raw_h == lh), w * (raw_a == la)
+    gh, ga, ch, ca = -gh * moves_h, -ga * moves_a, lh * moves_h, la * moves_a
+
+    def pairs(values: np.ndarray) -> np.ndarray:
+        """Sums by (home, away), in the problem's order of teams."""
+        out = np.zeros((count, count))
+        out[np.ix_(place, place)] = np.bincount(cell.pair, weights=values, minlength=n * n).reshape(n, n)
+        return out
+
+    def sums(of_h: np.ndarray, of_a: np.ndarray) -> np.ndarray:
+        """Sums by intercept, home advantage, (rho,) attack and defence."""
+        return np.concatenate([[of_h.sum() + of_a.sum(), of_h.sum(), 0.0], of_h.sum(1) + of_a.sum(0), of_h.sum(0) + of_a.sum(1)])
+
+    teams = 3 + 2 * count
+    gradient, hessian = np.zeros(size), np.zeros((size, size))
+    gradient[:teams] = sums(pairs(gh), pairs(ga))
+    by_h, by_a = pairs(ch), pairs(ca)
+    hessian[0, :teams] = hessian[:teams, 0] = sums(by_h, by_a)
+    hessian[1, :teams] = hessian[:teams, 1] = sums(by_h, np.zeros_like(by_a))
+    hessian[range(3, teams), range(3, teams)] = sums(by_h, by_a)[3:]
+    hessian[3: 3 + count, 3 + count: teams] = by_h + by_a.T
+    hessian[3 + count: teams, 3: 3 + count] = by_h.T + by_a
+    if features:
+        gradient[teams:] = (gh - ga) @ x
+        for f in range(len(features)):
+            hessian[:teams, teams + f] = hessian[teams + f, :teams] = sums(pairs(ch * x[:, f]), -pairs(ca * x[:, f]))
+        hessian[teams:, teams:] = x.T @ ((ch + ca)[:, None] * x)
+    gradient[2] = -float(low_w @ (slope / tau))
+    hessian[2, 2] = float(low_w @ (slope / tau) ** 2) + 1e-9
     return loss, gradient, hessian
 
 

@@ -130,6 +130,33 @@ def test_score_model_is_a_local_optimum(spark, features):
             assert loss(best + step * np.eye(len(best))[i]) > base - 1e-7
 
 
+def test_score_model_scales_by_all_fixtures(spark):
+    """Fixtures that are equal in all that counts are merged, and each still counts in the scale of a feature."""
+    frame = score_data().assign(x=lambda t: t.x.round())
+    frame = pd.concat([frame, *[frame[frame.x > 0]] * 3])
+    fit = D.fit_score_models(spark.createDataFrame(frame), [D.ScoreProblem("l1", 1, (2001, 2002), ("x",))])["l1"]
+    rows = frame[(frame.league == 1) & frame.season.isin((2001, 2002))]
+    assert fit.means[0] == pytest.approx(rows.x.mean()) and fit.scales[0] == pytest.approx(rows.x.std(ddof=0))
+
+
+def test_score_model_passes_over_kinds_of_fixtures(spark, monkeypatch):
+    """Days only set weights: passes read a row for each kind of fixture, however many days it was played on."""
+    frame = score_data(n=400)
+    frame = pd.concat([frame.assign(kickoff=frame.kickoff + pd.Timedelta(days=d)) for d in range(5)])
+    read = []
+    monkeypatch.setattr(D, "minimise", lambda rows, *a, **k: read.append(rows.count()) or N.minimise(rows, *a, **k))
+    D.fit_score_models(spark.createDataFrame(frame), [D.ScoreProblem("l1", 1, (2001, 2002))])
+    kinds = frame[["league", "season", "home_team", "away_team", "home_score", "away_score"]].drop_duplicates()
+    assert read == [len(kinds)]
+
+
+def test_score_model_needs_every_day(spark):
+    frame = score_data(n=300)
+    df = spark.createDataFrame(frame).withColumn("kickoff", F.when(F.col("match_id") > 5, F.col("kickoff")))
+    with pytest.raises(ValueError, match="domain"):
+        D.fit_score_models(df, [D.ScoreProblem("l1", 1, (2001, 2002, 2003))])
+
+
 def test_score_predictions_sum_to_one_and_ignore_unseen_teams(spark):
     frame = score_data()
     df = spark.createDataFrame(frame)
