@@ -1,32 +1,38 @@
 """Boosted trees for three classes: one softmax model over binned columns, and its chronological tuning.
 
-Bins are quantiles of all rows, counted by Spark.  A fit runs in one task on at most about ``FIT_ROWS`` rows, chosen by a
-hash of their values, copies of a row in proportion to their number; fits of a search, which are hundreds, run side by side, and read the binned rows of their
-fold from one broadcast table of a byte per value.  Predictions cover all rows.
+Bins are quantiles of all rows, counted by Spark.  A fit learns from all rows: those with equal bins, class and weight are
+one kind with a count.  Fits of a search, which are hundreds, run side by side, a task each, and read the kinds of their fold
+from one broadcast table of a byte per value.  Where there are more than ``TASK_KINDS`` kinds, they are dealt over tasks that
+grow the trees of a fit together and exchange nothing but sums per bin.  Predictions cover all rows.
 """
 
 from __future__ import annotations
 
+import base64
 import json
-from collections.abc import Iterator, Mapping, Sequence
+import math
+from collections.abc import Generator, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.functions.scores import CLASSES, PROBS, log_loss
 from lagwise.models.calibration import apply_temperature, apply_vector_scaling, fit_temperatures, fit_vector_scaling
-from lagwise.models.softmax_trees import BINS, DEFAULT_SETTINGS, Trees, bin_columns, boost, softmax
+from lagwise.models.softmax_trees import BINS, DEFAULT_SETTINGS, Trees, alone, bin_columns, boost_steps, softmax, together
 from lagwise.operators.sampling import ordered_groups
 from lagwise.plans.folds import late_block_cutoff
 from lagwise.session import cut_lineage
 
-#: Rows that a fit learns from or is validated on, at most (in expectation, where a table has more).
-FIT_ROWS = 20_000
+#: Kinds of rows of all folds up to which a task holds a fit of its own; beyond, a fit is spread over tasks.
+TASK_KINDS = 1_000_000
+#: Kinds, times problems, whose scores a task of a spread fit holds.
+SLICE_SCORES = 4_000_000
 #: Least number of trees that a tuned model keeps.
 LEAST_ROUNDS = 10
 
@@ -57,30 +63,45 @@ def _sampled(rows: DataFrame, bound: int) -> DataFrame:
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*names)
 
 
-_BLOCKS = "fold int, held boolean, n long, place binary, bins binary, labels binary, weights binary"
-_BLOCKS_ARROW = pa.schema([("fold", pa.int32()), ("held", pa.bool_()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("place", "bins", "labels", "weights")]])
+_BINNED = "fold int, held boolean, label int, weight double, bins binary"
+_BINNED_ARROW = pa.schema([("fold", pa.int32()), ("held", pa.bool_()), ("label", pa.int32()), ("weight", pa.float64()), ("bins", pa.binary())])
+_BLOCKS = "fold int, held boolean, n long, bins binary, labels binary, weights binary, counts binary"
+_BLOCKS_ARROW = pa.schema([("fold", pa.int32()), ("held", pa.bool_()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("bins", "labels", "weights", "counts")]])
 
 
-def _pack(stream: Iterator[pa.RecordBatch], edges: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows (fold, held, place, label, weight, values...) as blocks of bytes, one per fold and role of a batch."""
+def _bin(stream: Iterator[pa.RecordBatch], edges: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (fold, held, label, weight, values...) with a byte for every value."""
     for batch in stream:
-        fold, held, place, label, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        values = np.array([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(5, batch.num_columns)]).reshape(len(edges), -1)
-        bins = bin_columns(values, edges)
+        values = np.array([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(4, batch.num_columns)]).reshape(len(edges), -1)
+        lines = np.ascontiguousarray(bin_columns(values, edges).T)
+        offsets = np.arange(len(lines) + 1, dtype=np.int32) * len(edges)
+        bins = pa.Array.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer(offsets), pa.py_buffer(lines)])
+        yield pa.record_batch([*[batch.column(i).cast(_BINNED_ARROW[i].type) for i in range(4)], bins], schema=_BINNED_ARROW)
+
+
+def _pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kinds (fold, held, label, weight, bins, count) as blocks of bytes, one per fold and role of a batch."""
+    for batch in stream:
+        fold, held, label, weight, bins, count = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         for f, h in sorted(set(zip(fold.tolist(), held.tolist()))):
             inside = np.flatnonzero((fold == f) & (held == h))
-            row = (f, h, len(inside), place[inside].astype(np.int64).tobytes(), np.ascontiguousarray(bins[:, inside]).tobytes(),
-                   label[inside].astype(np.int8).tobytes(), weight[inside].astype(float).tobytes())
+            row = (f, h, len(inside), b"".join(bins[inside]), label[inside].astype(np.int8).tobytes(), weight[inside].astype(float).tobytes(), count[inside].astype(np.int64).tobytes())
             yield pa.record_batch([pa.array([v], type=t.type) for v, t in zip(row, _BLOCKS_ARROW)], schema=_BLOCKS_ARROW)
 
 
-def _blocks(df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], fold: Column, held: Column, result: str, weight: str | None, bound: int) -> DataFrame:
+def _blocks(df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], fold: Column, held: Column, result: str, weight: str | None, fit_rows: int | None, task_kinds: int) -> tuple[DataFrame, int]:
+    """(blocks, number of slices they are dealt over): all kinds of rows, or those of a sample where ``fit_rows`` asks for one."""
     label = reduce(lambda found, k: F.when(F.col(result) == CLASSES[k], k).otherwise(found), range(len(CLASSES)), F.raise_error(F.lit("unknown class")).cast("int"))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = df.select(
-        fold.cast("int"), F.coalesce(held, F.lit(False)), F.xxhash64(*columns), label, w, *[F.col(c).cast("double") for c in columns])
-    names = [f"v{i}" for i in range(len(rows.columns))]
-    return cut_lineage(_sampled(rows.toDF(*names), bound).mapInArrow(lambda it: _pack(it, edges), _BLOCKS))
+    rows = df.select(fold.cast("int"), F.coalesce(held, F.lit(False)), label, w, *[F.col(c).cast("double") for c in columns])
+    rows = rows.toDF(*[f"v{i}" for i in range(len(rows.columns))])
+    binned = (rows if fit_rows is None else _sampled(rows, fit_rows)).mapInArrow(lambda it: _bin(it, edges), _BINNED)
+    kinds = cut_lineage(binned.groupBy(*binned.columns).agg(F.count(F.lit(1)).alias("count")))
+    count = kinds.count()
+    slices = min(math.ceil(count / task_kinds), df.sparkSession.sparkContext.defaultParallelism) or 1
+    # a slice holds its part of every fold, whichever way the kinds were dealt before
+    dealt = kinds.repartition(slices, "label", "bins", "weight") if slices > 1 else kinds
+    return cut_lineage(dealt.mapInArrow(_pack, _BLOCKS)), slices
 
 
 # --- fits in tasks ------------------------------------------------------------------------------
@@ -89,22 +110,33 @@ _FITS = "problem int, loss double, rounds int, model binary"
 _FITS_ARROW = pa.schema([("problem", pa.int32()), ("loss", pa.float64()), ("rounds", pa.int32()), ("model", pa.binary())])
 
 
-def _rows_of(blocks: list[dict], chosen: list[int], columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bins of the chosen columns, labels, weights) in an order that does not depend on how the rows were dealt."""
-    bins = np.concatenate([np.frombuffer(b["bins"], dtype=np.uint8).reshape(columns, -1) for b in blocks], axis=1)
-    place, labels, weights = (np.concatenate([np.frombuffer(b[c], dtype=t) for b in blocks]) for c, t in (("place", np.int64), ("labels", np.int8), ("weights", float)))
-    order = np.lexsort((weights, labels, place))
-    return bins[chosen][:, order], labels[order].astype(np.int64), weights[order]
+def _rows_of(blocks: list[dict], chosen: list[int], columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bins of the chosen columns, labels, weights, counts) in an order that does not depend on how the kinds were dealt; kinds
+    that differ in other columns only are one."""
+    joined = lambda c, t: np.concatenate([np.frombuffer(b[c], dtype=t) for b in blocks]) if blocks else np.empty(0, dtype=t)
+    bins = np.ascontiguousarray(joined("bins", np.uint8).reshape(-1, columns).T[chosen])
+    labels, weights, counts = joined("labels", np.int8), joined("weights", float), joined("counts", np.int64)
+    order = np.lexsort((weights, labels, *bins))
+    bins, labels, weights, counts = bins[:, order], labels[order], weights[order], counts[order]
+    other = (bins[:, 1:] != bins[:, :-1]).any(axis=0) | (labels[1:] != labels[:-1]) | (weights[1:] != weights[:-1])
+    first = np.flatnonzero(np.r_[True, other][: len(order)])
+    return bins[:, first], labels[first].astype(np.int64), weights[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _fit_problem(problem: int, plan: dict, blocks: list[dict], columns: int) -> pa.RecordBatch:
+def _fit_problem(problem: int, plan: dict, blocks: list[dict], columns: int, part: int = 0) -> Generator:
+    """Steps of a fit on the blocks of slice number ``part``."""
     fit, held = ([b for b in blocks if b["held"] == h] for h in (False, True))
-    if not fit:
+    bins, labels, weights, counts = _rows_of(fit, plan["columns"], columns)
+    present = yield np.array([*np.bincount(labels, minlength=len(CLASSES)), sum(b["n"] for b in held)], dtype=float)
+    if not present[:-1].any():
         raise ValueError(f"no rows to fit problem {problem}")
-    bins, labels, weights = _rows_of(fit, plan["columns"], columns)
-    if len(set(labels.tolist())) < len(CLASSES):
+    if not present[:-1].all():
         raise ValueError(f"a class is absent from the rows of problem {problem}")
-    trees, losses = boost(bins, labels, weights, plan["settings"], len(CLASSES), _rows_of(held, plan["columns"], columns)[:2] if held else None)
+    held_rows = None
+    if present[-1]:
+        held_bins, held_labels, _, held_counts = _rows_of(held, plan["columns"], columns)
+        held_rows = (held_bins, held_labels, held_counts)
+    trees, losses = yield from boost_steps(bins, labels, weights, plan["settings"], len(CLASSES), held_rows, counts, part)
     row = (problem, min(losses, default=None), trees.rounds, trees.dump() if plan["keep"] else None)
     return pa.record_batch([pa.array([v], type=t.type) for v, t in zip(row, _FITS_ARROW)], schema=_FITS_ARROW)
 
@@ -116,20 +148,50 @@ def _fit_all(stream: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Reco
         for row in batch.to_pylist():
             if row["problem"] != problem:
                 if blocks:
-                    yield _fit_problem(problem, json.loads(plan), blocks, columns)
+                    yield alone(_fit_problem(problem, json.loads(plan), blocks, columns))
                 problem, plan, blocks = row["problem"], row["plan"], []
             blocks.append(row)
     if blocks:
-        yield _fit_problem(problem, json.loads(plan), blocks, columns)
+        yield alone(_fit_problem(problem, json.loads(plan), blocks, columns))
 
 
-def _run(blocks: DataFrame, columns: int, problems: Sequence[tuple[int, dict]]) -> list:
-    """One row per problem (fold, plan): all of them in one pass, a task each."""
+def _fit_slices(stream: Iterator[pa.RecordBatch], columns: int, problems: Sequence[tuple[int, dict]], at_once: int) -> Iterator[pa.RecordBatch]:
+    """All tasks of the stage fit the problems together, ``at_once`` side by side; each holds its slice of the kinds."""
+    context = BarrierTaskContext.get()
+    part, blocks = context.partitionId(), {}
+    for batch in stream:
+        for row in batch.to_pylist():
+            blocks.setdefault(row["fold"], []).append(row)
+
+    def exchanged(steps: Generator):
+        try:
+            sums = next(steps)
+            while True:
+                told = context.allGather(base64.b64encode(sums.tobytes()).decode())
+                sums = steps.send(np.sum([np.frombuffer(base64.b64decode(t)) for t in told], axis=0))
+        except StopIteration as end:
+            return end.value
+
+    for first in range(0, len(problems), at_once):
+        some = enumerate(problems[first: first + at_once], first)
+        found = exchanged(together([_fit_problem(i, plan, blocks.get(fold, []), columns, part) for i, (fold, plan) in some]))
+        if part == 0:
+            yield from found
+
+
+def _run(blocks: DataFrame, slices: int, columns: int, problems: Sequence[tuple[int, dict]]) -> list:
+    """One row per problem (fold, plan): all of them in one pass, a task each, or a few at once in all slices."""
     spark = blocks.sparkSession
+    if slices > 1:
+        # an exchange takes a second, so problems share it as long as their scores fit
+        kinds = blocks.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+        planned, at_once = list(problems), max(1, SLICE_SCORES // kinds)
+        fitted = blocks.mapInArrow(lambda it: _fit_slices(it, columns, planned, at_once), _FITS, barrier=True)
+        return sorted(fitted.collect(), key=lambda r: r.problem)
     rows = [(i, fold, json.dumps(plan)) for i, (fold, plan) in enumerate(problems)]
     table = spark.createDataFrame(rows, "problem int, fold int, plan string").repartitionByRange(len(rows), "problem")
-    # at most FIT_ROWS rows of a byte per column, for every fold
-    joined = table.join(F.broadcast(blocks), "fold").select("problem", "plan", "held", "n", "place", "bins", "labels", "weights")
+    # at most TASK_KINDS kinds of a byte per column and 17 more
+    joined = table.join(F.broadcast(blocks), "fold").select("problem", "plan", "held", "n", "bins", "labels", "weights", "counts")
     return sorted(joined.mapInArrow(lambda it: _fit_all(it, columns), _FITS).collect(), key=lambda r: r.problem)
 
 
@@ -164,15 +226,16 @@ class BoostedFit:
 
 def fit_boosted(
     df: DataFrame, columns: Sequence[str], *, result: str = "result_3way", weight: str | None = None, settings: Mapping | None = None,
-    validation: Column | None = None, fit_rows: int = FIT_ROWS,
+    validation: Column | None = None, fit_rows: int | None = None, task_kinds: int = TASK_KINDS,
 ) -> BoostedFit:
-    """One model of three classes.  Rows where ``validation`` holds are not learnt from: trees are added until the loss there
-    has not improved for ``patience`` rounds, and those after the best round are dropped."""
+    """One model of three classes, learnt from all rows unless a caller sets ``fit_rows``.  Rows where ``validation`` holds are not
+    learnt from: trees are added until the loss there has not improved for ``patience`` rounds, and those after the best round
+    are dropped."""
     edges = quantile_edges(df, columns)
     held = F.lit(False) if validation is None else validation
-    blocks = _blocks(df, columns, edges, F.lit(0), held, result, weight, fit_rows)
+    blocks, slices = _blocks(df, columns, edges, F.lit(0), held, result, weight, fit_rows, task_kinds)
     plan = {"settings": {**DEFAULT_SETTINGS, **(settings or {})}, "columns": list(range(len(columns))), "keep": True}
-    return BoostedFit(tuple(columns), tuple(edges), Trees.load(bytes(_run(blocks, len(columns), [(0, plan)])[0].model)))
+    return BoostedFit(tuple(columns), tuple(edges), Trees.load(bytes(_run(blocks, slices, len(columns), [(0, plan)])[0].model)))
 
 
 # --- tuning -------------------------------------------------------------------------------------
@@ -266,19 +329,18 @@ def time_folds(train: DataFrame, season: str = "season", time: str = "kickoff",
 class Search:
     """Trials over one set of folds; every fit's validation loss and number of trees becomes a row of ``runs``."""
 
-    def __init__(self, folds: DataFrame, feature_sets: Mapping[str, Sequence[str]], max_rounds: int, result: str = "result_3way", fit_rows: int = FIT_ROWS) -> None:
+    def __init__(self, folds: DataFrame, feature_sets: Mapping[str, Sequence[str]], max_rounds: int, result: str = "result_3way", task_kinds: int = TASK_KINDS) -> None:
         self.folds, self.max_rounds, self.runs = folds, max_rounds, []
         self.columns = sorted({c for columns in feature_sets.values() for c in columns})
         self.places = {name: [self.columns.index(c) for c in columns] for name, columns in feature_sets.items()}
         self.names = sorted(tuple(r) for r in folds.select("fold", "fold_name").distinct().collect())
-        self.result, self.fit_rows, self.blocks = result, fit_rows, None
+        self.result, self.task_kinds, self.blocks, self.slices = result, task_kinds, None, 1
 
     def run(self, trials: Sequence[tuple[int, str, Mapping]], stage: str, seeds: Sequence[int]) -> None:
         """Fits of all (trial, feature set, settings), folds and seeds in one pass."""
         if self.blocks is None:
             edges = quantile_edges(self.folds, self.columns)
-            bound = self.fit_rows * len(self.names)
-            self.blocks = _blocks(self.folds, self.columns, edges, F.col("fold"), F.col("role") == "validate", self.result, None, bound)
+            self.blocks, self.slices = _blocks(self.folds, self.columns, edges, F.col("fold"), F.col("role") == "validate", self.result, None, None, self.task_kinds)
         labels, problems = [], []
         for trial, feature_set, settings in trials:
             for fold, name in self.names:
@@ -286,7 +348,7 @@ class Search:
                     options = {**settings, "rounds": self.max_rounds, "seed": seed + fold}
                     labels.append((trial, feature_set, stage, name, seed))
                     problems.append((fold, {"settings": options, "columns": self.places[feature_set], "keep": False}))
-        for label, r in zip(labels, _run(self.blocks, len(self.columns), problems), strict=True):
+        for label, r in zip(labels, _run(self.blocks, self.slices, len(self.columns), problems), strict=True):
             self.runs.append((*label, r.loss, float(r.rounds)))
 
     def table(self) -> DataFrame:
@@ -308,7 +370,7 @@ class Search:
 
 def tune_boosted(
     train: DataFrame, feature_sets: Mapping[str, Sequence[str]], *, trials: int = 50, finalists: int = 5, repeats: int = 3, max_rounds: int = 2000,
-    space: Mapping[str, Range | Choice] | None = None, season: str = "season", time: str = "kickoff", seed: int = 42, fit_rows: int = FIT_ROWS,
+    space: Mapping[str, Range | Choice] | None = None, season: str = "season", time: str = "kickoff", seed: int = 42, task_kinds: int = TASK_KINDS,
 ) -> tuple[DataFrame, dict, object]:
     """(trials with rank and selection, settings of the selected one, calibration season).
 
@@ -316,7 +378,9 @@ def tune_boosted(
     again with ``repeats`` other seeds; of those the most stable is selected, its number of trees frozen at the median.
     """
     folds, calibration = time_folds(train, season, time)
-    search, names = Search(cut_lineage(folds), feature_sets, max_rounds, fit_rows=fit_rows), list(feature_sets)
+    read = sorted({c for columns in feature_sets.values() for c in columns})
+    folds = cut_lineage(folds.select("fold", "fold_name", "role", "result_3way", *read))
+    search, names = Search(folds, feature_sets, max_rounds, task_kinds=task_kinds), list(feature_sets)
     designs = trial_settings(space or SPACE, trials)
     planned = [(k, names[k % len(names)], settings) for k, settings in enumerate(designs)]
     search.run(planned, "search", [seed])

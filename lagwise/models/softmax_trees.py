@@ -2,12 +2,16 @@
 
 Columns are binned by quantiles of the whole table, so a split is a bin and its gain comes from sums per bin.  A round
 adds one tree per class, grown leaf by leaf where the gain is greatest; all trees of a round see the same gradients.
+
+Equal rows are one kind with a count.  A problem may be cut into slices of kinds: every slice grows the same trees, since
+all it decides by are sums over all slices.  Hence the steps of a fit are generators: they yield the sums of their slice and
+are sent those of all.
 """
 
 from __future__ import annotations
 
 import io
-from collections.abc import Mapping
+from collections.abc import Generator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +23,8 @@ DEFAULT_SETTINGS = {"rounds": 100, "learning_rate": 0.03, "max_depth": 3, "num_l
 OTHERS = {"reg_alpha": 0.0, "min_split_gain": 0.0, "subsample": 1.0, "colsample_bytree": 1.0, "max_bin": BINS, "patience": 100}
 #: Least curvature of a leaf.
 LEAST_CURVATURE = 1e-3
+#: Rows of a slice from which the part of a round is drawn by the exact number, at most; beyond, each kind draws by itself.
+EXACT_DRAW = 10**9
 
 
 def bin_columns(values: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
@@ -88,25 +94,72 @@ def softmax(scores: np.ndarray) -> np.ndarray:
 
 
 def mean_log_loss(scores: np.ndarray, labels: np.ndarray) -> float:
-    return float(-np.log(np.maximum(softmax(scores)[np.arange(len(labels)), labels], 1e-12)).mean())
+    total, rows = total_log_loss(scores, labels, np.ones(len(labels)))
+    return float(total / rows)
+
+
+def total_log_loss(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(sum of the loss, number of rows)."""
+    return np.array([-np.log(np.maximum(softmax(scores)[np.arange(len(labels)), labels], 1e-12)) @ counts, counts.sum()])
+
+
+def alone(steps: Generator):
+    """Result of steps that know all rows."""
+    try:
+        sums = next(steps)
+        while True:
+            sums = steps.send(sums)
+    except StopIteration as end:
+        return end.value
+
+
+def together(many: Sequence[Generator]) -> Generator:
+    """Several generators side by side, the sums of all in one exchange; their results in a list."""
+    results, asked = [None] * len(many), {}
+
+    def go_on(place: int, sums: np.ndarray | None) -> None:
+        asked.pop(place, None)
+        try:
+            asked[place] = many[place].send(sums)
+        except StopIteration as end:
+            results[place] = end.value
+
+    for place in range(len(many)):
+        go_on(place, None)
+    while asked:
+        waiting = sorted(asked.items())
+        told = yield np.concatenate([sums.ravel() for _, sums in waiting])
+        ends = np.cumsum([sums.size for _, sums in waiting])
+        for (place, sums), end in zip(waiting, ends.tolist()):
+            go_on(place, told[end - sums.size: end].reshape(sums.shape))
+    return results
+
+
+def draw(rng: np.random.Generator, counts: np.ndarray, share: float) -> np.ndarray:
+    """How many rows of each kind are among a share of all rows, drawn without replacement."""
+    total = int(counts.sum())
+    if total >= EXACT_DRAW:
+        return rng.binomial(counts, share)
+    return rng.multivariate_hypergeometric(counts, min(total, max(1, round(share * total))), method="marginals")
 
 
 class _Grower:
-    """One tree over the rows and columns of a round."""
+    """One tree over the kinds and columns of a round; ``g``, ``h`` and ``counts`` are totals of all rows of a kind."""
 
-    def __init__(self, bins: np.ndarray, columns: np.ndarray, g: np.ndarray, h: np.ndarray, options: Mapping) -> None:
+    def __init__(self, bins: np.ndarray, columns: np.ndarray, g: np.ndarray, h: np.ndarray, options: Mapping, counts: np.ndarray | None = None) -> None:
         self.bins, self.columns, self.g, self.h, self.options = bins, columns, g, h, options
+        self.counts = np.ones(len(g)) if counts is None else counts
         self.width = BINS + 1
 
     def sums(self, rows: np.ndarray) -> np.ndarray:
         """Gradient, curvature and rows per column and bin."""
         out = np.empty((3, len(self.columns), self.width))
-        g, h = self.g[rows], self.h[rows]
+        g, h, counts = self.g[rows], self.h[rows], self.counts[rows]
         for place, c in enumerate(self.columns):
             b = self.bins[c, rows]
             out[0, place] = np.bincount(b, g, self.width)
             out[1, place] = np.bincount(b, h, self.width)
-            out[2, place] = np.bincount(b, minlength=self.width)
+            out[2, place] = np.bincount(b, counts, self.width)
         return out
 
     def worth(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -130,7 +183,10 @@ class _Grower:
 
     def grow(self, rows: np.ndarray) -> list[list]:
         """Nodes (feature, bin, left, right, value, gain)."""
-        sums = self.sums(rows)
+        return alone(self.steps(rows))
+
+    def steps(self, rows: np.ndarray) -> Generator:
+        sums = yield self.sums(rows)
         leaves = [(rows, sums, 0, self.best(sums, 0), 0)]
         nodes: list[list] = [[-1, 0, 0, 0, 0.0, 0.0]]
         while len(leaves) < self.options["num_leaves"]:
@@ -141,13 +197,16 @@ class _Grower:
             column = int(self.columns[place])
             goes_left = self.bins[column, rows] <= cut
             sides = [rows[goes_left], rows[~goes_left]]
-            small = int(len(sides[1]) < len(sides[0]))
-            own = self.sums(sides[small])
+            left = sums[2, place, : cut + 1].sum()
+            small = int(sums[2, place].sum() - left < left)
+            own = yield self.sums(sides[small])
             both = [own, sums - own] if small == 0 else [sums - own, own]
             nodes[node] = [column, cut, len(nodes), len(nodes) + 1, 0.0, gain]
             for side, part in zip(sides, both):
                 leaves.append((side, part, depth + 1, self.best(part, depth + 1), len(nodes)))
                 nodes.append([-1, 0, 0, 0, 0.0, 0.0])
+        # rows that count for nothing went along, so every row knows its leaf
+        self.leaves = [(rows, node) for rows, _, _, _, node in leaves]
         for _, sums, _, _, node in leaves:
             g, h = float(sums[0, 0].sum()), float(sums[1, 0].sum())
             shrunk = np.sign(g) * max(abs(g) - self.options["reg_alpha"], 0)
@@ -157,43 +216,63 @@ class _Grower:
 
 def boost(
     bins: np.ndarray, labels: np.ndarray, weights: np.ndarray, settings: Mapping, classes: int = 3,
-    held: tuple[np.ndarray, np.ndarray] | None = None,
+    held: tuple[np.ndarray, ...] | None = None, counts: np.ndarray | None = None,
 ) -> tuple[Trees, list[float]]:
-    """Trees and, with ``held`` (bins, labels), the loss there after every round; growth then stops when the loss has not
-    improved for ``patience`` rounds, and the trees up to the best round are returned."""
+    """Trees and, with ``held`` (bins, labels, counts if not 1), the loss there after every round; growth then stops when the
+    loss has not improved for ``patience`` rounds, and the trees up to the best round are returned.
+
+    ``counts`` are the rows of every kind, ``weights`` the weight of one of them."""
+    return alone(boost_steps(bins, labels, weights, settings, classes, held, counts))
+
+
+def boost_steps(
+    bins: np.ndarray, labels: np.ndarray, weights: np.ndarray, settings: Mapping, classes: int,
+    held: tuple[np.ndarray, ...] | None, counts: np.ndarray | None, part: int = 0,
+) -> Generator:
+    """The steps of ``boost`` on slice number ``part``."""
     options = {**OTHERS, **DEFAULT_SETTINGS, **settings}
     shift = int(BINS // options["max_bin"]).bit_length() - 1
-    coarse = lambda b: (b.astype(np.int64) - 1 >> shift) + 1
+    coarse = lambda b: ((b.astype(np.int16) - 1 >> shift) + 1).astype(np.uint8)
     rng = np.random.default_rng(options["seed"])
+    # columns are drawn alike in all slices, rows are not
+    row_rng = np.random.default_rng([options["seed"], part])
     bins = coarse(bins)
-    share = np.bincount(labels, weights, classes) / weights.sum()
-    start = np.log(np.maximum(share, 1e-12))
+    counts = np.ones(len(labels), dtype=np.int64) if counts is None else counts
+    whole = counts * weights
+    share = yield np.bincount(labels, whole, classes)
+    start = np.log(np.maximum(share / share.sum(), 1e-12))
     scores = np.repeat(start[None], len(labels), axis=0)
     target = np.eye(classes)[labels]
     if held is not None:
         held_bins, held_labels = coarse(held[0]), held[1]
+        held_counts = held[2] if len(held) > 2 else np.ones(len(held_labels), dtype=np.int64)
         held_scores = np.repeat(start[None], len(held_labels), axis=0)
     rows: list[list] = []
     losses: list[float] = []
     picked = max(1, round(options["colsample_bytree"] * len(bins)))
     for turn in range(int(options["rounds"])):
         p = softmax(scores)
-        inside = np.arange(len(labels))
-        if options["subsample"] < 1:
-            inside = np.sort(rng.choice(len(labels), max(1, round(options["subsample"] * len(labels))), replace=False))
+        drawn, mass = counts, whole
+        if options["subsample"] < 1 and len(labels):
+            drawn = draw(row_rng, counts, options["subsample"])
+            mass = drawn * weights
+        growers = []
         for k in range(classes):
             columns = np.sort(rng.choice(len(bins), picked, replace=False)) if picked < len(bins) else np.arange(len(bins))
-            g = (p[:, k] - target[:, k]) * weights
-            h = classes / (classes - 1) * p[:, k] * (1 - p[:, k]) * weights
-            nodes = _Grower(bins, columns, g, h, options).grow(inside)
+            g = (p[:, k] - target[:, k]) * mass
+            h = classes / (classes - 1) * p[:, k] * (1 - p[:, k]) * mass
+            growers.append(_Grower(bins, columns, g, h, options, drawn))
+        grown = yield from together([grower.steps(np.arange(len(labels))) for grower in growers])
+        for k, (grower, nodes) in enumerate(zip(growers, grown)):
             base = len(rows)
             rows += [[turn * classes + k, f, b, l + base, r + base, v, gain] for f, b, l, r, v, gain in nodes]
-            tree = _trees(rows[base:], np.zeros(classes), base)
-            scores[:, k] += tree.scores(bins)[:, k]
+            for place, node in grower.leaves:
+                scores[place, k] += nodes[node][4]
             if held is not None:
-                held_scores[:, k] += tree.scores(held_bins)[:, k]
+                held_scores[:, k] += _trees(rows[base:], np.zeros(classes), base).scores(held_bins)[:, k]
         if held is not None:
-            losses.append(mean_log_loss(held_scores, held_labels))
+            lost, rows_held = yield total_log_loss(held_scores, held_labels, held_counts)
+            losses.append(float(lost / rows_held))
             if turn - int(np.argmin(losses)) >= options["patience"]:
                 break
     trees = _trees(rows, start)

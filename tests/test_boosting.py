@@ -102,3 +102,24 @@ def test_bounded_rows_of_few_kinds(spark):
     rows = df.select("result_3way", "noise")
     assert 590 <= G._sampled(rows, 600).count() <= 610 and G._sampled(rows, 1600).count() == 1600
     df.unpersist()
+
+
+def test_fits_learn_from_all_rows(spark):
+    """More rows than a fit used to be given: rare rows, which no sample holds in full, count to the last one."""
+    rows = spark.range(60_000).withColumns({
+        "good": (F.col("id") % 40).cast("double"), "weight": F.when(F.col("id") == 31, 30_000.0).otherwise(1.0),
+        "result_3way": F.when(F.col("id") < 40, "D").when(F.col("id") % 2 == 0, "H").otherwise("A")})
+    fit = G.fit_boosted(rows, ["good"], weight="weight", settings={"rounds": 1})
+    assert np.exp(fit.trees.start) == pytest.approx(np.array([29_980, 30_039, 29_980]) / 89_999, rel=1e-9)
+
+
+def test_slices_grow_the_trees_of_one_task(spark):
+    """Kinds dealt over tasks give the trees that one task gives, and the same number of them."""
+    df = fixtures(spark, n=300).withColumn("weight", F.when(F.col("good") > 1, 2.0).otherwise(1.0))
+    options = {"rounds": 3, "learning_rate": 0.3, "num_leaves": 3, "colsample_bytree": 0.5}
+    one, many = (G.fit_boosted(df, ["good", "noise"], weight="weight", validation=F.col("season") == 2004, settings=options, task_kinds=k) for k in (10**6, 400))
+    assert one.rounds == many.rounds
+    assert np.array_equal(one.trees.feature, many.trees.feature) and np.array_equal(one.trees.bin, many.trees.bin)
+    np.testing.assert_allclose(one.trees.value, many.trees.value, atol=1e-9)
+    with pytest.raises(Exception, match="class is absent"):
+        G.fit_boosted(df.filter("result_3way <> 'D'"), ["good"], task_kinds=100)

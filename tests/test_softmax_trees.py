@@ -101,3 +101,48 @@ def test_early_stopping_and_coarse_bins():
     assert T.mean_log_loss(trees.scores(held[0]), held[1]) == pytest.approx(losses[best])
     again = T.Trees.load(trees.dump())
     assert (again.scores(bins) == trees.scores(bins)).all() and again.importances(3).sum(axis=1) == pytest.approx(np.ones(3))
+
+
+def test_copies_count_as_rows():
+    """Kinds with counts grow the trees of the rows they stand for, and the part of a round is drawn from rows."""
+    bins, labels, weights = problem(300)
+    counts = np.random.default_rng(1).integers(1, 6, 300)
+    rows = np.repeat(np.arange(300), counts)
+    settings = {"rounds": 5, "learning_rate": 0.3, "min_child_samples": 40}
+    merged, lost = T.boost(bins, labels, weights, settings, held=(bins, labels, counts), counts=counts)
+    single, each = T.boost(bins[:, rows], labels[rows], weights[rows], settings, held=(bins[:, rows], labels[rows]))
+    assert np.array_equal(merged.bin, single.bin) and np.allclose(merged.value, single.value) and lost == pytest.approx(each)
+    drawn = T.draw(np.random.default_rng(2), counts, 0.65)
+    assert drawn.sum() == round(0.65 * counts.sum()) and (drawn <= counts).all()
+
+
+@pytest.mark.parametrize("share", [1.0, 0.7])
+def test_slices_add_up_to_one_problem(share):
+    """Problems that run side by side on slices grow the trees of whole problems; with a drawn part, all slices still agree."""
+    bins, labels, weights = problem(900, values=30)
+    settings = [{"rounds": 60, "learning_rate": 0.3, "patience": 5, "colsample_bytree": 0.7, "subsample": share, "seed": s} for s in (1, 2)]
+    train, test = np.arange(600), np.arange(600, 900)
+    whole = [T.boost(bins[:, train], labels[train], weights[train], o, held=(bins[:, test], labels[test])) for o in settings]
+
+    def steps(part):
+        a, b = train[train % 3 == part], test[test % 3 == part]
+        return T.together([T.boost_steps(bins[:, a], labels[a], weights[a], o, 3, (bins[:, b], labels[b]), None, part) for o in settings])
+
+    slices, results = [steps(part) for part in range(3)], []
+    sums = [next(s) for s in slices]
+    while not results:
+        total, asked = np.sum(sums, axis=0), []
+        for s in slices:
+            try:
+                asked.append(s.send(total))
+            except StopIteration as end:
+                results.append(end.value)
+        sums = asked
+    assert len(results) == 3
+    for fits in results:
+        for (trees, losses), (first, first_losses), (single, each) in zip(fits, results[0], whole):
+            assert np.array_equal(trees.value, first.value) and losses == first_losses
+            if share == 1:
+                assert losses == pytest.approx(each) and np.array_equal(trees.bin, single.bin) and np.allclose(trees.value, single.value)
+            else:
+                assert abs(min(losses) - min(each)) < 0.1
