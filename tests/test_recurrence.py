@@ -171,3 +171,21 @@ def test_later_fixtures_never_change_earlier_features(spark):
     key = ["match_id", "team_side"]
     a, b = [t[t.match_id.isin(early)].sort_values(key).reset_index(drop=True) for t in (one, two)]
     pd.testing.assert_frame_equal(a[b.columns], b)
+
+
+def test_ridge_reads_its_rows_once(spark):
+    """The plan of the rows runs once, though both the fits and the residuals need them; nulls enter no sum."""
+    frame = appearances(fixtures(30))
+    frame.loc[frame.index % 7 == 0, "position"] = None
+    frame.loc[frame.index % 11 == 0, "elo_rating"] = np.nan
+    rows, read = as_spark(spark, frame), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    targets = {"shots": R.Target("shots"), "rating": R.Target("rating", per90=False, baseline=6.5, nullable=True)}
+    got = R.opponent_adjusted(rows.mapInPandas(seen, rows.schema), targets).toPandas()
+    assert read.value == len(frame) == len(got)
+    assert (got.adjusted_rating.isna() == got.elo_rating.isna()).all()
