@@ -121,3 +121,27 @@ def test_ewm_of_a_sparse_series(spark, max_rows, every):
                 state = x if state is None else (keep * state + a * x) / (keep + a)
                 gap = 0
         assert np.allclose(got, want, atol=1e-9)
+
+
+@pytest.mark.parametrize("max_rows", [None, 50])
+def test_rows_before_give_what_frames_give(spark, max_rows, monkeypatch):
+    """Features from lags equal those from frames, nulls included, and no frame of several rows is left in the plan."""
+    monkeypatch.setattr(H, "BLOCK_ROWS", 40)
+    df = to_spark(spark, sample()).withColumn("m", F.when(F.col("id") % 9 > 0, F.col("m"))).withColumn("flag", (F.col("id") % 3 == 0).cast("int"))
+    df = df.withColumn("time", F.timestamp_seconds(F.col("t") * 40_000))
+    product = F.col("y") * F.col("m")
+    features = [
+        H.prev_sum("y", 5, "a"), H.prev_sum("flag", 3, "b"), H.prev_count("y", 4, "c"), H.prev_mean("y", 1, "d"), H.prev_mean("y", 5, "e"), H.prev_std("y", 5, "f"),
+        H.prev_value("k", "g"), H.window_size(5, "h"), H.rate("y", "m", 5, "i"), H.rate(product, "m", 3, "j", per=1.0), H.gated_rate("y", "m", 5, "l", min_exposure=100.0),
+        H.trend(H.rate("x", "m", 1, ""), H.rate("x", "m", 5, ""), "n"), H.days_since_previous("time", "o"), H.Feature("p", 2, lambda w: F.max("x").over(w.rowsBetween(-2, -1)))]
+    near = H.with_history(df, ["k"], ["t", "id"], features, prior_count="z", max_rows=max_rows)
+    far = H.with_history(df, ["k"], ["t", "id"], [H.Feature(f.name, f.lookback, f.over) for f in features], prior_count="z", max_rows=max_rows)
+    assert near.dtypes == far.dtypes
+    plan = H.with_history(df, ["k"], ["t", "id"], features[:-1], max_rows=max_rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RowFrame, -5, -1" not in plan and "RowFrame, -3, -1" not in plan
+    a, b = (d.toPandas().sort_values(["k", "t", "id"]).reset_index(drop=True) for d in (near, far))
+    for c in b.columns:
+        if b[c].dtype == float:
+            np.testing.assert_allclose(a[c], b[c], atol=1e-9)
+        else:
+            assert a[c].equals(b[c]), c
